@@ -74,12 +74,12 @@ def active(ties: str, t: str = "t", oid: str = "order_id") -> Column:
     return before("from_t", "from_id", t, oid, ties) & (F.col(t) < F.col("until"))
 
 
-def peers(orders: DataFrame, pieces: DataFrame, ties: str) -> DataFrame:
+def peers(focus: DataFrame, pieces: DataFrame, ties: str) -> DataFrame:
     """(order_id, t, me, peer, mask, in_30d): other customers on one of the order's values.
 
     ``mask`` has one bit per type shared in the last 7 d; ``in_30d`` tells a link in 30 d.
     """
-    mine = unpivot_entities(timed(orders)).select(
+    mine = unpivot_entities(timed(focus)).select(
         F.col("order_id"), F.col("t"), F.col("customer_id").alias("me"), "etype", "value",
         F.explode(F.array(F.lit(W7).cast("long"), F.lit(W30).cast("long"))).alias("w"))
     mine = mine.withColumn("bucket", bucket("t", F.col("w")))
@@ -93,21 +93,21 @@ def peers(orders: DataFrame, pieces: DataFrame, ties: str) -> DataFrame:
         F.max(F.col("w") == W30).alias("in_30d"))
 
 
-def touched(orders: DataFrame, links: DataFrame, pieces: DataFrame, windows: list[int], ties: str) -> DataFrame:
+def touched(focus: DataFrame, links: DataFrame, pieces: DataFrame, windows: list[int], ties: str) -> DataFrame:
     """(w, order_id, t, me, etype, value, via, mine, own): values in the rows of the 7-day peers.
 
     ``via`` = types through which the peers that used it are linked, ``mine`` = the customer's own
     earlier orders used it, ``own`` = it is on the order itself.
     """
     near = links.filter("mask > 0").select("order_id", "t", "me", F.col("peer").alias("who"), "mask")
-    self = timed(orders).select("order_id", "t", F.col("customer_id").alias("me"),
-                                F.col("customer_id").alias("who"), F.lit(0).alias("mask"))
+    self = timed(focus).select("order_id", "t", F.col("customer_id").alias("me"),
+                               F.col("customer_id").alias("who"), F.lit(0).alias("mask"))
     wide = F.array(*[F.lit(w).cast("long") for w in windows])
     look = near.unionByName(self).withColumn("w", F.explode(wide)).withColumn("bucket", bucket("t", F.col("w")))
     by_who = pieces.filter(F.col("w").isin(*windows)).withColumnRenamed("customer_id", "who")
     hit = look.join(by_who, ["w", "who", "bucket"]).filter(active(ties)).select(
         "w", "order_id", "t", "me", "etype", "value", "mask", F.lit(False).alias("own"))
-    own = unpivot_entities(timed(orders)).select(
+    own = unpivot_entities(timed(focus)).select(
         F.explode(wide).alias("w"), "order_id", "t", F.col("customer_id").alias("me"), "etype", "value",
         F.lit(None).cast("int").alias("mask"), F.lit(True).alias("own"))
     return hit.unionByName(own).groupBy("w", "order_id", "t", "me", "etype", "value").agg(
@@ -120,6 +120,7 @@ class Neighbourhood:
     """Shared intermediate tables of the two-hop and subgraph families."""
 
     orders: DataFrame
+    focus: DataFrame
     pieces: DataFrame
     links: DataFrame
     touch: DataFrame
@@ -128,13 +129,18 @@ class Neighbourhood:
 
     @classmethod
     def build(cls, orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None,
-              windows: tuple[int, ...] = (W7, W24), reuse: bool = True) -> "Neighbourhood":
+              windows: tuple[int, ...] = (W7, W24), targets: DataFrame | None = None) -> "Neighbourhood":
+        """``targets``: the order ids to describe, all by default; history is always all orders."""
         skew = skew or SkewPlan()
-        keep = materialise if reuse else (lambda df, name: df)
-        pieces = keep(cut(spells(orders, sorted({*windows, W7, W30}), skew)), "pieces")
-        links = keep(peers(orders, pieces, ties), "links")
-        touch = keep(touched(orders, links, pieces, list(windows), ties), "touch")
-        return cls(orders, pieces, links, touch, ties, skew)
+        focus = focus_rows(orders, targets)
+        pieces = materialise(cut(spells(orders, sorted({*windows, W7, W30}), skew)), "pieces")
+        links = materialise(peers(focus, pieces, ties), "links")
+        touch = materialise(touched(focus, links, pieces, list(windows), ties), "touch")
+        return cls(orders, focus, pieces, links, touch, ties, skew)
+
+
+def focus_rows(orders: DataFrame, targets: DataFrame | None) -> DataFrame:
+    return orders if targets is None else orders.join(targets.select("order_id"), "order_id", "left_semi")
 
 
 def link_summary(links: DataFrame) -> DataFrame:
@@ -148,7 +154,7 @@ def link_summary(links: DataFrame) -> DataFrame:
 
 
 def two_hop_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None,
-                     hood: Neighbourhood | None = None, shared: DataFrame | None = None) -> DataFrame:
+                     hood: Neighbourhood | None = None) -> DataFrame:
     """20 columns over the peers of the last 7 days and what they used."""
     hood = hood or Neighbourhood.build(orders, ties, skew, windows=(W7,))
     skew = hood.skew
@@ -176,9 +182,8 @@ def two_hop_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan |
         via("device", None).alias("two_hop_total_peer_devices_7d"),
         via("address", None).alias("two_hop_total_peer_addresses_7d"),
         via("payment", None).alias("two_hop_total_peer_payments_7d"))
-    flat = pivot_levels((shared if shared is not None else shared_level(orders, ties, skew))
-                        .select("order_id", "etype", "peers_7d"))
-    out = (with_levels(orders.select("order_id"), flat)
+    flat = pivot_levels(shared_level(orders, ties, skew).select("order_id", "etype", "peers_7d"))
+    out = (with_levels(hood.focus.select("order_id"), flat)
            .join(link_summary(hood.links), "order_id", "left")
            .join(reach, "order_id", "left").join(volume, "order_id", "left"))
 
@@ -232,7 +237,7 @@ def subgraph_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan
     """20 columns over the customers and values within two hops."""
     hood = hood or Neighbourhood.build(orders, ties, skew)
     edges = materialise(neighbourhood_edges(hood), "edges")
-    me = timed(orders).select("order_id", "t", F.col("customer_id").cast("string").alias("who"))
+    me = timed(hood.focus).select("order_id", "t", F.col("customer_id").cast("string").alias("who"))
     people = edges.select("w", "order_id", "t", "who").unionByName(
         me.select(F.explode(F.array(F.lit(W7).cast("long"), F.lit(W24).cast("long"))).alias("w"),
                   "order_id", "t", "who")).distinct()
@@ -271,7 +276,7 @@ def subgraph_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan
     burst = (born_lately(people_7d.filter(F.col("w") == W7).select("order_id", "t", "who"), acts, ["who"])
              .groupBy("order_id").agg(F.count("*").alias("burst")))
 
-    out = (orders.select("order_id").join(sizes, "order_id", "left")
+    out = (hood.focus.select("order_id").join(sizes, "order_id", "left")
            .join(link_summary(hood.links), "order_id", "left").join(new_nodes, "order_id", "left")
            .join(new_edges, "order_id", "left").join(burst, "order_id", "left"))
 
@@ -335,21 +340,20 @@ def bridge_components() -> Column:
 
 
 def graph_features(orders: DataFrame, history_days: int = 30, ties: str = "sequence", skew: SkewPlan | None = None,
-                   base: DataFrame | None = None, shared: DataFrame | None = None) -> DataFrame:
+                   targets: DataFrame | None = None) -> DataFrame:
     """18 columns over the lifetime customer-entity graph; the customer's own reuse counts."""
     skew = skew or SkewPlan()
     edges = materialise(first_edges(orders), "first-edges")
-    mine = unpivot_entities(timed(orders)).select("order_id", "t", "etype", "value",
-                                                  F.col("customer_id").cast("string").alias("me"))
+    mine = unpivot_entities(timed(focus_rows(orders, targets))).select(
+        "order_id", "t", "etype", "value", F.col("customer_id").cast("string").alias("me"))
     known = mine.join(edges.withColumnRenamed("customer_id", "who"), ["etype", "value"]).filter(
         before("from_t", "from_id", "t", "order_id", ties)).select("order_id", "t", "me", "etype", "who")
     near = known.groupBy("order_id").agg(F.count_distinct("who").alias("neighbours"))
     far = known.join(edges.withColumnRenamed("customer_id", "who"), ["etype", "who"]).filter(
         before("from_t", "from_id", "t", "order_id", ties)).groupBy("order_id", "me", "value").agg(F.lit(1).alias("_"))
     comp = far.groupBy("order_id").agg(F.count_if(F.col("value") != F.col("me")).alias("others"))
-    base = base if base is not None else customer_level(orders, history_days, ties, skew)
-    flat = pivot_levels((shared if shared is not None else shared_level(orders, ties, skew))
-                        .select("order_id", "etype", "people_ever"))
+    base = focus_rows(customer_level(orders, history_days, ties, skew), targets)
+    flat = pivot_levels(shared_level(orders, ties, skew).select("order_id", "etype", "people_ever"))
     out = (with_levels(base.select("order_id", "n_hist"), flat).join(near, "order_id", "left")
            .join(comp, "order_id", "left"))
     named: dict[str, Column] = {

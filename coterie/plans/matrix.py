@@ -25,11 +25,12 @@ def columns_of(name: str) -> list[str]:
 
 def feature_matrix(orders: DataFrame, name: str = "subgraph_extended", labels: DataFrame | None = None,
                    history_days: int = 30, ties: str = "sequence", epoch: str = "2025-01-01",
-                   skew: SkewPlan | None = None) -> DataFrame:
+                   skew: SkewPlan | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(order_id, features in contract order[, y]) for one of ``FEATURE_SETS``.
 
     The one-key families share one customer table and one pivot of the per-type tables, so adding
-    a family adds columns, not another pass over the orders.
+    a family adds columns, not another pass over the orders.  ``targets`` limits the output (and the
+    neighbourhood joins) to some order ids; history stays all orders.
     """
     families = FEATURE_SETS[name]
     base = behaviour.customer_level(orders, history_days, ties, skew)
@@ -42,12 +43,12 @@ def feature_matrix(orders: DataFrame, name: str = "subgraph_extended", labels: D
         cols += behaviour.temporal_columns()
     if "customer_relative" in families:
         cols += behaviour.customer_relative_columns()
-    out = wide.select("order_id", *cols)
+    out = neighbourhood.focus_rows(wide.select("order_id", *cols), targets)
     if "graph" in families:
-        out = out.join(neighbourhood.graph_features(orders, history_days, ties, skew), "order_id")
+        out = out.join(neighbourhood.graph_features(orders, history_days, ties, skew, targets), "order_id")
     if "two_hop" in families:
         windows = (neighbourhood.W7, neighbourhood.W24) if "subgraph" in families else (neighbourhood.W7,)
-        hood = neighbourhood.Neighbourhood.build(orders, ties, skew, windows)
+        hood = neighbourhood.Neighbourhood.build(orders, ties, skew, windows, targets)
         out = out.join(neighbourhood.two_hop_features(orders, ties, skew, hood), "order_id")
         if "subgraph" in families:
             out = out.join(neighbourhood.subgraph_features(orders, ties, skew, hood), "order_id")
