@@ -39,24 +39,24 @@ def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = N
     span = history_days * DAY
     hist = timed(orders)
     tgt = hist.join(targets.select("order_id").distinct(), "order_id", "left_semi")
-    tgt = tgt.select(F.col("order_id").alias("target"), F.col("customer_id").alias("me"), F.col("t").alias("T"), "amount",
-                     *ENTITY_COLUMNS.values()).withColumn("block", F.floor(F.col("T") / F.lit(span)))
-    now = materialise(_long(tgt, ["target", "me", "T", "block"], clean), "dossier-now")
+    tgt = tgt.select(F.col("order_id").alias("target"), F.col("customer_id").alias("me"), F.col("t").alias("at"), "amount",
+                     *ENTITY_COLUMNS.values()).withColumn("block", F.floor(F.col("at") / F.lit(span)))
+    now = materialise(_long(tgt, ["target", "me", "at", "block"], clean), "dossier-now")
 
     def blocks(rows: DataFrame) -> DataFrame:
         b = F.floor(F.col("t") / F.lit(span))
         return rows.withColumn("block", F.explode(F.array(b, b + 1)))
 
-    in_span = (F.col("t") < F.col("T")) & (F.col("t") >= F.col("T") - F.lit(span))
+    in_span = (F.col("t") < F.col("at")) & (F.col("t") >= F.col("at") - F.lit(span))
     uses = materialise(blocks(_long(hist, ["customer_id", "t"], clean).distinct()), "dossier-uses")
     one = now.join(uses, ["etype", "value", "block"]).filter(in_span & (F.col("customer_id") != F.col("me"))).select(
-        "target", "me", "T", "block", "etype", "value", F.col("customer_id").alias("peer")).distinct()
+        "target", "me", "at", "block", "etype", "value", F.col("customer_id").alias("peer")).distinct()
     one = materialise(one, "dossier-one")
-    peers = one.select("target", "me", "T", "block", "peer").distinct()
+    peers = one.select("target", "me", "at", "block", "peer").distinct()
     by_customer = uses.withColumnRenamed("customer_id", "peer")
     mine = now.select("target", "etype", F.col("value").alias("cur"))
     far = (peers.join(by_customer, ["peer", "block"]).filter(in_span)
-           .select("target", "me", "T", "block", "peer", "etype", "value").distinct()
+           .select("target", "me", "at", "block", "peer", "etype", "value").distinct()
            .join(mine, ["target", "etype"], "left")
            .filter(F.col("cur").isNull() | (F.col("cur") != F.col("value"))).drop("cur"))
     far = materialise(far, "dossier-far")
@@ -86,11 +86,11 @@ def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = N
         acts = acts.join(losses.select("order_id", F.col("loss_amount").alias("_loss")), "order_id", "left")
         loss = F.coalesce("_loss", "amount")
     acts = blocks(acts.select("customer_id", "t", loss.alias("loss")))
-    span_members = members.join(tgt.select("target", "T", "block"), "target")
+    span_members = members.join(tgt.select("target", "at", "block"), "target")
     active = span_members.join(acts, ["customer_id", "block"]).filter(in_span).groupBy("target").agg(
-        F.count("*").alias("orders_30d"), F.count_if(F.col("t") >= F.col("T") - F.lit(7 * DAY)).alias("orders_7d"),
-        F.count_if(F.col("t") >= F.col("T") - F.lit(DAY)).alias("orders_24h"),
-        F.count_if(F.col("t") >= F.col("T") - F.lit(HOUR)).alias("orders_1h"),
+        F.count("*").alias("orders_30d"), F.count_if(F.col("t") >= F.col("at") - F.lit(7 * DAY)).alias("orders_7d"),
+        F.count_if(F.col("t") >= F.col("at") - F.lit(DAY)).alias("orders_24h"),
+        F.count_if(F.col("t") >= F.col("at") - F.lit(HOUR)).alias("orders_1h"),
         F.sum("loss").alias("cluster_loss"), F.min("t").alias("first_t"))
     m = members.groupBy("target").agg(F.count("*").alias("total_customers"), F.count_if(F.col("hop") == 1).alias("one_hop"),
                                       F.count_if("via_two_hop").alias("two_hop"))
@@ -99,7 +99,7 @@ def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = N
     kinds = one.groupBy("target").agg(*[F.max(F.col("etype") == e).alias(f"by_{e}") for e in ENTITIES])
     n_paths = steps.groupBy("target").agg(F.count("*").alias("path_count"))
     listed = paths.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("position", "path_type", "etype", "value", "via", "to"))).alias("paths"))
-    out = tgt.select("target", F.col("me").alias("target_customer"), "T", F.col("amount").cast("double").alias("amount"))
+    out = tgt.select("target", F.col("me").alias("target_customer"), "at", F.col("amount").cast("double").alias("amount"))
     if scores is not None:
         out = out.join(scores.select(F.col("order_id").alias("target"), F.col("predicted_score").alias("model_score")), "target", "left")
     else:
@@ -118,7 +118,7 @@ def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = N
     nodes = d("total_customers") + d("total_entities")
     velocity = d("orders_24h") / F.greatest(F.lit(1.0), d("orders_7d") / F.lit(7.0))
     exposure = F.coalesce("cluster_loss", F.lit(0.0)) + F.col("own_loss")
-    life = (F.col("T") - F.coalesce("first_t", "T")).cast("double") / F.lit(float(DAY))
+    life = (F.col("at") - F.coalesce("first_t", "at")).cast("double") / F.lit(float(DAY))
     shared = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(f"by_{e}", F.lit(False)), f"{e}_id")
                                                      for e in ("device", "address", "ip", "payment")])), ", ")
     tier = risk_tier("model_score")
@@ -127,8 +127,8 @@ def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = N
         "target_customer", "model_score", tier.alias("risk_tier"), "total_customers", "one_hop", "two_hop", "total_entities",
         *[f"{e}_values" for e in ENTITIES], "path_count", "paths", F.col("orders_7d").alias("peer_orders_7d"),
         F.col("orders_30d").alias("peer_orders_30d"), velocity.alias("peer_velocity_ratio_24h_vs_7d"),
-        exposure.alias("total_cluster_exposure"), F.coalesce("first_t", "T").alias("first_activity_t"),
-        F.col("T").alias("last_activity_t"), life.alias("cluster_lifespan_days"),
+        exposure.alias("total_cluster_exposure"), F.coalesce("first_t", "at").alias("first_activity_t"),
+        F.col("at").alias("last_activity_t"), life.alias("cluster_lifespan_days"),
         (d("orders_24h") + d("one_hop")).alias("dossier_node_count_24h"), (d("one_hop") + 1).alias("dossier_customer_count_24h"),
         F.lit(4.0).alias("dossier_entity_count_24h"),
         F.when(nodes > 1, d("path_count") * 2 / (nodes * (nodes - 1))).otherwise(F.lit(0.0)).alias("dossier_edge_density"),

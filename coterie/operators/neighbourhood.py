@@ -308,35 +308,29 @@ def subgraph_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan
     return out.select("order_id", *[named[c].alias(c) for c in SUBGRAPH_COLUMNS])
 
 
+def _forest_edges(code: int) -> int:
+    """Edges of a spanning forest of the four sets, for a bit pattern of linked pairs."""
+    group = {b: b for b in ENTITY_BIT.values()}
+    used = 0
+    for k, p in enumerate(PAIR_BITS):
+        a, b = [x for x in ENTITY_BIT.values() if p & x]
+        if code >> k & 1 and group[a] != group[b]:
+            old = group[b]
+            group = {n: group[a] if g == old else g for n, g in group.items()}
+            used += 1
+    return used
+
+
 def bridge_components() -> Column:
     """Components among the (at most four) non-empty peer sets, linked where two sets meet.
 
-    Four bits of reach per set, widened twice: enough for a path through all four sets.
+    Components = non-empty sets less the edges of a spanning forest, which depend on the six pair
+    flags alone: a lookup in a 64-entry array made from the rule above.
     """
-    bits = list(ENTITY_BIT.values())
-
-    def meets(a: int, b: int) -> Column:
-        return F.coalesce(F.col(f"pair_{a | b}"), F.lit(0)) == 1
-
-    reach = {a: F.lit(a) for a in bits}
-    for a in bits:
-        for b in bits:
-            if a != b:
-                reach[a] = reach[a].bitwiseOR(F.when(meets(a, b), b).otherwise(0))
-    for _ in range(2):
-        wider = {}
-        for a in bits:
-            w = reach[a]
-            for b in bits:
-                if a != b:
-                    w = w.bitwiseOR(F.when(reach[a].bitwiseAND(F.lit(b)) > 0, reach[b]).otherwise(0))
-            wider[a] = w
-        reach = wider
-    types = F.coalesce(F.col("types"), F.lit(0))
-    # a set opens a component when it holds the lowest bit of its reach
-    opens = [F.when((types.bitwiseAND(F.lit(a)) > 0) & (reach[a].bitwiseAND(F.lit(a - 1)) == 0), 1.0).otherwise(0.0)
-             for a in bits]
-    return F.when(F.bit_count(types) <= 1, F.lit(0.0)).otherwise(sum(opens))
+    code = sum(F.coalesce(F.col(f"pair_{p}"), F.lit(0)) * F.lit(1 << k) for k, p in enumerate(PAIR_BITS))
+    forest = F.get(F.array(*[F.lit(_forest_edges(c)) for c in range(1 << len(PAIR_BITS))]), code)
+    sets = F.bit_count(F.coalesce(F.col("types"), F.lit(0)))
+    return F.when(sets <= 1, F.lit(0.0)).otherwise((sets - forest).cast("double"))
 
 
 def graph_features(orders: DataFrame, history_days: int = 30, ties: str = "sequence", skew: SkewPlan | None = None,

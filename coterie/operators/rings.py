@@ -190,11 +190,11 @@ _RULES = (("Any-member Ring Recall (Rule A)", "a"), ("20% Coverage Ring Recall (
 def comparison_rows(model: str, event: DataFrame, summary: DataFrame, queue: DataFrame) -> DataFrame:
     """The 19 formatted metrics of one model, as (position, metric, model, value)."""
     def f(c: Column, d: int = 3) -> Column:
-        # half-up text formatting of a double
         return F.format_string(f"%.{d}f", c)
 
     def inr(amount: Column, pct: Column | None = None) -> Column:
-        money = F.concat(F.lit("INR "), F.format_number(amount, 2))
+        # the sum's last bits depend on the order of the rows: drop them before two places are cut
+        money = F.concat(F.lit("INR "), F.format_number(F.round(amount, 6), 2))
         return money if pct is None else F.concat(money, F.lit(" ("), f(pct, 1), F.lit("%)"))
 
     ev = [F.struct(F.lit(k).alias("position"), F.lit(label).alias("metric"), f(F.col(c), d).alias("value"))
