@@ -120,13 +120,14 @@ def _slice(hot: str | None, slice_us: int) -> Column:
 
 
 def sweep(rows: DataFrame, keys: list[str], measures: list[Measure], ties: str = "sequence",
-          hot: str | None = None, slice_us: int = HOUR, leaves: Column | None = None) -> DataFrame:
+          hot: str | None = None, slice_us: int = HOUR, leaves: Column | None = None,
+          then_by: list[str] | None = None) -> DataFrame:
     """Add the running value of every measure, read just before each row.
 
     ``rows`` needs ``t`` and ``order_id`` besides the keys.  ``ties="sequence"`` lets rows with
     the same time and a smaller order id count; ``"strict"`` counts only t_j < t_i.
     ``hot`` names a boolean column of keys to slice; ``leaves`` tells which rows ever leave a
-    window (by default all).
+    window (by default all).  ``then_by`` orders rows of one order id: readers before contributors.
     """
     payload = [c for c in rows.columns if c not in keys]
     windows = sorted({m.window for m in measures if m.window is not None})
@@ -151,7 +152,7 @@ def sweep(rows: DataFrame, keys: list[str], measures: list[Measure], ties: str =
                            _slice(hot, slice_us).alias("_slice"))
     part = [*keys, "_slice"] if hot is not None else list(keys)
     if ties == "sequence":
-        frame = (Window.partitionBy(*part).orderBy("_at", "_ph", "order_id")
+        frame = (Window.partitionBy(*part).orderBy("_at", "_ph", "order_id", *(then_by or []))
                  .rowsBetween(Window.unboundedPreceding, -1))
     else:
         # expiry sits at 2t, arrival at 2t + 1: an arrival sees everything up to 2t

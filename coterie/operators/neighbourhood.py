@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.operators.asof import (
-    SkewPlan, before, count_at, nearest_in_time, timed, unpivot_entities,
+    Measure, SkewPlan, before, count_at, nearest_in_time, sweep, timed, unpivot_entities,
 )
 from coterie.operators.behaviour import customer_level, pivot_levels, shared_level, with_levels
 from coterie.schema import DAY, ENTITIES, ENTITY_BIT, GRAPH_COLUMNS, HOUR, SUBGRAPH_COLUMNS, TWO_HOP_COLUMNS
@@ -59,6 +59,37 @@ def first_edges(orders: DataFrame) -> DataFrame:
             .select("etype", "value", "customer_id", F.col("f.t").alias("from_t"), F.col("f.order_id").alias("from_id")))
 
 
+def name_births(orders: DataFrame) -> DataFrame:
+    """(node, born_t, born_id, clash): the order in which a raw string first takes part, as customer or as value.
+
+    Nodes of the subgraph are raw strings without their type; ``clash`` tells the strings that occur
+    under more than one kind, which are the only ones where that matters.
+    """
+    o = timed(orders)
+    who = o.select(F.col("customer_id").cast("string").alias("node"), "t", "order_id", F.lit(16).alias("kind"))
+    what = unpivot_entities(o, keep=["t", "order_id"]).select(F.col("value").alias("node"), "t", "order_id", type_bit().alias("kind"))
+    return (who.unionByName(what).groupBy("node").agg(F.min(F.struct("t", "order_id")).alias("b"), F.bit_or("kind").alias("kinds"))
+            .select("node", F.col("b.t").alias("born_t"), F.col("b.order_id").alias("born_id"), (F.bit_count("kinds") > 1).alias("clash")))
+
+
+def type_bit() -> Column:
+    bit = F.lit(0)
+    for e in ENTITIES:
+        bit = F.when(F.col("etype") == e, ENTITY_BIT[e]).otherwise(bit)
+    return bit
+
+
+def with_births(spell: DataFrame, births: DataFrame) -> DataFrame:
+    """Add when the edge, the value and the customer first appeared (as raw strings), and clash flags."""
+    edge = Window.partitionBy("w", "value", "customer_id")
+    rows = spell.withColumn("edge_born", F.min("from_t").over(edge))
+    rows = rows.join(births.select(F.col("node").alias("value"), F.col("born_t").alias("value_born"),
+                                   F.col("clash").alias("value_clash")), "value")
+    return rows.join(births.select(F.col("node").alias("_who"), F.col("born_t").alias("who_born"),
+                                   F.col("clash").alias("who_clash")),
+                     rows["customer_id"].cast("string") == F.col("_who")).drop("_who")
+
+
 def cut(spell: DataFrame) -> DataFrame:
     """One row per multiple of w the spell touches, keyed by ``bucket``."""
     lo = F.floor(F.col("from_t") / F.col("w"))
@@ -74,7 +105,7 @@ def active(ties: str, t: str = "t", oid: str = "order_id") -> Column:
     return before("from_t", "from_id", t, oid, ties) & (F.col(t) < F.col("until"))
 
 
-def peers(focus: DataFrame, pieces: DataFrame, ties: str) -> DataFrame:
+def peers(focus: DataFrame, pieces: DataFrame, ties: str, skew: SkewPlan) -> DataFrame:
     """(order_id, t, me, peer, mask, in_30d): other customers on one of the order's values.
 
     ``mask`` has one bit per type shared in the last 7 d; ``in_30d`` tells a link in 30 d.
@@ -83,18 +114,19 @@ def peers(focus: DataFrame, pieces: DataFrame, ties: str) -> DataFrame:
         F.col("order_id"), F.col("t"), F.col("customer_id").alias("me"), "etype", "value",
         F.explode(F.array(F.lit(W7).cast("long"), F.lit(W30).cast("long"))).alias("w"))
     mine = mine.withColumn("bucket", bucket("t", F.col("w")))
-    met = mine.join(pieces.withColumnRenamed("customer_id", "peer"), ["w", "etype", "value", "bucket"]).filter(
+    uses = pieces.select("w", "etype", "value", "bucket", F.col("customer_id").alias("peer"), "from_t", "from_id", "until")
+    met = spread_join(mine, uses, ["w", "etype", "value", "bucket"], skew.values, {}).filter(
         active(ties) & (F.col("peer") != F.col("me")))
-    bit = F.lit(0)
-    for e in ENTITIES:
-        bit = F.when(F.col("etype") == e, ENTITY_BIT[e]).otherwise(bit)
+    bit = type_bit()
     return met.groupBy("order_id", "t", "me", "peer").agg(
         F.coalesce(F.bit_or(F.when(F.col("w") == W7, bit)), F.lit(0)).cast("int").alias("mask"),
         F.max(F.col("w") == W30).alias("in_30d"))
 
 
-def touched(focus: DataFrame, links: DataFrame, pieces: DataFrame, windows: list[int], ties: str) -> DataFrame:
-    """(w, order_id, t, me, etype, value, via, mine, own): values in the rows of the 7-day peers.
+def touched(focus: DataFrame, links: DataFrame, pieces: DataFrame, births: DataFrame, windows: list[int],
+            ties: str, skew: SkewPlan) -> DataFrame:
+    """(w, order_id, t, me, etype, value, via, mine, own, value_born, value_clash): values in the rows
+    of the 7-day peers.
 
     ``via`` = types through which the peers that used it are linked, ``mine`` = the customer's own
     earlier orders used it, ``own`` = it is on the order itself.
@@ -105,14 +137,39 @@ def touched(focus: DataFrame, links: DataFrame, pieces: DataFrame, windows: list
     wide = F.array(*[F.lit(w).cast("long") for w in windows])
     look = near.unionByName(self).withColumn("w", F.explode(wide)).withColumn("bucket", bucket("t", F.col("w")))
     by_who = pieces.filter(F.col("w").isin(*windows)).withColumnRenamed("customer_id", "who")
-    hit = look.join(by_who, ["w", "who", "bucket"]).filter(active(ties)).select(
-        "w", "order_id", "t", "me", "etype", "value", "mask", F.lit(False).alias("own"))
-    own = unpivot_entities(timed(focus)).select(
+    met = spread_join(look, by_who, ["w", "who", "bucket"], skew.customers, {"customer_id": "who"})
+    hit = met.filter(active(ties)).select(
+        "w", "order_id", "t", "me", "etype", "value", "mask", F.lit(False).alias("own"), "value_born", "value_clash")
+    # a value reached through an earlier order was born before; a value that is only on the order itself
+    # can be young only as a string that another kind used
+    elsewhere = F.when(F.col("clash") & before("born_t", "born_id", "t", "order_id", ties), F.col("born_t"))
+    own = unpivot_entities(timed(focus)).join(births.withColumnRenamed("node", "value"), "value").select(
         F.explode(wide).alias("w"), "order_id", "t", F.col("customer_id").alias("me"), "etype", "value",
-        F.lit(None).cast("int").alias("mask"), F.lit(True).alias("own"))
+        F.lit(None).cast("int").alias("mask"), F.lit(True).alias("own"), elsewhere.alias("value_born"),
+        F.col("clash").alias("value_clash"))
     return hit.unionByName(own).groupBy("w", "order_id", "t", "me", "etype", "value").agg(
         F.coalesce(F.bit_or("mask"), F.lit(0)).cast("int").alias("via"),
-        F.coalesce(F.max(F.col("mask") == 0), F.lit(False)).alias("mine"), F.max("own").alias("own"))
+        F.coalesce(F.max(F.col("mask") == 0), F.lit(False)).alias("mine"), F.max("own").alias("own"),
+        F.max("value_born").alias("value_born"), F.max("value_clash").alias("value_clash"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None,
+                names: dict[str, str], salts: int = 64) -> DataFrame:
+    """Equi join where the rows of hot keys on the left are dealt to ``salts`` groups.
+
+    The right rows of those keys are repeated once per group; other keys stay in one.  ``names`` maps
+    the columns of the hot table to those of the join.
+    """
+    if hot is None:
+        return left.join(right, keys)
+    cols = [names.get(c, c) for c in hot.columns if not c.startswith("hot_")]
+    marked = F.broadcast(hot.select(*[F.col(c).alias(names.get(c, c)) for c in hot.columns if not c.startswith("hot_")],
+                                    F.lit(True).alias("_hot")))
+    deal = F.when(F.col("_hot"), F.pmod(F.xxhash64("order_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(marked, cols, "left").withColumn("_salt", deal).drop("_hot")
+    b = right.join(marked, cols, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return a.join(b, [*keys, "_salt"]).drop("_salt")
 
 
 @dataclass
@@ -121,6 +178,7 @@ class Neighbourhood:
 
     orders: DataFrame
     focus: DataFrame
+    births: DataFrame
     pieces: DataFrame
     links: DataFrame
     touch: DataFrame
@@ -133,10 +191,12 @@ class Neighbourhood:
         """``targets``: the order ids to describe, all by default; history is always all orders."""
         skew = skew or SkewPlan()
         focus = focus_rows(orders, targets)
-        pieces = materialise(cut(spells(orders, sorted({*windows, W7, W30}), skew)), "pieces")
-        links = materialise(peers(focus, pieces, ties), "links")
-        touch = materialise(touched(focus, links, pieces, list(windows), ties), "touch")
-        return cls(orders, focus, pieces, links, touch, ties, skew)
+        births = materialise(name_births(orders), "births")
+        spell = with_births(spells(orders, sorted({*windows, W7, W30}), skew), births)
+        pieces = materialise(cut(spell), "pieces")
+        links = materialise(peers(focus, pieces, ties, skew), "links")
+        touch = materialise(touched(focus, links, pieces, births, list(windows), ties, skew), "touch")
+        return cls(orders, focus, births, pieces, links, touch, ties, skew)
 
 
 def focus_rows(orders: DataFrame, targets: DataFrame | None) -> DataFrame:
@@ -205,88 +265,94 @@ def two_hop_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan |
     return out.select("order_id", *[named[c].alias(c) for c in TWO_HOP_COLUMNS])
 
 
-def first_nodes(orders: DataFrame) -> DataFrame:
-    """(node, born_t, born_id): first order any customer or value of this raw string takes part in."""
-    o = timed(orders)
-    who = o.select(F.col("customer_id").cast("string").alias("node"), "t", "order_id")
-    what = unpivot_entities(o, keep=["t", "order_id"]).select(F.col("value").alias("node"), "t", "order_id")
-    return (who.unionByName(what).groupBy("node").agg(F.min(F.struct("t", "order_id")).alias("b"))
-            .select("node", F.col("b.t").alias("born_t"), F.col("b.order_id").alias("born_id")))
-
-
-def edge_births(orders: DataFrame) -> DataFrame:
-    """(who, value, born_t, born_id) on raw strings: the types do not matter."""
-    return (first_edges(orders).groupBy(F.col("customer_id").cast("string").alias("who"), "value")
-            .agg(F.min(F.struct("from_t", "from_id")).alias("b"))
-            .select("who", "value", F.col("b.from_t").alias("born_t"), F.col("b.from_id").alias("born_id")))
+def neighbourhood_people(hood: Neighbourhood) -> DataFrame:
+    """(w, order_id, t, who, edges, new_edges, who_born, who_clash): customers on a touched value.
 
-
-def neighbourhood_edges(hood: Neighbourhood) -> DataFrame:
-    """(w, order_id, t, me, who, value), distinct on raw strings: every customer on a touched value, and own uses."""
-    pieces = hood.pieces.filter(F.col("w").isin(W7, W24)).withColumnRenamed("customer_id", "who")
-    touch = hood.touch.filter("via > 0 or mine").withColumn("bucket", bucket("t", F.col("w")))
-    # a value only the customer used has no partner: its edge is the customer's own
-    spread = (touch.filter("via > 0").join(pieces, ["w", "etype", "value", "bucket"]).filter(active(hood.ties))
-              .select("w", "order_id", "t", "me", "who", "value"))
-    own = touch.filter("mine").select("w", "order_id", "t", "me", F.col("me").alias("who"), "value")
-    return spread.unionByName(own).withColumn("who", F.col("who").cast("string")).distinct()
+    The joined (customer, value) edges are counted per customer before they are shuffled and are
+    never a table of their own.  Only a string that is a value under several types could be the same
+    edge twice; it stays in the grouping key until it has been counted once.
+    """
+    pieces = hood.pieces.filter(F.col("w").isin(W7, W24)).select(
+        "w", "etype", "value", "bucket", F.col("customer_id").alias("who"), "from_t", "from_id", "until", "edge_born",
+        "who_born", "who_clash")
+    touch = hood.touch.select("w", "order_id", "t", "me", "etype", "value", "via", "mine", "value_clash")
+    reached = touch.filter("via > 0").withColumn("bucket", bucket("t", F.col("w")))
+    spread = spread_join(reached, pieces, ["w", "etype", "value", "bucket"], hood.skew.values, {}).filter(active(hood.ties))
+    # values only the customer used: the edge is the customer's own
+    alone = touch.filter("via = 0 and mine").withColumn("bucket", bucket("t", F.col("w")))
+    alone = alone.join(pieces, ["w", "etype", "value", "bucket"]).filter(active(hood.ties) & (F.col("who") == F.col("me")))
+    key = F.when(F.col("value_clash"), F.col("value")).alias("_same")
+    cols = ["w", "order_id", "t", F.col("who").cast("string").alias("who"), key, "edge_born", "who_born", "who_clash"]
+    young = F.col("edge_born") > F.col("t") - F.lit(HOUR)
+    cells = spread.select(*cols).unionByName(alone.select(*cols)).groupBy("w", "order_id", "t", "who", "_same").agg(
+        F.count("*").alias("n"), F.count_if(young).alias("fresh"), F.max("who_born").alias("who_born"), F.max("who_clash").alias("who_clash"))
+    once = F.col("_same").isNotNull()
+    return cells.groupBy("w", "order_id", "t", "who").agg(
+        F.sum(F.when(once, 1).otherwise(F.col("n"))).alias("edges"),
+        F.sum(F.when(once, F.least(F.col("fresh"), F.lit(1))).otherwise(F.col("fresh"))).alias("new_edges"),
+        F.max("who_born").alias("who_born"), F.max("who_clash").alias("who_clash"))
 
 
 def subgraph_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None,
                       hood: Neighbourhood | None = None) -> DataFrame:
     """20 columns over the customers and values within two hops."""
     hood = hood or Neighbourhood.build(orders, ties, skew)
-    edges = materialise(neighbourhood_edges(hood), "edges")
+    people = materialise(neighbourhood_people(hood), "people")
+    lately = F.col("t") - F.lit(HOUR)
+    tags = ((W24, "24h"), (W7, "7d"))
+    # the customer is always a node: counted here, so its own row among the people is left out below
     me = timed(hood.focus).select("order_id", "t", F.col("customer_id").cast("string").alias("who"))
-    people = edges.select("w", "order_id", "t", "who").unionByName(
-        me.select(F.explode(F.array(F.lit(W7).cast("long"), F.lit(W24).cast("long"))).alias("w"),
-                  "order_id", "t", "who")).distinct()
-    values = edges.select("w", "order_id", "t", "value").unionByName(
-        hood.touch.filter("own").select("w", "order_id", "t", "value")).distinct()
-    people_7d = materialise(people, "people")
-    values_7d = materialise(values, "values")
-
-    def per_w(name: str, w: int, cond: Column | None = None) -> Column:
-        return F.count_if((F.col("w") == w) & (F.col("kind") == name))
-
-    sized = (edges.select("order_id", "w", F.lit("edge").alias("kind"))
-             .unionByName(people_7d.select("order_id", "w", F.lit("customer").alias("kind")))
-             .unionByName(values_7d.select("order_id", "w", F.lit("entity").alias("kind"))))
-    sizes = sized.groupBy("order_id").agg(*[
-        per_w(k, w).alias(f"{k}_{tag}") for k in ("edge", "customer", "entity") for w, tag in ((W24, "24h"), (W7, "7d"))])
-
-    # births in the last hour: only the birth table rows of this hour and the one before can match,
-    # so both sides meet on (name, hour) and the large side is joined once
-    def born_lately(rows: DataFrame, births: DataFrame, keys: list[str]) -> DataFrame:
-        hours = births.withColumn("hour", F.explode(F.array(bucket("born_t", F.lit(HOUR)),
-                                                            bucket("born_t", F.lit(HOUR)) + 1)))
-        met = rows.withColumn("hour", bucket("t", F.lit(HOUR))).join(hours, [*keys, "hour"])
-        return met.filter(before("born_t", "born_id", "t", "order_id", hood.ties)
-                          & (F.col("born_t") > F.col("t") - F.lit(HOUR)))
-
-    nodes = (people_7d.filter(F.col("w") == W7).select("order_id", "t", F.col("who").alias("node"))
-             .unionByName(values_7d.filter(F.col("w") == W7).select("order_id", "t", F.col("value").alias("node"))))
-    new_nodes = (born_lately(nodes, first_nodes(orders), ["node"]).groupBy("order_id")
-                 .agg(F.count_distinct("node").alias("new_nodes")))
-    new_edges = (born_lately(edges.filter(F.col("w") == W7).select("order_id", "t", "who", "value"),
-                             edge_births(orders), ["who", "value"])
-                 .groupBy("order_id").agg(F.count("*").alias("new_edges")))
-    acts = timed(orders).select(F.col("customer_id").cast("string").alias("who"), F.col("t").alias("born_t"),
-                                F.col("order_id").alias("born_id"))
-    burst = (born_lately(people_7d.filter(F.col("w") == W7).select("order_id", "t", "who"), acts, ["who"])
+    me_born = me.join(hood.births.withColumnRenamed("node", "who"), "who").select(
+        "order_id", F.col("who").alias("me_name"),
+        ((F.col("born_t") > lately) & before("born_t", "born_id", "t", "order_id", hood.ties)).alias("me_new"),
+        F.col("clash").alias("me_clash"))
+    counted = people.join(me.select("order_id", F.col("who").alias("_me")), "order_id")
+    others = F.col("who") != F.col("_me")
+    per_people = counted.groupBy("order_id").agg(
+        *[F.coalesce(F.sum(F.when(F.col("w") == w, F.col("edges"))), F.lit(0)).alias(f"edge_{tag}") for w, tag in tags],
+        *[F.count_if((F.col("w") == w) & others).alias(f"others_{tag}") for w, tag in tags],
+        F.coalesce(F.sum(F.when(F.col("w") == W7, F.col("new_edges"))), F.lit(0)).alias("new_edges"),
+        F.count_if((F.col("w") == W7) & others & ~F.col("who_clash") & (F.col("who_born") > lately)).alias("new_people"))
+    seen = F.col("own") | F.col("mine") | (F.col("via") > 0)
+    plain = ~F.col("value_clash")
+    per_values = hood.touch.filter(seen).groupBy("order_id").agg(
+        *[F.count_if((F.col("w") == w) & plain).alias(f"plain_{tag}") for w, tag in tags],
+        F.count_if((F.col("w") == W7) & plain & (F.col("value_born") > lately)).alias("new_values"))
+    # strings used under several kinds are few: they are made distinct by name
+    clash_values = hood.touch.filter(seen & F.col("value_clash"))
+    clash = clash_values.groupBy("order_id", "w", "value").agg(F.lit(1).alias("_")).groupBy("order_id").agg(
+        *[F.count_if(F.col("w") == w).alias(f"clash_{tag}") for w, tag in tags])
+    new_named = (clash_values.filter((F.col("w") == W7) & (F.col("value_born") > lately)).select("order_id", F.col("value").alias("node"))
+                 .unionByName(counted.filter((F.col("w") == W7) & others & F.col("who_clash") & (F.col("who_born") > lately))
+                              .select("order_id", F.col("who").alias("node")))
+                 .unionByName(me_born.filter("me_new and me_clash").select("order_id", F.col("me_name").alias("node"))))
+    new_clash = new_named.distinct().groupBy("order_id").agg(F.count("*").alias("new_clash"))
+
+    # orders of the last hour by people of the neighbourhood: both sides meet on (customer, hour)
+    hour = bucket("t", F.lit(HOUR))
+    acts = timed(orders).select(F.col("customer_id").cast("string").alias("who"), F.col("t").alias("act_t"),
+                                F.col("order_id").alias("act_id"))
+    acts = acts.withColumn("hour", F.explode(F.array(bucket("act_t", F.lit(HOUR)), bucket("act_t", F.lit(HOUR)) + 1)))
+    crowd = people.filter(F.col("w") == W7).select("order_id", "t", "who").unionByName(me).distinct().withColumn("hour", hour)
+    named_hot = None if hood.skew.customers is None else hood.skew.customers.select(
+        F.col("customer_id").cast("string").alias("who"), "hot_customer")
+    burst = (spread_join(crowd, acts, ["who", "hour"], named_hot, {})
+             .filter(before("act_t", "act_id", "t", "order_id", hood.ties) & (F.col("act_t") > lately))
              .groupBy("order_id").agg(F.count("*").alias("burst")))
 
-    out = (hood.focus.select("order_id").join(sizes, "order_id", "left")
-           .join(link_summary(hood.links), "order_id", "left").join(new_nodes, "order_id", "left")
-           .join(new_edges, "order_id", "left").join(burst, "order_id", "left"))
+    out = hood.focus.select("order_id")
+    for part in (per_people, per_values, clash, new_clash, me_born.drop("me_name"), link_summary(hood.links), burst):
+        out = out.join(part, "order_id", "left")
 
     def n(c: str) -> Column:
         return F.coalesce(_count(F.col(c)), F.lit(0.0))
 
+    new_nodes = (n("new_people") + n("new_values") + n("new_clash")
+                 + F.when(F.col("me_new") & ~F.col("me_clash"), F.lit(1.0)).otherwise(F.lit(0.0)))
     eps = F.lit(1e-5)
     named: dict[str, Column] = {}
     for tag in ("24h", "7d"):
-        c, e, k = n(f"customer_{tag}"), n(f"entity_{tag}"), n(f"edge_{tag}")
+        c, e, k = n(f"others_{tag}") + 1, n(f"plain_{tag}") + n(f"clash_{tag}"), n(f"edge_{tag}")
         named[f"subgraph_node_count_{tag}"] = c + e
         named[f"subgraph_customer_count_{tag}"] = c
         named[f"subgraph_entity_count_{tag}"] = e
@@ -299,9 +365,9 @@ def subgraph_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan
         "subgraph_shared_modality_count_7d": F.coalesce(_count(F.bit_count("types")), F.lit(0.0)),
         "subgraph_multi_entity_conspirator_count_7d": n("overlapping"),
         "subgraph_max_entity_overlap_degree_7d": n("max_overlap"),
-        "subgraph_new_nodes_1h": n("new_nodes"), "subgraph_new_edges_1h": n("new_edges"),
+        "subgraph_new_nodes_1h": new_nodes, "subgraph_new_edges_1h": n("new_edges"),
         "subgraph_growth_ratio_1h_vs_24h":
-            n("new_nodes") / (named["subgraph_node_count_24h"] / F.lit(24.0) + eps),
+            new_nodes / (named["subgraph_node_count_24h"] / F.lit(24.0) + eps),
         "subgraph_bridge_disjoint_components_7d": bridge_components(),
         "subgraph_order_burst_velocity_1h": n("burst"),
     }
@@ -333,28 +399,84 @@ def bridge_components() -> Column:
     return F.when(sets <= 1, F.lit(0.0)).otherwise((sets - forest).cast("double"))
 
 
+def same_type_reach(edges: DataFrame) -> DataFrame:
+    """(etype, value, far, t, order_id): from which order on some user of ``value`` has also used ``far``.
+
+    Lifetime sets only grow, so what a value reaches is a list of arrival times per value; orders read
+    a running count of it and never meet the customers in between.
+    """
+    a = edges.select("etype", "customer_id", "value", F.struct("from_t", "from_id").alias("f"))
+    b = edges.select("etype", "customer_id", F.col("value").alias("far"), F.struct("from_t", "from_id").alias("g"))
+    return (a.join(b, ["etype", "customer_id"]).groupBy("etype", "value", "far")
+            .agg(F.min(F.greatest("f", "g")).alias("m"))
+            .select("etype", "value", "far", F.col("m.from_t").alias("t"), F.col("m.from_id").alias("order_id")))
+
+
 def graph_features(orders: DataFrame, history_days: int = 30, ties: str = "sequence", skew: SkewPlan | None = None,
-                   targets: DataFrame | None = None) -> DataFrame:
-    """18 columns over the lifetime customer-entity graph; the customer's own reuse counts."""
+                   targets: DataFrame | None = None, crowd: int = 256) -> DataFrame:
+    """18 columns over the lifetime customer-entity graph; the customer's own reuse counts.
+
+    The union of customers over the four values is counted without listing the most popular one when
+    it has more than ``crowd`` customers: its running distinct count, plus the customers of the other
+    three that are not among its own.
+    """
     skew = skew or SkewPlan()
     edges = materialise(first_edges(orders), "first-edges")
-    mine = unpivot_entities(timed(focus_rows(orders, targets))).select(
-        "order_id", "t", "etype", "value", F.col("customer_id").cast("string").alias("me"))
-    known = mine.join(edges.withColumnRenamed("customer_id", "who"), ["etype", "value"]).filter(
-        before("from_t", "from_id", "t", "order_id", ties)).select("order_id", "t", "me", "etype", "who")
-    near = known.groupBy("order_id").agg(F.count_distinct("who").alias("neighbours"))
-    far = known.join(edges.withColumnRenamed("customer_id", "who"), ["etype", "who"]).filter(
-        before("from_t", "from_id", "t", "order_id", ties)).groupBy("order_id", "me", "value").agg(F.lit(1).alias("_"))
-    comp = far.groupBy("order_id").agg(F.count_if(F.col("value") != F.col("me")).alias("others"))
+    focus = focus_rows(orders, targets)
+    mine = unpivot_entities(timed(focus)).select("order_id", "t", "etype", "value",
+                                                 F.col("customer_id").cast("string").alias("me"))
+    users = edges.select("etype", "value", F.col("customer_id").alias("who"), "from_t", "from_id")
+    earlier = before("from_t", "from_id", "t", "order_id", ties)
+    popular = materialise(edges.groupBy("etype", "value").agg(F.count("*").alias("degree")).filter(F.col("degree") > crowd), "popular")
     base = focus_rows(customer_level(orders, history_days, ties, skew), targets)
     flat = pivot_levels(shared_level(orders, ties, skew).select("order_id", "etype", "people_ever"))
-    out = (with_levels(base.select("order_id", "n_hist"), flat).join(near, "order_id", "left")
-           .join(comp, "order_id", "left"))
+    out = with_levels(base.select("order_id", "n_hist"), flat)
+    if popular.isEmpty():
+        known = mine.join(users, ["etype", "value"]).filter(earlier).select("order_id", "who")
+        near = known.distinct().groupBy("order_id").agg(F.count("*").alias("listed"))
+        out = out.join(near, "order_id", "left").withColumn("crowd_type", F.lit(None).cast("string"))
+    else:
+        skip = (mine.join(popular, ["etype", "value"]).groupBy("order_id")
+                .agg(F.max(F.struct("degree", "etype", "value")).alias("s")).select(
+                    "order_id", F.col("s.etype").alias("crowd_type"), F.col("s.value").alias("crowd_value")))
+        skip = materialise(skip, "crowded")
+        listed = mine.join(skip, "order_id", "left").filter(F.col("crowd_type").isNull() | (F.col("crowd_type") != F.col("etype")))
+        known = listed.join(users, ["etype", "value"]).filter(earlier).select(
+            "order_id", "t", "who", "crowd_type", "crowd_value").distinct()
+        member = users.select(F.col("etype").alias("crowd_type"), F.col("value").alias("crowd_value"), "who", "from_t", "from_id").join(
+            popular.select(F.col("etype").alias("crowd_type"), F.col("value").alias("crowd_value")), ["crowd_type", "crowd_value"])
+        known = known.join(member, ["crowd_type", "crowd_value", "who"], "left").filter(
+            F.col("from_t").isNull() | ~before("from_t", "from_id", "t", "order_id", ties))
+        near = known.groupBy("order_id").agg(F.count("*").alias("listed"))
+        out = out.join(near, "order_id", "left").join(skip.select("order_id", "crowd_type"), "order_id", "left")
+
+    reach = materialise(same_type_reach(edges), "reach")
+    hot = "hot_value" if skew.values is not None else None
+    moves = (mine.select("etype", "value", "t", "order_id", F.lit(0).alias("_in"))
+             .unionByName(reach.select("etype", "value", "t", "order_id", F.lit(1).alias("_in"))))
+    if hot:
+        moves = skew.mark_values(moves)
+    far = sweep(moves, ["etype", "value"], [Measure("far", F.col("_in"))], ties, hot, skew.slice_us, then_by=["_in"])
+    far = far.filter("_in = 0").groupBy("order_id").agg(F.sum("far").alias("far"))
+    out = out.join(far, "order_id", "left")
+    # equal strings under several kinds are one node: take back what was counted twice
+    clash = materialise(name_births(orders).filter("clash").select(F.col("node").alias("far")), "clash")
+    twice = F.lit(0.0)
+    if not clash.isEmpty():
+        same = (mine.join(reach.join(clash, "far").withColumnRenamed("t", "from_t").withColumnRenamed("order_id", "from_id"),
+                          ["etype", "value"]).filter(earlier).groupBy("order_id", "me", "far").agg(F.count("*").alias("n")))
+        back = same.groupBy("order_id").agg(F.sum(F.col("n") - F.when(F.col("far") == F.col("me"), 0).otherwise(1)).alias("twice"))
+        out = out.join(back, "order_id", "left")
+        twice = F.coalesce(_count(F.col("twice")), F.lit(0.0))
+
+    crowd_people = F.lit(0.0)
+    for e in ENTITIES:
+        crowd_people = F.when(F.col("crowd_type") == e, F.col(f"{e}__people_ever")).otherwise(crowd_people)
     named: dict[str, Column] = {
         "graph_prior_orders": F.col("n_hist"),
         "graph_velocity": F.col("n_hist") / F.lit(float(max(history_days, 1))),
-        "graph_neighbor_count": F.coalesce(_count(F.col("neighbours")), F.lit(0.0)),
-        "graph_component_size_approx": F.coalesce(_count(F.col("others")), F.lit(0.0)) + F.lit(1.0),
+        "graph_neighbor_count": F.coalesce(_count(F.col("listed")), F.lit(0.0)) + crowd_people,
+        "graph_component_size_approx": F.coalesce(_count(F.col("far")), F.lit(0.0)) - twice + F.lit(1.0),
     }
     reused = {e: _count(F.col(f"{e}__people_ever") > 0) for e in ENTITIES}
     for e in ENTITIES:
