@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from coterie.functions import clean_entity, raw_entity
 from coterie.operators.asof import (
-    Measure, SkewPlan, first_use, nearest_in_time, sweep, timed, unpivot_entities,
+    Measure, SkewPlan, find_skew, first_use, nearest_in_time, sweep, timed, unpivot_entities,
 )
 from coterie.schema import (
     BASELINE_COLUMNS, CUSTOMER_RELATIVE_COLUMNS, DAY, ENTITIES, HOUR, TEMPORAL_COLUMNS,
@@ -228,17 +228,19 @@ def customer_relative_columns() -> list[Column]:
 
 def baseline_features(orders: DataFrame, history_days: int = 30, ties: str = "sequence",
                       epoch: str = "2025-01-01", skew: SkewPlan | None = None) -> DataFrame:
+    skew = skew or find_skew(orders)
     base = customer_level(orders, history_days, ties, skew)
     own = own_entity_level(orders, ties, skew).select("order_id", "etype", "used", "is_new")
     return with_levels(base, pivot_levels(own)).select("order_id", *baseline_columns(history_days, epoch))
 
 
 def temporal_velocity_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None) -> DataFrame:
-    pivot = pivot_levels(entity_level(orders, ties, skew))
+    pivot = pivot_levels(entity_level(orders, ties, skew or find_skew(orders)))
     return with_levels(orders.select("order_id"), pivot).select("order_id", *temporal_columns())
 
 
 def customer_relative_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None) -> DataFrame:
+    skew = skew or find_skew(orders)
     base = customer_level(orders, 30, ties, skew)
     own = own_entity_level(orders, ties, skew).select("order_id", "etype", "own_1h", "own_24h", "own_7d")
     return with_levels(base, pivot_levels(own)).select("order_id", *customer_relative_columns())

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions import case_severity, mask_identifier, stable_id
-from coterie.operators.asof import SkewPlan, first_use, nearest_in_time, sweep, timed
-from coterie.schema import DAY, ENTITIES, ENTITY_COLUMNS
+from coterie.operators.asof import SkewPlan, find_skew, first_use, nearest_in_time, sweep, timed
+from coterie.schema import DAY, ENTITY_COLUMNS
 from coterie.sources.scratch import materialise
 
 REVIEW_THRESHOLD = 0.50
@@ -52,7 +52,7 @@ def alert_evidence(alerts: DataFrame, history: DataFrame, window_days: int | Non
     Peers are a running distinct count on the value less the customer's own earlier use, so a popular
     value costs its rows, not its pairs.
     """
-    skew = skew or SkewPlan()
+    skew = skew or find_skew(history)
     hot = "hot_value" if skew.values is not None else None
     pairs = F.array(*[F.struct(F.lit(e).alias("etype"), _given(c).alias("value")) for e, c in ENTITY_COLUMNS.items()])
     rows = timed(history).select("order_id", "customer_id", "t", F.inline(pairs)).filter(F.col("value").isNotNull())

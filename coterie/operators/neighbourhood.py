@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.operators.asof import (
-    Measure, SkewPlan, before, count_at, nearest_in_time, sweep, timed, unpivot_entities,
+    Measure, SkewPlan, before, count_at, find_skew, nearest_in_time, sweep, timed, unpivot_entities,
 )
 from coterie.operators.behaviour import customer_level, pivot_levels, shared_level, with_levels
 from coterie.schema import DAY, ENTITIES, ENTITY_BIT, GRAPH_COLUMNS, HOUR, SUBGRAPH_COLUMNS, TWO_HOP_COLUMNS
@@ -189,7 +189,7 @@ class Neighbourhood:
     def build(cls, orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None,
               windows: tuple[int, ...] = (W7, W24), targets: DataFrame | None = None) -> "Neighbourhood":
         """``targets``: the order ids to describe, all by default; history is always all orders."""
-        skew = skew or SkewPlan()
+        skew = skew or find_skew(orders)
         focus = focus_rows(orders, targets)
         births = materialise(name_births(orders), "births")
         spell = with_births(spells(orders, sorted({*windows, W7, W30}), skew), births)
@@ -420,7 +420,7 @@ def graph_features(orders: DataFrame, history_days: int = 30, ties: str = "seque
     it has more than ``crowd`` customers: its running distinct count, plus the customers of the other
     three that are not among its own.
     """
-    skew = skew or SkewPlan()
+    skew = skew or find_skew(orders)
     edges = materialise(first_edges(orders), "first-edges")
     focus = focus_rows(orders, targets)
     mine = unpivot_entities(timed(focus)).select("order_id", "t", "etype", "value",

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.operators import behaviour, neighbourhood
-from coterie.operators.asof import SkewPlan
+from coterie.operators.asof import SkewPlan, find_skew
 from coterie.schema import FEATURE_CONTRACT, FEATURE_FAMILIES
 
 # The ladder of feature sets, by the families each one holds.
@@ -30,9 +30,11 @@ def feature_matrix(orders: DataFrame, name: str = "subgraph_extended", labels: D
 
     The one-key families share one customer table and one pivot of the per-type tables, so adding
     a family adds columns, not another pass over the orders.  ``targets`` limits the output (and the
-    neighbourhood joins) to some order ids; history stays all orders.
+    neighbourhood joins) to some order ids; history stays all orders.  Hot keys are looked for unless
+    ``skew`` says what they are (``SkewPlan()``: none).
     """
     families = FEATURE_SETS[name]
+    skew = skew or find_skew(orders)
     base = behaviour.customer_level(orders, history_days, ties, skew)
     levels = [behaviour.own_entity_level(orders, ties, skew)]
     if "temporal" in families:
