@@ -14,8 +14,10 @@ from coterie.plans import oracles as o
 from coterie.plans.matrix import FEATURE_SETS, attach_labels, feature_manifest, feature_matrix, project_contract
 from coterie.plans.oracles import ENT, TIED, TXN, _q
 from coterie.schema import FEATURE_CONTRACT
-from coterie.sources.adapters import table, tied_transactions, transactions
-from coterie.sources.scratch import materialise
+from coterie.sources import tables
+from coterie.sources.adapters import as_transactions, table, tied_transactions, transactions
+from coterie.sources.scratch import materialise, scratch_path
+from coterie.streaming import jobs
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -787,7 +789,7 @@ def _(spark, d):
 @register("c2_evidence", _q([TXN, ENT, LOG, ALERTS, """
 sh as (select a.order_id, a.etype, count(distinct b.customer_id) as peers from ent a join al using (order_id) join ent b on a.etype = b.etype and a.value = b.value
   and b.t < a.t and b.customer_id <> a.customer_id group by all),
-ev as (select order_id, 'score_threshold' as evidence_type, '' as entity_type, predicted_score as value, ':threshold' as suffix, '>= 0.50' as comparison, 'event' as window from al
+ev as (select order_id, 'score_threshold' as evidence_type, '' as entity_type, round(predicted_score, 6) as value, ':threshold' as suffix, '>= 0.50' as comparison, 'event' as window from al
   union all select order_id, 'shared_entity', etype || '_id', peers, etype || '_id', 'prior observable events', '30d' from sh)"""],
     """select 'EVID-' || substr(sha256(order_id || suffix), 1, 16) as evidence_id, 'ALERT-' || substr(sha256(cast(order_id as varchar)), 1, 16) as alert_id, order_id, evidence_type, entity_type,
   cast(value as double) as value, comparison, "window" from ev""", ["value"]))
@@ -1131,3 +1133,139 @@ def _(spark, d):
     ["alert_rate_pct", "latency_mean", "latency_p95", "latency_p99"]))
 def _(spark, d):
     return gates.replay_summary(_log(_txn(spark, d)))
+
+
+# ---- sinks: written and read back ---------------------------------------------------------------
+
+@register("s1_csv_tables", _q([TXN], """select cast(order_id as varchar) as order_id, cast(customer_id as varchar) as customer_id, t, amount, 'INR' as currency, device_id, ip_id,
+  address_id, payment_id, merchant_category, retry_count from txn""", ["amount"]))
+def _(spark, d):
+    rows = _txn(spark, d).select(
+        F.col("order_id").cast("string"), F.col("customer_id").cast("string"), "event_time", "amount", F.lit("INR").alias("currency"), "device_id", "ip_id",
+        "address_id", "payment_id", "merchant_category", F.lit("ok").alias("status"), "retry_count")
+    at = scratch_path(spark, "tables")
+    tables.write_tables({"orders": rows}, at, metadata={"source": "events"})
+    return timed(tables.read_tables(spark, at, names=["orders"])["orders"]).drop("event_time", "status")
+
+
+@register("s3_jsonl_log", _q([TXN], "select cast(order_id as varchar) as order_id, predicted_score as calibrated_score, predicted_score >= 0.5 as alert from txn where order_id % 7 <> 0",
+                              ["calibrated_score"]))
+def _(spark, d):
+    # every seventh line is cut in half; the reader drops those
+    line = F.to_json(F.struct(F.col("order_id").cast("string").alias("order_id"), F.col("predicted_score").alias("calibrated_score"),
+                              (F.col("predicted_score") >= 0.5).alias("alert")))
+    at = scratch_path(spark, "log")
+    _txn(spark, d).select(F.when(F.col("order_id") % 7 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(at)
+    return tables.read_jsonl_log(spark, at).select("order_id", "calibrated_score", "alert")
+
+
+@register("s5_audit_sink", _q([TXN], "select cast(order_id as varchar) as order_id, count(*) * 2 as lines from txn group by order_id"))
+def _(spark, d):
+    rows = _txn(spark, d).select(F.col("order_id").cast("string"), F.col("predicted_score").alias("risk_score"))
+    at = scratch_path(spark, "audit")
+    tables.audit_sink(rows, at)
+    tables.audit_sink(rows, at)
+    return tables.read_jsonl_log(spark, at).groupBy("order_id").agg(F.count("*").alias("lines"))
+
+
+@register("s6_eval_artifacts", _q([TXN, TXN_B, RING, _suffixed(RING, ("ab", "pr", "per_ring"), "b", "txnb")],
+    "select 'a' as model, ring_id, coverage, exposure_captured from per_ring union all select 'b', ring_id, coverage, exposure_captured from per_ring_b", ["coverage", "exposure_captured"]))
+def _(spark, d):
+    a, b = _two_models(_txn(spark, d))
+    at = scratch_path(spark, "eval")
+    tables.write_eval_artifacts({"a": {"per_ring": rings.per_ring(a)}, "b": {"per_ring": rings.per_ring(b)}}, at)
+    return tables.read_parquet(spark, f"{at}/per_ring").select("model", "ring_id", "coverage", "exposure_captured")
+
+
+# ---- streams over the same files ----------------------------------------------------------------
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    schema = table(spark, d, "events").schema
+    # a file stream takes a pattern, so the one file of the table arrives as one batch
+    return as_transactions(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))
+
+
+def _drain(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there into a table, and read it."""
+    spark = df.sparkSession
+    at = scratch_path(spark, name)
+    df.writeStream.format("parquet").outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+
+@register("st1_stream_dedup", _q([TXN], "select distinct order_id, customer_id, amount from txn", ["amount"]))
+def _(spark, d):
+    once = _stream(spark, d)
+    return _drain(jobs.stream_dedup(once.unionByName(once)).select("order_id", "customer_id", "amount"), "dedup")
+
+
+@register("st2_stream_features", o.matrix_sql(FEATURE_SETS["extended"]))
+def _(spark, d):
+    at = scratch_path(spark, "stream-features")
+    jobs.stream_features(_stream(spark, d), f"{at}/history", f"{at}/out", f"{at}/cp", "extended").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch_id")
+
+
+@register("st3_customer_state", _q([TXN, ENT, o.CUST], """select cast(order_id as varchar) as order_id, cast(customer_id as varchar) as customer_id, n30 as prior_order_count, spend as prior_spend,
+  n1 as customer_order_count_1h, n24 as customer_order_count_24h, n7 as customer_order_count_7d, n30 as customer_order_count_30d, cast(categories as double) as prior_category_count
+  from cust join cat using (order_id)""", ["prior_spend"]))
+def _(spark, d):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    had = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _drain(jobs.stream_customer_state(_stream(spark, d)), "state")
+    finally:
+        spark.conf.set(key, had) if had else spark.conf.unset(key)
+
+
+def _by_sharing(features: DataFrame) -> DataFrame:
+    return features.withColumn("calibrated_score", F.least(F.lit(1.0), F.col("graph_neighbor_count") / F.lit(12.0)))
+
+
+@register("st4_stream_alerts", _q([TXN, ENT, o.EVER], """select 'ALERT-' || substr(sha256(cast(order_id as varchar)), 1, 16) as alert_id, order_id, customer_id,
+  least(1.0::double, n / 12.0::double) as risk_score from txn join near_n using (order_id) where n >= 6""", ["risk_score"]))
+def _(spark, d):
+    at = scratch_path(spark, "stream-alerts")
+    jobs.stream_alerts(_stream(spark, d), _by_sharing, at, "combined").awaitTermination()
+    return spark.read.parquet(f"{at}/alerts").select("alert_id", "order_id", "customer_id", "risk_score")
+
+
+@register("st5_daily_metrics", _q([TXN, LOG], """select cast(cast(event_time as date) as varchar) as date, count(*) as requests, count_if(fallback_applied) as fallbacks,
+  count_if(fallback_applied) / count(*) as fallback_rate, count_if(alert) as alerts from log group by all""", ["fallback_rate"]))
+def _(spark, d):
+    at = scratch_path(spark, "daily")
+    daily = jobs.stream_daily_metrics(_log(_stream(spark, d)))
+    # the last day is still open when the input ends, so the running table is written, not only closed days
+    (daily.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{at}/out"))
+     .option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(daily.schema).parquet(f"{at}/out").drop("latency_p50", "latency_p95", "latency_p99")
+
+
+@register("st6_label_join", _q([TXN], "select order_id, predicted_score as calibrated_score, is_abuse from txn where order_id % 3 <> 0 and order_id % 40 <= 30", ["calibrated_score"]))
+def _(spark, d):
+    s = _stream(spark, d)
+    pred = s.select("order_id", F.col("event_time").alias("prediction_timestamp"), F.col("predicted_score").alias("calibrated_score"))
+    # labels come order_id % 40 days later: those after day 30 no longer count
+    lab = s.filter(F.col("order_id") % 3 != 0).select(
+        "order_id", (F.col("event_time") + F.make_dt_interval(days=(F.col("order_id") % 40).cast("int"))).alias("ground_truth_label_timestamp"), "is_abuse")
+    return _drain(jobs.stream_label_join(pred, lab), "labels").select("order_id", "calibrated_score", "is_abuse")
+
+
+@register("st7_stream_cases", None)
+def _(spark, d):
+    at = scratch_path(spark, "stream-cases")
+    al = _alerts(spark, d)
+    al.write.parquet(f"{at}/alerts")
+    jobs.stream_cases(spark.readStream.schema(al.schema).parquet(f"{at}/alerts"), at).awaitTermination()
+    return spark.read.parquet(f"{at}/cases").select("order_id", "alert_id", "case_id")
+
+
+@register("st8_history", _q([TXN, ENT, """firsts as (select min_by(order_id, t) as order_id from txn where t <= epoch_us(timestamp '2024-01-20') group by customer_id, merchant_category
+  union select min_by(order_id, t) from ent where t <= epoch_us(timestamp '2024-01-20') group by customer_id, etype, value)"""],
+    "select order_id, amount from txn where t > epoch_us(timestamp '2024-01-20') or order_id in (select order_id from firsts)", ["amount"]))
+def _(spark, d):
+    day = 86_400_000_000
+    return jobs.needed_history(_txn(spark, d), 1_704_067_200_000_000 + 29 * day, horizon_days=10).select("order_id", "amount")

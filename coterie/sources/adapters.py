@@ -11,6 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_transactions(table(spark, sf_dir, "events"))
+
+
+def as_transactions(events: DataFrame) -> DataFrame:
     """``events`` as orders with labels and a deterministic score.
 
     Customers share devices in pairs, addresses in threes, payments in fives and IPs in eights,
@@ -24,7 +28,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     abusive = (block(8) % 5 == 0) & (F.col("k") % 3 != 0)
     return (
-        table(spark, sf_dir, "events").withColumn("k", k).select(
+        events.withColumn("k", k).select(
             F.col("event_id").alias("order_id"), u.alias("customer_id"),
             F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("amount"),
             F.col("event_type").alias("merchant_category"), (F.col("k") % 4 == 0).cast("int").alias("retry_count"),
