@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coterie.functions import guarded_ratio
+from coterie.functions import beside, guarded_ratio
 from coterie.operators.asof import timed
 from coterie.operators.ordering import order_statistics, running
 
@@ -214,8 +214,8 @@ def roc_auc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 def evaluate_predictions(df: DataFrame, threshold: float = 0.5, review_cost: float = REVIEW_COST,
                          block_cost: float = BLOCK_COST) -> DataFrame:
     """One row with every event-level metric."""
-    return (confusion_metrics(df, threshold).crossJoin(ranking_metrics(df).drop("pr_auc_trapezoid"))
-            .crossJoin(expected_loss(df, threshold, review_cost, block_cost))
+    return (beside(confusion_metrics(df, threshold), ranking_metrics(df).drop("pr_auc_trapezoid"),
+                   expected_loss(df, threshold, review_cost, block_cost))
             .withColumn("threshold", F.lit(float(threshold))))
 
 
@@ -245,8 +245,7 @@ def delayed_label_evaluation(log: DataFrame, labels: DataFrame, orders: DataFram
     seen = log.agg(F.count("*").alias("_log"))
     status = (F.when(F.col("_log") == 0, "NO_SHADOW_DATA").when(F.col("matched_orders") == 0, "NO_MATCHED_LABELS")
               .otherwise("EVALUATED_WITH_LABELS"))
-    # three one-row frames
-    return counts.crossJoin(quality).crossJoin(seen).select(
+    return beside(counts, quality, seen).select(
         status.alias("evaluation_status"), "matched_orders", "tp", "fp", "fn", "tn", "precision", "recall", "f1",
         F.col("pr_auc_trapezoid").alias("pr_auc"), "roc_auc", "false_positive_rate", "false_negative_rate",
         "abuse_exposure", "captured_exposure",

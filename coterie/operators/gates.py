@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coterie.functions import guarded_ratio, health_band
+from coterie.functions import beside, guarded_ratio, health_band
 from coterie.operators.ordering import quantiles
 
 # Card number shapes, words, and limits the gates test.
@@ -100,8 +100,7 @@ def gate_matrix(*gates: DataFrame) -> DataFrame:
         rows = rows.unionByName(g)
     overall = rows.agg(F.bool_and("passed").alias("_all"), F.bool_or(F.col("status") == "WARN").alias("_warn")).select(
         F.when(~F.col("_all"), "FAIL").when(F.col("_warn"), "WARN").otherwise("PASS").alias("overall_status"))
-    # a handful of gate rows times one
-    return rows.crossJoin(overall)
+    return beside(rows, overall)
 
 
 def daily_observations(log: DataFrame) -> DataFrame:
@@ -143,7 +142,7 @@ def qualifying_streak(days: DataFrame) -> DataFrame:
     live = F.col("data_source") == "REAL_LIVE_PRODUCTION"
     good = live & F.col("passes")
     last_bad = days.agg(F.max(F.when(~good, F.col("date_str"))).alias("_reset"))
-    out = days.crossJoin(last_bad).agg(
+    out = beside(days, last_bad).agg(
         F.count_if(live).alias("live_days"), F.count("*").alias("days_inspected"), F.count_if(live & ~F.col("passes")).alias("failed_days"),
         F.count_if(F.col("_reset").isNull() | (F.col("date_str") > F.col("_reset"))).alias("streak"))
     status = (F.when(F.col("live_days") == 0, STATUS_NOT_STARTED).when(F.col("failed_days") > 0, STATUS_NO_GO)

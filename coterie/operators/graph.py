@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coterie.functions import clean_entity
+from coterie.functions import beside, clean_entity
 from coterie.operators.asof import timed
 from coterie.schema import ENTITIES, ENTITY_COLUMNS
 from coterie.sources.scratch import materialise
@@ -104,7 +104,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     ends = tagged.select(F.explode(F.array("cs", "cd")).alias("c")).groupBy("c").agg(F.count("*").alias("degree"))
     sq = ends.agg(F.sum(F.col("degree").cast("double") * F.col("degree").cast("double")).alias("d2"))
     m = F.col("m").cast("double")
-    return inside.crossJoin(sq).select((F.col("within") / m - F.col("d2") / (F.lit(4.0) * m * m)).alias("modularity"))
+    return beside(inside, sq).select((F.col("within") / m - F.col("d2") / (F.lit(4.0) * m * m)).alias("modularity"))
 
 
 def graph_summary(snapshot: DataFrame, community: DataFrame | None = None) -> DataFrame:

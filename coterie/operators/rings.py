@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coterie.functions import guarded_ratio
+from coterie.functions import beside, guarded_ratio
 from coterie.operators.graph import consolidate_alerts
 from coterie.operators.ordering import order_statistics, quantiles
 from coterie.sources.scratch import materialise
@@ -125,7 +125,7 @@ def top_k(scored: DataFrame, ks=TOP_K) -> DataFrame:
         F.count("*").alias("rings_touched"), F.count_if(cov >= RULE_B).alias("rule_b_detected"),
         F.count_if(cov >= RULE_C).alias("rule_c_detected"), F.sum(cov).alias("coverage_sum"))
     grid = scored.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
-    out = grid.join(queue, "k", "left").join(touched, "k", "left").crossJoin(loss).crossJoin(active).fillna(0).fillna(0.0)
+    out = beside(grid.join(queue, "k", "left").join(touched, "k", "left"), loss, active).fillna(0).fillna(0.0)
     rings = F.col("rings")
     return out.select(
         "k", guarded_ratio(F.col("tp_count"), F.col("taken")).alias("precision"), "tp_count", "fp_count", "rings_touched",
@@ -305,7 +305,7 @@ def threshold_sensitivity(scored: DataFrame, grid=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6,
     money = cells.agg(F.coalesce(F.sum("loss_amount"), F.lit(0.0)).alias("total"), *[
         F.coalesce(F.sum(F.when(F.col("predicted_score") >= F.lit(float(t)), F.col("loss_amount"))), F.lit(0.0)).alias(f"e{k}")
         for k, t in enumerate(grid)])
-    per_t = recall.crossJoin(money).select("rings", "total", F.inline(F.array(*[
+    per_t = beside(recall, money).select("rings", "total", F.inline(F.array(*[
         F.struct(F.lit(float(t)).alias("threshold"), F.col(f"a{k}").alias("rule_a"), F.col(f"c{k}").alias("rule_c"),
                  F.col(f"e{k}").alias("exposure_captured")) for k, t in enumerate(grid)])))
     out = table.join(per_t, "threshold").join(cases, "threshold", "left")

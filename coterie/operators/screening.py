@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions import mask_tail, monitor_status
+from coterie.functions import beside, mask_tail, monitor_status
 from coterie.operators.asof import timed
 from coterie.schema import ENTITY_COLUMNS
 
@@ -74,7 +74,7 @@ def feed_rows(scored: DataFrame) -> DataFrame:
         c = ENTITY_COLUMNS[e]
         born = rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(me).alias(f"_born_{e}"))
         out = out.join(born, c, "left")
-    out = out.crossJoin(F.broadcast(first))
+    out = beside(out, first)
     shared = F.array_compact(F.array(*[F.when(F.col(f"_born_{e}") < me, F.lit(v)) for e, v in labels.items()]))
     out = out.withColumn("shared", shared)
     risk, fallback = F.col("calibrated_score"), F.coalesce(F.col("fallback_applied"), F.lit(False))

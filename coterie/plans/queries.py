@@ -169,7 +169,8 @@ def _(spark, d):
     return unpivot_entities(timed(_txn(spark, d))).select("order_id", "etype", "value")
 
 
-@register("p10_manifest", None)
+@register("p10_manifest", "select unnest([" + ", ".join(f"'{c}'" for c in FEATURE_CONTRACT[:37]) + "]) as feature, unnest([" + ", ".join(
+    ["'baseline'"] * 19 + ["'graph'"] * 18) + "]) as source, 'strictly earlier events only' as as_of_rule, true as target_independent")
 def _(spark, d):
     # the manifest of the columns that the matrix of these tables really has
     built = feature_matrix(_txn(spark, d), "combined")
@@ -327,7 +328,28 @@ walk as (select c, c as d from fv union select w.c, nb.d from walk w join nb on
 root as (select c, min(d) as r from walk group by c)"""
 
 
-@register("e8_threshold_sensitivity", None)
+_GRID = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::double[]"
+SENS = f"""
+th as (select unnest({_GRID}) as threshold),
+fv as (select distinct threshold, ent.customer_id as c, etype, value from th join txn on predicted_score >= threshold join ent using (order_id)),
+nb as (select distinct a.threshold, a.c, b.c as d from fv a join fv b on a.threshold = b.threshold and a.etype = b.etype and a.value = b.value),
+walk as (select distinct threshold, c, c as d from fv union select w.threshold, w.c, nb.d from walk w join nb on nb.threshold = w.threshold and nb.c = w.d),
+root as (select threshold, c, min(d) as r from walk group by all),
+nc as (select threshold, count(distinct r) as n from root group by all),
+cm as (select threshold, count_if(hit and bad) as tp, count_if(hit and not bad) as fp, count_if(not hit and bad) as fn, sum(case when not hit and bad then loss_amount else 0 end) as missed,
+  sum(case when hit and bad and ring_id is not null then loss_amount else 0 end) as captured, sum(case when bad and ring_id is not null then loss_amount else 0 end) as total
+  from (select threshold, predicted_score >= threshold as hit, is_abuse = 1 as bad, loss_amount, ring_id from txn, th) group by all),
+rc as (select threshold, avg(cast(cov > 0 as double)) as a, avg(cast(cov >= 0.5 as double)) as c from (
+  select threshold, ring_id, count(distinct case when predicted_score >= threshold then customer_id end) / count(distinct customer_id) as cov from txn, th
+  where is_abuse = 1 and ring_id is not null group by all) group by all)"""
+
+
+@register("e8_threshold_sensitivity", _q([TXN, ENT, SENS], """select threshold, threshold = 0.5 as is_operating_point, case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision,
+  tp / (tp + fn) as recall, 2 * tp / (2 * tp + fp + fn) as f1, fp as false_positives, tp as true_positives, missed + fp * 12.0::double as expected_loss, tp + fp as total_alerts,
+  (tp + fp) / 30.0::double as daily_alerts, coalesce(n, 0) as consolidated_cases, coalesce(n, 0) / 30.0::double as daily_cases, captured as exposure_captured,
+  case when total > 0 then captured / total * 100 else 0 end as exposure_captured_pct, captured / greatest(1, coalesce(n, 0)) as exposure_per_case, a as rule_a_recall, c as rule_c_recall
+  from cm join rc using (threshold) left join nc using (threshold)""", ["precision", "recall", "f1", "expected_loss", "daily_alerts", "daily_cases", "exposure_captured",
+    "exposure_captured_pct", "exposure_per_case", "rule_a_recall", "rule_c_recall"]).replace("with ", "with recursive ", 1))
 def _(spark, d):
     return rings.threshold_sensitivity(_txn(spark, d), days=30.0)
 
@@ -750,7 +772,7 @@ def _(spark, d):
 def _(spark, d):
     e = graph.graph_snapshot(_txn(spark, d), AS_OF).select(F.col("customer").alias("src"), F.col("entity").alias("dst"))
     lab = graph.communities(e, rounds=5)
-    return lab.groupBy("community").agg(F.count("*").alias("nodes")).crossJoin(graph.modularity(e, lab))
+    return lab.groupBy("community").agg(F.count("*").alias("nodes")).transform(fn.beside, graph.modularity(e, lab))
 
 
 @register("g4_summary", _rec([TXN, ENT, f"flag as (select order_id from txn where event_time < timestamp '{AS_OF}')", _closure("flag"), """
@@ -884,7 +906,23 @@ def _(spark, d):
     return cases.pick_active_case(_with_status(cases.case_rollup(a)), a, run).select("case_id", "status", "risk_score")
 
 
-@register("p13_next_actions", None)
+P13 = """
+gc as (select cid, count(distinct case when etype = 'device' then en end) as devices, count(distinct case when etype = 'payment' then en end) as payments from me group by cid),
+sx as (select 'id_' || substr(sha256(case_id), 1, 10) as cid, st.* from st),
+act as (
+  select cid, 1 as priority, 'Escalate to risk operations' as title, 'ESCALATED' as action from sx where status = 'IN_REVIEW' and (severity = 'CRITICAL' or (severity = 'HIGH' and risk_score >= 0.9))
+  union all select cid, 1, 'Prioritize for exposure review', '' from sx where estimated_exposure >= 1000
+  union all select cid, 2, 'Trace the shared device cluster', '' from sx join gc using (cid) where devices <= 2 and customers >= 3
+  union all select cid, 3, 'Correlate payment instruments', '' from sx join gc using (cid) where payments > 0
+  union all select cid, 2, 'Open the review', 'IN_REVIEW' from sx where status = 'NEW'
+  union all select cid, 3, 'Confirm coordinated abuse', 'CONFIRMED_ABUSE' from sx where status = 'IN_REVIEW'
+  union all select cid, 3, 'Mark legitimate and release', 'LEGITIMATE' from sx where status = 'IN_REVIEW'
+  union all select cid, 4, 'Close the case', 'CLOSED' from sx where status <> 'CLOSED'
+  union all select cid, 5, 'Add an analyst note', 'note' from sx)"""
+
+
+@register("p13_next_actions", _rec([TXN, ENT, LOG, ALERTS, *COMP, ROLL, STATUS, GRAPH8, P13],
+    "select cid as case_id, cast(row_number() over (partition by cid order by priority, title) - 1 as int) as position, priority, title, action from act"))
 def _(spark, d):
     a, al = _by_component(spark, d)
     n, _ = cases.case_graph(a, al)
