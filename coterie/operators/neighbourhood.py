@@ -400,7 +400,7 @@ def bridge_components() -> Column:
 
 
 def same_type_reach(edges: DataFrame) -> DataFrame:
-    """(etype, value, far, t, order_id): from which order on some user of ``value`` has also used ``far``.
+    """(etype, value, far, at): from which order on some user of ``value`` has also used ``far``.
 
     Lifetime sets only grow, so what a value reaches is a list of arrival times per value; orders read
     a running count of it and never meet the customers in between.
@@ -408,12 +408,73 @@ def same_type_reach(edges: DataFrame) -> DataFrame:
     a = edges.select("etype", "customer_id", "value", F.struct("from_t", "from_id").alias("f"))
     b = edges.select("etype", "customer_id", F.col("value").alias("far"), F.struct("from_t", "from_id").alias("g"))
     return (a.join(b, ["etype", "customer_id"]).groupBy("etype", "value", "far")
-            .agg(F.min(F.greatest("f", "g")).alias("m"))
-            .select("etype", "value", "far", F.col("m.from_t").alias("t"), F.col("m.from_id").alias("order_id")))
+            .agg(F.min(F.greatest("f", "g")).alias("at")))
+
+
+def heavy_users(edges: DataFrame, heavy: int) -> DataFrame:
+    """(etype, value, star, star_at): the user of the value with the most values of the type, if more than ``heavy``."""
+    many = edges.groupBy("etype", "customer_id").agg(F.count("*").alias("n")).filter(F.col("n") > heavy)
+    return edges.join(many, ["etype", "customer_id"]).groupBy("etype", "value").agg(
+        F.max(F.struct("n", "customer_id", F.struct("from_t", "from_id").alias("at"))).alias("s")).select(
+        "etype", "value", F.col("s.customer_id").alias("star"), F.col("s.at").alias("star_at"))
+
+
+def component_counts(mine: DataFrame, edges: DataFrame, ties: str, skew: SkewPlan, heavy: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """((order_id, far), reach): same-type values reached from the order's values, summed over the types.
+
+    A value's heaviest user is not paired with its values: orders read the running count of what that
+    customer has used, and what the other users reach is counted only until the heavy one has it too.
+    ``reach`` lists (etype, value, far, at) without the heavy users' own values.
+    """
+    hot = "hot_value" if skew.values is not None else None
+    stars = materialise(heavy_users(edges, heavy), "stars")
+    none = stars.isEmpty()
+    light = edges if none else edges.join(
+        stars.select("etype", "value", F.col("star").alias("customer_id"), F.lit(True).alias("_star")),
+        ["etype", "value", "customer_id"], "left").filter(F.col("_star").isNull()).drop("_star")
+    first = F.struct("from_t", "from_id")
+    if none:
+        reach = materialise(same_type_reach(edges), "reach")
+        gains = reach.select("etype", "value", "at", F.lit(1).alias("_in"))
+    else:
+        a = light.select("etype", "customer_id", "value", first.alias("f"))
+        b = edges.select("etype", "customer_id", F.col("value").alias("far"), first.alias("g"))
+        reach = materialise(a.join(b, ["etype", "customer_id"]).groupBy("etype", "value", "far").agg(
+            F.min(F.greatest("f", "g")).alias("at")), "reach")
+        has = edges.select("etype", F.col("customer_id").alias("star"), F.col("value").alias("far"), first.alias("had"))
+        both = reach.join(stars, ["etype", "value"], "left").join(has, ["etype", "star", "far"], "left").withColumn(
+            "taken", F.when(F.col("had").isNotNull(), F.greatest("had", "star_at")))
+        gains = both.filter(F.col("taken").isNull() | (F.col("at") < F.col("taken"))).select("etype", "value", F.inline(F.array_compact(F.array(
+            F.struct(F.col("at"), F.lit(1).alias("_in")),
+            F.when(F.col("taken").isNotNull(), F.struct(F.col("taken").alias("at"), F.lit(-1).alias("_in")))))))
+    moves = (mine.select("etype", "value", "t", "order_id", F.lit(0).alias("_in"))
+             .unionByName(gains.select("etype", "value", F.col("at.from_t").alias("t"), F.col("at.from_id").alias("order_id"), "_in")))
+    moves = moves.withColumn("_gain", F.col("_in") != 0)
+    if hot:
+        moves = skew.mark_values(moves)
+    out = sweep(moves, ["etype", "value"], [Measure("far", F.col("_in"))], ties, hot, skew.slice_us, then_by=["_gain"])
+    out = out.filter(~F.col("_gain")).select("order_id", "far")
+    if not none:
+        read = mine.join(stars, ["etype", "value"]).filter(
+            before("star_at.from_t", "star_at.from_id", "t", "order_id", ties)).select(
+            "etype", F.col("star").alias("customer_id"), "t", "order_id", F.lit(0).alias("_in"))
+        have = edges.join(stars.select("etype", F.col("star").alias("customer_id")).distinct(), ["etype", "customer_id"], "left_semi").select(
+            "etype", "customer_id", F.col("from_t").alias("t"), F.col("from_id").alias("order_id"), F.lit(1).alias("_in"))
+        both = read.unionByName(have).withColumn("_gain", F.col("_in") != 0)
+        flag = None
+        if skew.customers is not None:
+            both, flag = skew.mark(both), "hot_customer"
+        held = sweep(both, ["etype", "customer_id"], [Measure("far", F.col("_in"))], ties, flag, skew.slice_us, then_by=["_gain"])
+        out = out.unionByName(held.filter(~F.col("_gain")).select("order_id", "far"))
+        star_reach = stars.join(edges.select("etype", F.col("customer_id").alias("star"), F.col("value").alias("far"), first.alias("had")), ["etype", "star"])
+        reach = (reach, star_reach.select("etype", "value", "far", F.greatest("had", "star_at").alias("at")))
+    else:
+        reach = (reach,)
+    return out.groupBy("order_id").agg(F.sum("far").alias("far")), reach
 
 
 def graph_features(orders: DataFrame, history_days: int = 30, ties: str = "sequence", skew: SkewPlan | None = None,
-                   targets: DataFrame | None = None, crowd: int = 256) -> DataFrame:
+                   targets: DataFrame | None = None, crowd: int = 256, heavy: int = 1_000) -> DataFrame:
     """18 columns over the lifetime customer-entity graph; the customer's own reuse counts.
 
     The union of customers over the four values is counted without listing the most popular one when
@@ -450,21 +511,20 @@ def graph_features(orders: DataFrame, history_days: int = 30, ties: str = "seque
         near = known.groupBy("order_id").agg(F.count("*").alias("listed"))
         out = out.join(near, "order_id", "left").join(skip.select("order_id", "crowd_type"), "order_id", "left")
 
-    reach = materialise(same_type_reach(edges), "reach")
-    hot = "hot_value" if skew.values is not None else None
-    moves = (mine.select("etype", "value", "t", "order_id", F.lit(0).alias("_in"))
-             .unionByName(reach.select("etype", "value", "t", "order_id", F.lit(1).alias("_in"))))
-    if hot:
-        moves = skew.mark_values(moves)
-    far = sweep(moves, ["etype", "value"], [Measure("far", F.col("_in"))], ties, hot, skew.slice_us, then_by=["_in"])
-    far = far.filter("_in = 0").groupBy("order_id").agg(F.sum("far").alias("far"))
+    far, reaches = component_counts(mine, edges, ties, skew, heavy)
     out = out.join(far, "order_id", "left")
     # equal strings under several kinds are one node: take back what was counted twice
     clash = materialise(name_births(orders).filter("clash").select(F.col("node").alias("far")), "clash")
     twice = F.lit(0.0)
     if not clash.isEmpty():
-        same = (mine.join(reach.join(clash, "far").withColumnRenamed("t", "from_t").withColumnRenamed("order_id", "from_id"),
-                          ["etype", "value"]).filter(earlier).groupBy("order_id", "me", "far").agg(F.count("*").alias("n")))
+        # the few clashing strings are looked up one by one; the joins start from them
+        named = None
+        for r in reaches:
+            part = r.join(F.broadcast(clash) if clash.count() < 100_000 else clash, "far")
+            named = part if named is None else named.unionByName(part)
+        named = named.groupBy("etype", "value", "far").agg(F.min("at").alias("at")).select(
+            "etype", "value", "far", F.col("at.from_t").alias("from_t"), F.col("at.from_id").alias("from_id"))
+        same = mine.join(named, ["etype", "value"]).filter(earlier).groupBy("order_id", "me", "far").agg(F.count("*").alias("n"))
         back = same.groupBy("order_id").agg(F.sum(F.col("n") - F.when(F.col("far") == F.col("me"), 0).otherwise(1)).alias("twice"))
         out = out.join(back, "order_id", "left")
         twice = F.coalesce(_count(F.col("twice")), F.lit(0.0))

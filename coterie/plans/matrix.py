@@ -25,7 +25,7 @@ def columns_of(name: str) -> list[str]:
 
 def feature_matrix(orders: DataFrame, name: str = "subgraph_extended", labels: DataFrame | None = None,
                    history_days: int = 30, ties: str = "sequence", epoch: str = "2025-01-01",
-                   skew: SkewPlan | None = None, targets: DataFrame | None = None, crowd: int = 256) -> DataFrame:
+                   skew: SkewPlan | None = None, targets: DataFrame | None = None, crowd: int = 256, heavy: int = 1_000) -> DataFrame:
     """(order_id, features in contract order[, y]) for one of ``FEATURE_SETS``.
 
     The one-key families share one customer table and one pivot of the per-type tables, so adding
@@ -47,7 +47,7 @@ def feature_matrix(orders: DataFrame, name: str = "subgraph_extended", labels: D
         cols += behaviour.customer_relative_columns()
     out = neighbourhood.focus_rows(wide.select("order_id", *cols), targets)
     if "graph" in families:
-        out = out.join(neighbourhood.graph_features(orders, history_days, ties, skew, targets, crowd), "order_id")
+        out = out.join(neighbourhood.graph_features(orders, history_days, ties, skew, targets, crowd, heavy), "order_id")
     if "two_hop" in families:
         windows = (neighbourhood.W7, neighbourhood.W24) if "subgraph" in families else (neighbourhood.W7,)
         hood = neighbourhood.Neighbourhood.build(orders, ties, skew, windows, targets)

@@ -46,7 +46,7 @@ def test_matrix_equals_model(spark, ties, hot):
     skew = find_skew(orders, max_rows=40) if hot else None
     if hot:
         assert skew.customers is not None and skew.values is not None
-    got = {r["order_id"]: r for r in feature_matrix(orders, ties=ties, skew=skew, crowd=3 if hot else 256).collect()}
+    got = {r["order_id"]: r for r in feature_matrix(orders, ties=ties, skew=skew, crowd=3 if hot else 256, heavy=4 if hot else 1_000).collect()}
     want = model(rows, ties=ties, epoch=EPOCH)
     assert set(got) == set(want)
     wrong = {}
