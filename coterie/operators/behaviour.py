@@ -34,8 +34,11 @@ def _at_least_one(c: Column) -> Column:
 
 
 def customer_level(orders: DataFrame, history_days: int = 30, ties: str = "sequence",
-                   skew: SkewPlan | None = None) -> DataFrame:
-    """Window counts and sums of the customer's own orders, plus first use of a category."""
+                   skew: SkewPlan | None = None, counts: bool = True) -> DataFrame:
+    """Window counts and sums of the customer's own orders, plus first use of a category.
+
+    Without ``counts`` the 1 h / 24 h / 7 d / 30 d counts (and the rows that expire them) are left out.
+    """
     skew = skew or SkewPlan()
     hot = "hot_customer" if skew.customers is not None else None
     horizon = history_days * DAY
@@ -48,9 +51,9 @@ def customer_level(orders: DataFrame, history_days: int = 30, ties: str = "seque
     rows = nearest_in_time(rows, ["customer_id"], hot, skew.slice_us, strict=ties == "strict")
     rows = rows.withColumnRenamed("prev_t", "last_t").drop("next_t")
     rows = nearest_in_time(rows, ["customer_id", "merchant_category"], hot, skew.slice_us)
+    spans = {"n_1h": HOUR, "n_24h": DAY, "n_7d": 7 * DAY, "n_30d": 30 * DAY} if counts else {}
     measures = [
-        Measure("n_1h", F.lit(1), HOUR), Measure("n_24h", F.lit(1), DAY), Measure("n_7d", F.lit(1), 7 * DAY),
-        Measure("n_30d", F.lit(1), 30 * DAY), Measure("n_hist", F.lit(1), horizon),
+        *[Measure(name, F.lit(1), w) for name, w in spans.items()], Measure("n_hist", F.lit(1), horizon),
         Measure("spend", cents, horizon, dtype=MONEY),
         Measure("spend_sq", (cents * cents).cast(SQUARE), horizon, dtype=SQUARE),
         first_use("categories"),
@@ -66,13 +69,14 @@ def customer_level(orders: DataFrame, history_days: int = 30, ties: str = "seque
     seen = F.col("last_t").isNotNull() & (F.col("last_t") > F.col("t") - F.lit(horizon))
     return out.select(
         "order_id", "customer_id", "t", "amount", "retry_count",
-        *[_d(c).alias(c) for c in ("n_1h", "n_24h", "n_7d", "n_30d", "n_hist", "categories")],
+        *[_d(c).alias(c) for c in (*spans, "n_hist", "categories")],
         _d("spend").alias("spend"), mean.alias("mean"), std.alias("std"),
         F.when(seen, _d(F.col("t") - F.col("last_t")) / F.lit(3.6e9)).otherwise(F.lit(9999.0)).alias("idle_hours"),
     )
 
 
-def own_entity_level(orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None) -> DataFrame:
+def own_entity_level(orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None,
+                     firsts: bool = True, uses: bool = True) -> DataFrame:
     """Per (order, type): the customer's own use of the value (``raw`` rule counts, ``clean`` rule firsts)."""
     skew = skew or SkewPlan()
     hot = "hot_customer" if skew.customers is not None else None
@@ -85,21 +89,24 @@ def own_entity_level(orders: DataFrame, ties: str = "sequence", skew: SkewPlan |
     if hot is None:
         # every window below refines customer_id, so this is the only shuffle
         rows = rows.repartition("customer_id")
-    rows = nearest_in_time(rows, ["customer_id", "etype", "value"], hot, skew.slice_us, strict=ties == "strict")
-    rows = rows.withColumn("is_new", (F.col("value").isNotNull() & F.col("prev_t").isNull()).cast("long"))
-    if ties == "strict":
-        # several rows of one instant are all new, but the value is counted once
-        one = Window.partitionBy("customer_id", "etype", "value", "t").orderBy("order_id")
-        rows = rows.withColumn("first", (F.row_number().over(one) == 1).cast("long") * F.col("is_new"))
-    else:
-        rows = rows.withColumn("first", F.col("is_new"))
-    rows = rows.drop("prev_t", "next_t")
-    rows = sweep(rows, ["customer_id", "etype"], [Measure("used", F.col("first"))], ties, hot, skew.slice_us)
-    uses = [Measure("own_1h", F.lit(1), HOUR), Measure("own_24h", F.lit(1), DAY), Measure("own_7d", F.lit(1), 7 * DAY)]
-    out = sweep(rows, ["customer_id", "etype", "raw"], uses, ties, hot, skew.slice_us)
+    if firsts:
+        rows = nearest_in_time(rows, ["customer_id", "etype", "value"], hot, skew.slice_us, strict=ties == "strict")
+        rows = rows.withColumn("is_new", (F.col("value").isNotNull() & F.col("prev_t").isNull()).cast("long"))
+        if ties == "strict":
+            # several rows of one instant are all new, but the value is counted once
+            one = Window.partitionBy("customer_id", "etype", "value", "t").orderBy("order_id")
+            rows = rows.withColumn("first", (F.row_number().over(one) == 1).cast("long") * F.col("is_new"))
+        else:
+            rows = rows.withColumn("first", F.col("is_new"))
+        rows = rows.drop("prev_t", "next_t")
+        rows = sweep(rows, ["customer_id", "etype"], [Measure("used", F.col("first"))], ties, hot, skew.slice_us)
+    if uses:
+        spans = {"own_1h": HOUR, "own_24h": DAY, "own_7d": 7 * DAY}
+        rows = sweep(rows, ["customer_id", "etype", "raw"], [Measure(n, F.lit(1), w) for n, w in spans.items()], ties, hot, skew.slice_us)
     present = F.col("raw").isNotNull()
-    return out.select("order_id", "etype", _d("used").alias("used"), _d("is_new").alias("is_new"),
-                      *[F.when(present, _d(c)).otherwise(F.lit(0.0)).alias(c) for c in ("own_1h", "own_24h", "own_7d")])
+    return rows.select(
+        "order_id", "etype", *([_d(c).alias(c) for c in ("used", "is_new")] if firsts else []),
+        *([F.when(present, _d(c)).otherwise(F.lit(0.0)).alias(c) for c in ("own_1h", "own_24h", "own_7d")] if uses else []))
 
 
 def entity_level(orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None) -> DataFrame:
@@ -229,8 +236,8 @@ def customer_relative_columns() -> list[Column]:
 def baseline_features(orders: DataFrame, history_days: int = 30, ties: str = "sequence",
                       epoch: str = "2025-01-01", skew: SkewPlan | None = None) -> DataFrame:
     skew = skew or find_skew(orders)
-    base = customer_level(orders, history_days, ties, skew)
-    own = own_entity_level(orders, ties, skew).select("order_id", "etype", "used", "is_new")
+    base = customer_level(orders, history_days, ties, skew, counts=False)
+    own = own_entity_level(orders, ties, skew, uses=False)
     return with_levels(base, pivot_levels(own)).select("order_id", *baseline_columns(history_days, epoch))
 
 
@@ -242,5 +249,5 @@ def temporal_velocity_features(orders: DataFrame, ties: str = "sequence", skew:
 def customer_relative_features(orders: DataFrame, ties: str = "sequence", skew: SkewPlan | None = None) -> DataFrame:
     skew = skew or find_skew(orders)
     base = customer_level(orders, 30, ties, skew)
-    own = own_entity_level(orders, ties, skew).select("order_id", "etype", "own_1h", "own_24h", "own_7d")
+    own = own_entity_level(orders, ties, skew, firsts=False)
     return with_levels(base, pivot_levels(own)).select("order_id", *customer_relative_columns())

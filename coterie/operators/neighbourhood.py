@@ -489,7 +489,7 @@ def graph_features(orders: DataFrame, history_days: int = 30, ties: str = "seque
     users = edges.select("etype", "value", F.col("customer_id").alias("who"), "from_t", "from_id")
     earlier = before("from_t", "from_id", "t", "order_id", ties)
     popular = materialise(edges.groupBy("etype", "value").agg(F.count("*").alias("degree")).filter(F.col("degree") > crowd), "popular")
-    base = focus_rows(customer_level(orders, history_days, ties, skew), targets)
+    base = focus_rows(customer_level(orders, history_days, ties, skew, counts=False), targets)
     flat = pivot_levels(shared_level(orders, ties, skew).select("order_id", "etype", "people_ever"))
     out = with_levels(base.select("order_id", "n_hist"), flat)
     if popular.isEmpty():

@@ -35,8 +35,9 @@ def feature_matrix(orders: DataFrame, name: str = "subgraph_extended", labels: D
     """
     families = FEATURE_SETS[name]
     skew = skew or find_skew(orders)
-    base = behaviour.customer_level(orders, history_days, ties, skew)
-    levels = [behaviour.own_entity_level(orders, ties, skew)]
+    counts = "customer_relative" in families
+    base = behaviour.customer_level(orders, history_days, ties, skew, counts)
+    levels = [behaviour.own_entity_level(orders, ties, skew, uses=counts)]
     if "temporal" in families:
         levels.append(behaviour.entity_level(orders, ties, skew))
     wide = behaviour.with_levels(base, behaviour.pivot_levels(*levels))
