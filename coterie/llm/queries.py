@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm import exchanges, languages, quality, recipes, transducer
-from coterie.sources.scratch import materialise, scratch_path
+from coterie.llm import exchanges, languages, mainpage, near, packing, quality, recipes, transducer
+from coterie.sources.scratch import scratch_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,20 @@ def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("case_id").alias("doc_id"), held_out(F.col("case_id")).alias("held_out"), F.col("language").alias("lang_pred"), "score")
 
 
+def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_narratives(
+        _narratives(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("case_id", "doc_id")
+
+
 def op4_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_duplicates(_narratives(spark, sf_dir)).withColumnRenamed("case_id", "doc_id")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return mainpage.extract_pages(pages, mainpage.fit_blocks(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str, documents: DataFrame) -> quality.AdditiveModel:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("good"))
     return quality.fit_quality(documents.select("doc_id", F.col("text").alias("narrative")).join(labels, "doc_id")
@@ -67,7 +77,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("case_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exchange_archive, op2_languages, op4_exact_duplicates, op7_quality, op9_byte_bpe)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_narratives(spark, sf_dir), words=3, percent=85).withColumnRenamed("case_id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exchange_archive, op2_languages, op3_pattern_packing, op4_exact_duplicates, op6_main_text, op7_quality, op9_byte_bpe, op10_near_duplicates)}
 
 _EMPTY = "coalesce(html, '')"
 _SHA1_32 = "translate(upper(" + " || ".join(

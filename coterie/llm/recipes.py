@@ -86,7 +86,7 @@ def _chunk_rows(narratives: DataFrame, key_bytes: int, remembered: int) -> DataF
         seen: set[bytes] = set()
         held = 0
         for batch in batches:
-            chunks = []
+            chunks, size = [], 0
             for text in _texts(batch.column(0)):
                 for c in _chunks(text):
                     if c in seen:
@@ -97,13 +97,20 @@ def _chunk_rows(narratives: DataFrame, key_bytes: int, remembered: int) -> DataF
                     seen.add(c)
                     held += len(c)
                     chunks.append(c)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(c, key_bytes) for c in chunks], pa.binary()), pa.array(chunks, pa.binary())], names=["key", "chunk"])
+                    size += len(c)
+                    if size > 1 << 21:
+                        yield rows(chunks)
+                        chunks, size = [], 0
+            yield rows(chunks)
+
+    def rows(chunks: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([_key(c, key_bytes) for c in chunks], pa.binary()), pa.array(chunks, pa.binary())], names=["key", "chunk"])
 
     return narratives.select("narrative").mapInArrow(read, "key binary, chunk binary")
 
 
-def colliding_chunks(narratives: DataFrame, key_bytes: int = 16, remembered: int = 1 << 26) -> DataFrame:
+def colliding_chunks(narratives: DataFrame, key_bytes: int = 16, remembered: int = 1 << 24) -> DataFrame:
     """``key, chunk, variant`` of identifiers that stand for several different chunks (normally none).
 
     Each chunk is sent once per task that holds it and compared byte by byte with all of its identifier."""

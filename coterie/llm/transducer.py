@@ -29,7 +29,7 @@ NONE = -1
 class Transducer:
     """Encoder of one piece of text by the ranks of ``ranks``, the merges applied lowest rank first."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000) -> None:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}
@@ -49,6 +49,10 @@ class Transducer:
                 node = at
             if self._made(ranks[token]):
                 self.token_at[node] = ranks[token]
+        self.below: list[list[int]] = [[] for _ in self.inner]
+        for key, node in self.child.items():
+            self.below[key >> 8].append(node)
+        self.hopes: dict[int, bool] = {}
         self.most_states = most_states
         self.start: State = (NONE, ((0, ()),))
         self._forget()
@@ -102,13 +106,25 @@ class Transducer:
                 i += 1
             else:
                 j += 1
-        if len(self.fits) > 500_000:
-            self.fits.clear()
         self.fits[left << 32 | right] = ok
         return ok
 
+    def _hopeful(self, last: int, node: int, look: int = 48) -> bool:
+        """Whether a token that passes ``node`` can follow ``last``; also if the first ``look`` places don't tell."""
+        todo, ok = list(self.below[node]), False
+        while todo:
+            look -= 1
+            at = todo.pop()
+            token = self.token_at[at]
+            if look < 0 or token >= 0 and self.follows(last, token):
+                ok = True
+                break
+            todo += self.below[at]
+        self.hopes[last << 32 | node] = ok
+        return ok
+
     def _move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        child, inner, token_at, fits = self.child, self.inner, self.token_at, self.fits
+        child, inner, token_at, fits, hopes = self.child, self.inner, self.token_at, self.fits, self.hopes
         before, starts = state
         live, found = [], None
         for node, held in starts:
@@ -116,7 +132,13 @@ class Transducer:
             if node is None:
                 continue
             if inner[node]:
-                live.append((node, held))
+                last = held[-1] if held else before
+                if last < 0:
+                    live.append((node, held))
+                else:
+                    ok = hopes.get(last << 32 | node)
+                    if self._hopeful(last, node) if ok is None else ok:
+                        live.append((node, held))
             if found is None:
                 token = token_at[node]
                 if token >= 0:
@@ -144,12 +166,33 @@ class Transducer:
         # all continuations agree on these
         return (one[common - 1], tuple([(node, held[common:]) for node, held in live])), one[:common]
 
+    def _end(self, state: State, byte: int) -> tuple[int, ...]:
+        """What is left to emit when ``byte`` is the last one; no state has to be made for it."""
+        before, starts = state
+        for node, held in starts:
+            node = self.child.get(node << 8 | byte)
+            if node is not None:
+                token = self.token_at[node]
+                if token >= 0:
+                    last = held[-1] if held else before
+                    if last < 0:
+                        return (*held, token)
+                    ok = self.fits.get(last << 32 | token)
+                    if self.follows(last, token) if ok is None else ok:
+                        return (*held, token)
+        raise ValueError("the rank file has no token for some byte")
+
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of ``piece``."""
+        if not piece:
+            return []
         if len(self.states) > self.most_states:
             self._forget()
+        if len(self.fits) + len(self.hopes) > 1_500_000:
+            self.fits.clear()
+            self.hopes.clear()
         at, out, moves = 0, [], self.moves
-        for b in piece:
+        for b in piece[:-1]:
             move = moves.get(at << 8 | b)
             if move is None:
                 state, tokens = self._move(self.states[at], b)
@@ -161,7 +204,7 @@ class Transducer:
             at, tokens = move
             if tokens:
                 out += tokens
-        out += self.states[at][1][-1][1]
+        out += self._end(self.states[at], piece[-1])
         return out
 
 
@@ -193,7 +236,7 @@ class TextEncoder:
     #: Texts with other blanks, or with white space that libraries see differently, go through the pattern whole.
     UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]| \s|\s ")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 500_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 1_200_000) -> None:
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.most = most
@@ -209,7 +252,15 @@ class TextEncoder:
 
     def unit(self, text: str) -> bytes:
         pieces, out = self.pieces, []
-        for piece in self.pattern.findall(text):
+        # a blank and letters, and perhaps a mark: what the pattern would find, without asking it
+        word = text[1:] if text[:1] == " " else text
+        if self.by_blank and word.isalpha():
+            found = (text,)
+        elif self.by_blank and word[-1:] in (".", ",") and word[:-1].isalpha():
+            found = (text[:-1], text[-1])
+        else:
+            found = self.pattern.findall(text)
+        for piece in found:
             ids = pieces.get(piece)
             if ids is None:
                 ids = self.transducer.encode(piece.encode("utf-8"))
