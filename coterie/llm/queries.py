@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm import exchanges, languages, mainpage, near, packing, quality, recipes, transducer
+from coterie.llm import exchanges, languages, mainpage, near, neighbours, packing, quality, recipes, transducer
 from coterie.sources.scratch import scratch_path
 
 
@@ -71,6 +71,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.transform("embedding", lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), F.floor(256 * v.cast("double")).cast("double")))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("order_id"), x.alias("features"))
+    out = neighbours.nearest_orders(vectors, vectors.where("order_id % 50 = 0"), 5)
+    return out.select("query_id", "rank", F.col("order_id").alias("vec_id"), F.col("score").cast("long").alias("score"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encoding_digests(
         _narratives(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -82,7 +89,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exchange_archive, op2_languages, op3_pattern_packing, op4_exact_duplicates, op6_main_text, op7_quality, op9_byte_bpe, op10_near_duplicates)}
+    op1_exchange_archive, op2_languages, op3_pattern_packing, op4_exact_duplicates, op6_main_text, op7_quality, op8_nearest_vectors, op9_byte_bpe,
+    op10_near_duplicates)}
 
 _EMPTY = "coalesce(html, '')"
 _SHA1_32 = "translate(upper(" + " || ".join(
@@ -95,6 +103,13 @@ ORACLES = {
                           min(page_id) over (partition by {_EMPTY}) as first_id from pages)
         select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
                case when page_id <> first_id then first_id end as refers_to from p""",
+    "op8_nearest_vectors": """
+        with v as (select vec_id, [cast(floor(256 * x::double) as bigint) for x in embedding] as q from embeddings
+                   where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+             s as (select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q::double[], b.q::double[]) as bigint) as score
+                   from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+             r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
     "op4_exact_duplicates": """
         with t as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as n from documents),
              r as (select doc_id, n, first_value(doc_id) over (partition by n order by length(text) desc, doc_id
