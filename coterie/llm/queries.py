@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.llm import exchanges, languages, mainpage, near, neighbours, packing, quality, recipes, transducer
+from coterie.llm import exchanges, languages, licences, mainpage, near, neighbours, packing, quality, recipes, transducer
 from coterie.sources.scratch import scratch_path
 
 
@@ -53,6 +53,11 @@ def op4_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_duplicates(_narratives(spark, sf_dir)).withColumnRenamed("case_id", "doc_id")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    return licences.find_licences(documents, licences.fit_licences(documents))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return mainpage.extract_pages(pages, mainpage.fit_blocks(pages)).withColumn("n_chars", F.length("text").cast("long"))
@@ -89,7 +94,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exchange_archive, op2_languages, op3_pattern_packing, op4_exact_duplicates, op6_main_text, op7_quality, op8_nearest_vectors, op9_byte_bpe,
+    op1_exchange_archive, op2_languages, op3_pattern_packing, op4_exact_duplicates, op5_licences, op6_main_text, op7_quality, op8_nearest_vectors, op9_byte_bpe,
     op10_near_duplicates)}
 
 _EMPTY = "coalesce(html, '')"
