@@ -6,6 +6,7 @@ it makes is as bounded. Pieces find their place by their rank among pieces of eq
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,8 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 class WordEncoder:
     """Ids of texts whose tokenizer never joins characters over ASCII white space: words are encoded once and kept."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism; threads of each would spin
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.kept: dict[str, bytes] = {}
