@@ -192,7 +192,7 @@ def test_pages_without_landmarks(spark):
 def test_pipeline_stages(spark, documents, tmp_path):
     docs = documents.withColumn("case_id", F.lit("other")).withColumn("score", F.lit(1))
     docs = docs.unionByName(spark.createDataFrame(
-        [(50_000, "la el de los que", "es", "s", 3, "o", 1), (50_000, "la el de los que", "es", "s", 3, "o", 1), (None, "in the house of the and", None, None, None, None, None), (50_001, None, None, "s", None, "o", 1)],
+        [(50_000, "la el de los que", "es", "s", 3, "o", 1), (50_000, "la el de los que", "es", "s", 3, "o", 1), (None, "in the house of the and", None, None, None, "o", 1), (50_001, None, None, "s", None, "o", 1)],
         docs.schema))
     columns, before = set(docs.columns), docs
     for name, stage in corpus_pipeline.STAGES:
