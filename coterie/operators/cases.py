@@ -79,60 +79,70 @@ def alert_evidence(alerts: DataFrame, history: DataFrame, window_days: int | Non
         F.when(F.col("evidence_type") == "score_threshold", "event").otherwise(F.lit(window)).alias("window"))
 
 
-def assign_cases(alerts: DataFrame, known: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def _links(alerts: DataFrame) -> DataFrame:
+    """(alert_id, t, order_id, v): the customer and the entity values of each alert."""
+    keys = F.transform("entity_keys", lambda x: F.concat_ws(":", x["etype"], x["value"]))
+    return alerts.select("alert_id", "t", "order_id", F.explode(
+        F.concat(F.array(F.concat(F.lit("customer:"), F.col("customer_id").cast("string"))), keys)).alias("v")).filter("v is not null")
+
+
+def assign_cases(alerts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(order_id, alert_id, customer_id, t, amount, risk_score, modalities, case_id).
 
     In arrival order an alert joins the smallest case id among the cases that hold its customer or
-    one of its entity values, or opens a case; cases never merge.  Written as equations,
+    one of its entity values, or opens a case; cases never merge.  An alert's case is at most that of
+    any earlier alert on its values, so along one value the smallest case so far is that of the
+    alert just before, and
 
-        case(i) = min over links v of i of  min { case(j) : j before i, v in links(j) },
+        case(i) = min over values v of i of case(alert just before i on v),
 
-    with the own id where no earlier alert is linked.  The dependence runs forward in time, so the
-    solution is unique; starting from the openers alone, every round lowers labels towards it and a
-    round that changes nothing has reached it.  A round is a running minimum per link value (cut
-    into days, so a popular value is not one task) and a minimum per alert.
+    with the own id where there is none.  That is the smallest opener an alert leads back to.  Every
+    alert points to its most promising predecessor; pointers are doubled with the minimum carried
+    along, so a chain of n alerts takes log n rounds, and then every alert looks at all its
+    predecessors again, until nothing changes.  The dependence runs backward in time only, so what
+    does not change is the one solution; there is no cap.
 
-    ``known`` holds alerts that already have a case (same columns); they are earlier than all others.
+    ``known`` holds alerts that already have a case (same columns).  They came before all others,
+    whatever their own times: on a value they count as one alert with the smallest of their cases.
     """
     keep = ["order_id", "alert_id", "customer_id", "t", "amount", "risk_score", "modalities"]
-    fresh = alerts.select(*keep, F.transform("entity_keys", lambda x: F.concat_ws(":", x["etype"], x["value"])).alias("keys"),
-                          F.lit(None).cast("string").alias("fixed"))
+    fresh = alerts.select(*keep, "entity_keys")
+    # the alert just before on each value: inside a day by a window, across days from the days' last alerts
+    links = materialise(_links(fresh).withColumn("slice", F.floor(F.col("t") / F.lit(DAY))), "alert-links")
+    at = F.struct("t", "order_id", "alert_id")
+    inside = Window.partitionBy("v", "slice").orderBy("t", "order_id", "alert_id")
+    days = links.groupBy("v", "slice").agg(F.max(at).alias("_last")).select(
+        "v", "slice", F.lag("_last.alert_id").over(Window.partitionBy("v").orderBy("slice")).alias("_carry"))
+    before = materialise(links.withColumn("_in", F.lag("alert_id").over(inside)).join(days, ["v", "slice"]).select(
+        "alert_id", "v", F.coalesce("_in", "_carry").alias("pred")), "alert-preds")
+    edges = materialise(before.filter("pred is not null").select("alert_id", "pred").distinct(), "alert-edges")
+    opened = before.groupBy("alert_id").agg(F.count("pred").alias("preds"))
     if known is not None:
-        fresh = fresh.unionByName(known.select(
-            *keep, F.transform("entity_keys", lambda x: F.concat_ws(":", x["etype"], x["value"])).alias("keys"),
-            F.col("case_id").alias("fixed")))
-    own = stable_id("CASE", "alert_id")
-    links = materialise(fresh.select(
-        "alert_id", "t", "order_id", "fixed",
-        F.explode(F.concat(F.array(F.concat(F.lit("customer:"), F.col("customer_id").cast("string"))), "keys")).alias("v"))
-        .withColumn("slice", F.floor(F.col("t") / F.lit(DAY))), "alert-links")
-    order = Window.partitionBy("v", "slice").orderBy("t", "order_id").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_days = Window.partitionBy("v").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-
-    def smallest_before(rows: DataFrame, c: str) -> DataFrame:
-        days = rows.groupBy("v", "slice").agg(F.min(c).alias("_m")).select(
-            "v", "slice", F.min("_m").over(earlier_days).alias("_carry"))
-        inside = rows.select("alert_id", "v", "slice", F.min(c).over(order).alias("_in"))
-        return inside.join(days, ["v", "slice"]).groupBy("alert_id").agg(F.min(F.least("_in", "_carry")).alias("best"))
-
-    # openers have no linked predecessor
-    linked = smallest_before(links.withColumn("_one", F.lit("x")), "_one")
-    state = materialise(links.select("alert_id", "fixed").distinct().join(linked, "alert_id").select(
-        "alert_id", F.coalesce("fixed", F.when(F.col("best").isNull(), own)).alias("case_id"),
-        (F.col("fixed").isNotNull() | F.col("best").isNull()).alias("settled")), "case-state")
-    for _ in range(max_rounds):
-        seen = links.join(state, "alert_id").select("alert_id", "t", "order_id", "v", "slice", "case_id")
-        better = smallest_before(seen, "case_id")
-        new = materialise(state.join(better, "alert_id").select(
-            "alert_id", F.when(F.col("settled"), F.col("case_id")).otherwise(F.col("best")).alias("case_id"), "settled",
-            (~F.col("settled") & ~F.col("best").eqNullSafe(F.col("case_id"))).alias("moved")), "case-state")
-        moved = new.filter("moved").limit(1).count()
-        state = new.drop("moved")
-        if not moved:
-            break
+        held = _links(known.select("alert_id", "t", "order_id", "customer_id", "entity_keys")).join(
+            known.select("alert_id", "case_id"), "alert_id").groupBy("v").agg(F.min("case_id").alias("held"))
+        old = before.filter("pred is null").join(held, "v").groupBy("alert_id").agg(F.min("held").alias("held"))
+        opened = opened.join(old, "alert_id", "left")
     else:
-        raise RuntimeError("case assignment did not settle")
-    return fresh.select(*keep).join(state.select("alert_id", "case_id"), "alert_id").select(*keep, "case_id")
+        opened = opened.withColumn("held", F.lit(None).cast("string"))
+    own = F.when(F.col("preds") == 0, stable_id("CASE", "alert_id"))
+    state = materialise(opened.select("alert_id", F.coalesce("held", own).alias("case_id")), "case-state")
+    while True:
+        seen = edges.join(state.select(F.col("alert_id").alias("pred"), F.col("case_id").alias("theirs")), "pred")
+        choice = seen.groupBy("alert_id").agg(F.min(F.struct(F.col("theirs").isNull().alias("none"), "theirs", "pred")).alias("c"))
+        walk = materialise(state.join(choice, "alert_id", "left").select(
+            "alert_id", "case_id", F.col("c.pred").alias("to")), "case-walk")
+        while not walk.filter("to is not null").isEmpty():
+            ahead = walk.select(F.col("alert_id").alias("to"), F.col("case_id").alias("_case"), F.col("to").alias("_to"))
+            walk = materialise(walk.join(ahead, "to", "left").select(
+                "alert_id", F.least("case_id", "_case").alias("case_id"), F.col("_to").alias("to")), "case-walk")
+        # all predecessors once more: where none is smaller the equations hold
+        theirs = edges.join(walk.select(F.col("alert_id").alias("pred"), "case_id"), "pred").groupBy("alert_id").agg(F.min("case_id").alias("low"))
+        new = materialise(walk.join(theirs, "alert_id", "left").select(
+            "alert_id", F.least("case_id", "low").alias("case_id"), (F.col("low") < F.col("case_id")).alias("moved")), "case-state")
+        state = new.select("alert_id", "case_id")
+        if new.filter("moved").isEmpty():
+            break
+    return fresh.select(*keep).join(state, "alert_id").select(*keep, "case_id")
 
 
 def case_rollup(assigned: DataFrame, burst: DataFrame | None = None) -> DataFrame:

@@ -820,14 +820,20 @@ def _(spark, d):
     return cases.alert_evidence(cases.create_alerts(_scored(t)), t)
 
 
-@register("g6_assign_cases", None)
-def _(spark, d):
-    return cases.assign_cases(_alerts(spark, d)).select("order_id", "alert_id", "case_id")
+def _greedy(arrival: str) -> list[str]:
+    """SQL of case assignment: the smallest opener among all that an alert leads back to, value by value."""
+    return [f"""lk as (select order_id, t, 'customer:' || customer_id as v from al union all select ent.order_id, ent.t, etype || '_id:' || value from ent join al using (order_id)),
+pr as (select order_id, lag(order_id) over (partition by v order by {arrival}) as p from lk), ed as (select distinct order_id, p from pr where p is not null),
+reach(o, x) as (select order_id, order_id from al where order_id not in (select order_id from ed) union select reach.o, ed.order_id from reach join ed on ed.p = reach.x),
+gr as (select x as order_id, min('CASE-' || substr(sha256('ALERT-' || substr(sha256(cast(o as varchar)), 1, 16)), 1, 16)) as case_id from reach group by x)"""]
+
 
+GREEDY_ROWS = "select order_id, 'ALERT-' || substr(sha256(cast(order_id as varchar)), 1, 16) as alert_id, case_id from gr"
 
-@register("g7_case_rollup", None)
+
+@register("g6_assign_cases", _rec([TXN, ENT, LOG, ALERTS, *_greedy("t, order_id")], GREEDY_ROWS))
 def _(spark, d):
-    return cases.case_rollup(cases.assign_cases(_alerts(spark, d)))
+    return cases.assign_cases(_alerts(spark, d)).select("order_id", "alert_id", "case_id")
 
 
 def _by_component(spark, d) -> DataFrame:
@@ -847,6 +853,12 @@ roll as (select case_id, count(distinct customer_id) as customers, count(*) as a
 cs as (select *, 4 as modalities, case when risk_score >= 0.9 then 'CRITICAL' when risk_score >= 0.75 or (risk_score >= 0.5) then 'HIGH' else 'LOW' end as severity from roll)"""
 
 
+@register("g7_case_rollup", _rec([TXN, ENT, LOG, ALERTS, *_greedy("t, order_id"), "asg as (select al.*, case_id from al join gr using (order_id))", ROLL],
+    "select * from cs", ["risk_score", "estimated_exposure"]))
+def _(spark, d):
+    return cases.case_rollup(cases.assign_cases(_alerts(spark, d)))
+
+
 @register("g7_component_rollup", _rec([TXN, ENT, LOG, ALERTS, *COMP, ROLL], "select * from cs", ["risk_score", "estimated_exposure"]))
 def _(spark, d):
     return cases.case_rollup(_by_component(spark, d)[0])
@@ -1292,12 +1304,14 @@ def _(spark, d):
     return _drain(jobs.stream_label_join(pred, lab), "labels").select("order_id", "calibrated_score", "is_abuse")
 
 
-@register("st7_stream_cases", None)
+@register("st7_stream_cases", _rec([TXN, ENT, LOG, ALERTS, *_greedy("order_id % 4, t, order_id")], GREEDY_ROWS))
 def _(spark, d):
+    # four arrivals, each spread over the whole time, so most alerts of the later ones are late; each repeats some of the first
     at = scratch_path(spark, "stream-cases")
-    al = _alerts(spark, d)
-    al.write.parquet(f"{at}/alerts")
-    jobs.stream_cases(spark.readStream.schema(al.schema).parquet(f"{at}/alerts"), at).awaitTermination()
+    al = materialise(_alerts(spark, d), "alerts")
+    for k in range(4):
+        al.filter((F.col("order_id") % 4 == k) | ((F.col("order_id") % 20 == 0) & F.lit(k > 0))).write.mode("append").parquet(f"{at}/alerts")
+        jobs.stream_cases(spark.readStream.schema(al.schema).parquet(f"{at}/alerts"), at).awaitTermination()
     return spark.read.parquet(f"{at}/cases").select("order_id", "alert_id", "case_id")
 
 

@@ -175,6 +175,34 @@ def test_case_assignment_is_the_greedy_fold(spark):
     assert 1 < len(set(got.values())) < 120
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_long_chain_of_alerts_is_one_case(spark, n):
+    """Neighbours share a device and an address in turn: each alert has one predecessor."""
+    T = dt.datetime(2025, 1, 1)
+    rows = [(f"O{k:05d}", f"C{k}", T + dt.timedelta(minutes=k), f"D{k // 2}", "", f"A{(k + 1) // 2}", "") for k in range(n)]
+    al = cases.create_alerts(orders(spark, rows).withColumn("calibrated_score", F.lit(0.8)))
+    assert cases.assign_cases(al).select("case_id").distinct().count() == 1
+
+
+def test_late_alerts_join_what_is_stored(spark):
+    """A stored alert came first, whatever its time; a random fold in two arrivals agrees."""
+    rng = random.Random(11)
+    T = dt.datetime(2025, 1, 1)
+    rows = [(f"O{k:03d}", f"C{rng.randrange(40)}", T + dt.timedelta(hours=5 * k), f"D{rng.randrange(60)}", f"I{rng.randrange(60)}", "", f"P{rng.randrange(90)}") for k in range(120)]
+    rows += [("late", "CX", T - dt.timedelta(days=3), "D7", "", "", ""), ("stored", "CY", T + dt.timedelta(days=99), "D7", "", "", "")]
+    al = cases.create_alerts(orders(spark, rows).withColumn("calibrated_score", F.lit(0.8)))
+    from coterie.functions import stable_id
+    late = F.pmod(F.xxhash64("order_id"), F.lit(3)) == 0
+    late = F.when(F.col("order_id") == "late", True).when(F.col("order_id") == "stored", False).otherwise(late)
+    known = cases.assign_cases(al.filter(~late)).join(al.select("alert_id", "entity_keys"), "alert_id")
+    got = {r["order_id"]: r["case_id"] for r in known.collect()}
+    got |= {r["order_id"]: r["case_id"] for r in cases.assign_cases(al.filter(late), known).collect()}
+    raw = [r.asDict(recursive=True) for r in al.withColumn("own", stable_id("CASE", "alert_id")).withColumn("late", late).collect()]
+    for r in raw:  # arrival order for the fold
+        r["t"] += 10 ** 18 * r["late"]
+    assert got == greedy(raw) and got["late"] == got["stored"]
+
+
 def test_alerts_and_rollup(spark):
     T = dt.datetime(2025, 1, 1)
     o = orders(spark, [("O1", "C1", T, "D1", "", "A1", ""), ("O1", "C1", T, "D1", "", "A1", ""), ("O2", "C2", T + dt.timedelta(hours=1), "D1", "", "", ""),
