@@ -69,15 +69,15 @@ def find_skew(orders: DataFrame, max_rows: int = 2_000_000, max_keys: int = 50_0
               slice_us: int = HOUR) -> SkewPlan:
     """Look for customers and entity values with more than ``max_rows`` orders.
 
-    One map-side combined count per key kind.  The list that comes back is bounded by
-    ``max_keys`` rows (the heaviest keys first), so it is safe to broadcast whatever the input
-    size; a key left out is smaller than every listed one and simply stays in one slice.
+    One map-side combined count per key kind.  With more than ``max_rows * max_keys`` orders the limit
+    grows to their ``max_keys``-th part, so there are never more than ``max_keys`` hot keys of a kind (times
+    the kinds and spellings) and all of them are listed: the list is safe to broadcast at any size.
     """
     spark = orders.sparkSession
+    max_rows = max(max_rows, orders.select("customer_id").count() // max_keys)
 
     def heavy(rows: DataFrame, keys: list[str], flag: str) -> DataFrame | None:
-        top = (rows.groupBy(*keys).count().filter(F.col("count") > max_rows)
-               .orderBy(F.desc("count")).limit(max_keys).select(*keys))
+        top = rows.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
         found = top.collect()
         return spark.createDataFrame(found, top.schema).withColumn(flag, F.lit(True)) if found else None
 

@@ -22,7 +22,7 @@ from coterie.schema import (
 )
 
 MONEY = "decimal(38,6)"
-SQUARE = "decimal(38,12)"
+SQUARE = "decimal(38,6)"
 
 
 def _d(c: Column | str) -> Column:
@@ -46,8 +46,8 @@ def customer_level(orders: DataFrame, history_days: int = 30, ties: str = "seque
         "order_id", "customer_id", "t", _d("amount").alias("amount"),
         F.coalesce(_d("retry_count"), F.lit(0.0)).alias("retry_count"), "merchant_category")
     rows = skew.mark(rows)
-    # money is summed as an exact decimal: what was added is given back to the last digit
-    cents = F.col("amount").cast("decimal(18,6)")
+    # money is summed as an exact decimal: what was added is given back to the last digit (amounts below 1e16)
+    cents = F.col("amount").cast("decimal(22,6)")
     rows = nearest_in_time(rows, ["customer_id"], hot, skew.slice_us, strict=ties == "strict")
     rows = rows.withColumnRenamed("prev_t", "last_t").drop("next_t")
     rows = nearest_in_time(rows, ["customer_id", "merchant_category"], hot, skew.slice_us)

@@ -14,12 +14,10 @@ from coterie.operators.asof import timed
 from coterie.schema import DAY, ENTITIES, ENTITY_COLUMNS, HOUR
 from coterie.sources.scratch import materialise
 
-MAX_PATHS = 25
-
 
 @dataclass
 class Dossier:
-    """``summary`` has one row per target; the members, values and paths are tables keyed by target."""
+    """``summary`` has one row per target; the members, values and (whole) paths are tables keyed by target."""
 
     summary: DataFrame
     members: DataFrame
@@ -34,8 +32,11 @@ def _long(rows: DataFrame, keep: list[str], clean: bool) -> DataFrame:
 
 
 def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = None, losses: DataFrame | None = None,
-             history_days: int = 30, clean: bool = True) -> Dossier:
-    """``targets`` holds the order ids; all of them are worked at once by joins on value and time block."""
+             history_days: int = 30, clean: bool = True, listed: int = 25) -> Dossier:
+    """``targets`` holds the order ids; all of them are worked at once by joins on value and time block.
+
+    The summary lists the first ``listed`` paths of a target; the table of paths holds all of them.
+    """
     span = history_days * DAY
     hist = timed(orders)
     tgt = hist.join(targets.select("order_id").distinct(), "order_id", "left_semi")
@@ -76,8 +77,8 @@ def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = N
              .unionByName(two.select("target", F.lit("2-hop").alias("path_type"), "etype", F.col("peer").cast("string").alias("via"),
                                      F.col("other").cast("string").alias("to"), "value")))
     order = Window.partitionBy("target").orderBy("path_type", "etype", "via", "to", "value")
-    # only the best 25 of a target survive the ranked limit, so the array below is bounded
-    paths = steps.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= MAX_PATHS)
+    # the ranked limit keeps the first few of a target in each task, so the array below is bounded
+    first = steps.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= listed)
 
     # activity of the whole cluster
     loss = F.col("amount")
@@ -98,7 +99,7 @@ def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = N
                                      *[F.count_if(F.col("etype") == e).alias(f"{e}_values") for e in ENTITIES])
     kinds = one.groupBy("target").agg(*[F.max(F.col("etype") == e).alias(f"by_{e}") for e in ENTITIES])
     n_paths = steps.groupBy("target").agg(F.count("*").alias("path_count"))
-    listed = paths.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("position", "path_type", "etype", "value", "via", "to"))).alias("paths"))
+    shown = first.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("position", "path_type", "etype", "value", "via", "to"))).alias("paths"))
     out = tgt.select("target", F.col("me").alias("target_customer"), "at", F.col("amount").cast("double").alias("amount"))
     if scores is not None:
         out = out.join(scores.select(F.col("order_id").alias("target"), F.col("predicted_score").alias("model_score")), "target", "left")
@@ -109,7 +110,7 @@ def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = N
         own = F.coalesce("_own", "amount")
     else:
         own = F.col("amount")
-    for part in (m, v, kinds, n_paths, active, listed):
+    for part in (m, v, kinds, n_paths, active, shown):
         out = out.join(part, "target", "left")
     out = out.withColumn("model_score", F.coalesce("model_score", F.lit(0.0))).withColumn("own_loss", own)
     out = out.fillna(0, [c for c in ("total_entities", "path_count", "orders_30d", "orders_7d", "orders_24h", "orders_1h",
@@ -142,4 +143,4 @@ def dossiers(targets: DataFrame, orders: DataFrame, scores: DataFrame | None = N
             F.col("total_customers"), F.col("total_entities"), F.col("one_hop"),
             F.when(shared == "", "nothing").otherwise(shared), F.col("two_hop"), F.col("orders_7d"), F.col("orders_24h"),
             velocity, F.format_number(exposure, 2), life).alias("narrative"))
-    return Dossier(summary, members, values, paths)
+    return Dossier(summary, members, values, steps)

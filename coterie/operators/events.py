@@ -78,7 +78,7 @@ def rolling_windows(orders: DataFrame, n: int = 3) -> DataFrame:
         tie = rows.filter(F.col("t").isin(*instants)).select(
             "order_id", F.row_number().over(Window.partitionBy("t").orderBy("order_id")).alias("_tie"))
         below = rows.agg(*[F.count_if(F.col("t") < F.lit(i)).alias(f"b{k}") for k, i in enumerate(instants)]).first()
-        out = rows.join(F.broadcast(tie) if size < 1_000_000 else tie, "order_id", "left")
+        out = rows.join(tie, "order_id", "left")
         for k, rank, instant in reversed(cuts):
             first_ties = rank - below[instants.index(instant)]
             early = (F.col("t") < F.lit(instant)) | ((F.col("t") == F.lit(instant)) & (F.col("_tie") <= F.lit(first_ties)))

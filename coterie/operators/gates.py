@@ -117,20 +117,18 @@ def daily_observations(log: DataFrame) -> DataFrame:
 
 
 def daily_threshold_flags(days: DataFrame, checksum: str | None = None) -> DataFrame:
-    """Add ``passes``: nothing blocked, no PII, contract kept, error and fallback at most 0.1 %, p95 at most 300 ms, traffic."""
+    """Add ``passes``: nothing blocked, no PII, contract kept, error and fallback at most 0.1 %, p95 at most 300 ms, traffic.
+
+    A day that doesn't say its checksum, feature count or PII count fails, and so does one without a checksum to compare
+    with (``target_checksum`` of the day, else ``checksum``)."""
     n = F.col("total_transactions")
     ok = ((F.col("blocked_transactions") == 0) & (n > 0)
           & (guarded_ratio(F.col("error_count"), n) <= DAILY_RATE) & (guarded_ratio(F.col("fallback_count"), n) <= DAILY_RATE)
           & (F.col("p95_latency_ms") <= P95_LIMIT))
-    if "pii_violations" in days.columns:
-        ok = ok & (F.coalesce("pii_violations", F.lit(0)) == 0)
-    if "feature_count" in days.columns:
-        ok = ok & (F.col("feature_count") == FEATURE_COUNT)
-    if "model_checksum" in days.columns:
-        want = F.lit(checksum)
-        if "target_checksum" in days.columns:
-            want = F.coalesce("target_checksum", want)
-        ok = ok & (F.length("model_checksum") == 64) & (F.col("model_checksum") == want)
+    said = {c: F.col(c) if c in days.columns else F.lit(None) for c in ("pii_violations", "feature_count", "model_checksum", "target_checksum")}
+    ok = ok & (said["pii_violations"] == 0) & (said["feature_count"] == FEATURE_COUNT)
+    found = said["model_checksum"].cast("string")
+    ok = ok & (F.length(found) == 64) & (found == F.coalesce(said["target_checksum"].cast("string"), F.lit(checksum)))
     return days.withColumn("passes", F.coalesce(ok, F.lit(False)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coterie.functions import beside, clean_entity
 from coterie.operators.asof import timed
+from coterie.operators.components import union_groups
 from coterie.schema import ENTITIES, ENTITY_COLUMNS
 from coterie.sources.scratch import materialise
 
@@ -31,67 +32,35 @@ def graph_snapshot(orders: DataFrame, as_of, clean: bool = True) -> DataFrame:
         "customer", "etype", "entity", F.col("last.event_time").alias("event_time"), F.col("last.amount").alias("amount"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for an edge table (src, dst); the component is named by its smallest node.
-
-    Alternating stars: every node hooks its larger neighbours to the smallest neighbour, then its
-    smaller ones.  The edge table never grows, the depth halves, and both steps are one window-free
-    aggregate plus a join.  A node with a third of all edges is one group of the aggregate (combined
-    on the map side) and a skewed join key, which adaptive execution splits; no group is collected.
-    """
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for an edge table (src, dst); the component is named by its smallest node."""
     pairs = edges.select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"))
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    current = materialise(
-        pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        # e holds a > b
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        hooked = both.join(low, "a")
-        if large:
-            hooked = hooked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            hooked = hooked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-                low.select("a", F.col("m").alias("b")))
-        return hooked.filter("a != b").distinct()
-
-    def mark(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-
-    before = mark(current)
-    for _ in range(max_rounds):
-        current = materialise(star(star(current, True), False), "links")
-        now = mark(current)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.join(current.withColumnRenamed("a", "node").withColumnRenamed("b", "component"), "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component"))
-
-
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): synchronous label propagation, ties to the smallest label.
-
-    A node keeps its label unless a neighbour label is at least as frequent and smaller or more
-    frequent; the own label votes once, which stops the two sides of a bipartite graph from swapping.
+    return nodes.join(union_groups(pairs), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community) of a bipartite graph (src, dst): label propagation, ties to the smallest label.
+
+    The sides take turns: all nodes of one side at once take the label most of their neighbours
+    have.  A turn never lowers the number of edges inside communities, and where it keeps the number labels
+    only get smaller, so the propagation settles; it runs until both sides have kept their labels.
     """
     e = materialise(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
                     .filter("src != dst").distinct(), "edges")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    labels = materialise(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    for _ in range(rounds):
-        votes = (both.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
-                 .unionByName(labels).groupBy("node", "label").agg(F.count("*").alias("n")))
-        new = materialise(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
-                          .select("node", F.col("best.label").alias("label")), "labels")
-        moved = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label != old").limit(1).count()
-        labels = new
-        if not moved:
-            break
-    return labels.withColumnRenamed("label", "community")
+    if not e.select("src").join(e.select(F.col("dst").alias("src")), "src", "left_semi").isEmpty():
+        raise ValueError("a node is on both sides")
+    near = {True: e.select(F.col("src").alias("node"), F.col("dst").alias("other")), False: e.select(F.col("dst").alias("node"), F.col("src").alias("other"))}
+    labels = {k: materialise(near[k].select("node").distinct().withColumn("label", F.col("node")), "labels") for k in near}
+    kept, side = 0, True
+    while kept < 2:
+        votes = (near[side].join(labels[not side].withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.count("*").alias("n")))
+        new = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best")).select("node", F.col("best.label").alias("label"))
+        new = materialise(new.join(labels[side].withColumnRenamed("label", "old"), "node").select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "labels")
+        kept = kept + 1 if new.filter("moved").isEmpty() else 0
+        labels[side] = new.select("node", "label")
+        side = not side
+    return labels[True].unionByName(labels[False]).withColumnRenamed("label", "community")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -520,7 +520,7 @@ def graph_features(orders: DataFrame, history_days: int = 30, ties: str = "seque
         # the few clashing strings are looked up one by one; the joins start from them
         named = None
         for r in reaches:
-            part = r.join(F.broadcast(clash) if clash.count() < 100_000 else clash, "far")
+            part = r.join(clash, "far")
             named = part if named is None else named.unionByName(part)
         named = named.groupBy("etype", "value", "far").agg(F.min("at").alias("at")).select(
             "etype", "value", "far", F.col("at.from_t").alias("from_t"), F.col("at.from_id").alias("from_id"))

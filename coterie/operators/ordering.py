@@ -3,8 +3,8 @@
 * ``quantiles`` narrows a value range with bounded histograms until the wanted ranks are isolated:
   a few column-pruned passes, exact results, only histograms reach the driver.
 * ``running`` sums along a sorted value: rows are first grouped by value, cut at sketched quantiles
-  so that no piece holds more than a small share of the rows, summed inside each piece, and the
-  piece totals (at most ``PIECES`` rows) are summed and joined back.
+  so that no piece holds more than a small share of the values, summed inside each piece, and the
+  piece totals are summed and joined back.  The number of pieces follows the number of values.
 """
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES = 128
+from coterie.sources.scratch import materialise
+
+PIECE_ROWS = 50_000
 BUCKETS = 512
 GATHER = 5_000
 
@@ -21,7 +23,8 @@ GATHER = 5_000
 def order_statistics(df: DataFrame, value: str, ranks, by: str | None = None) -> dict:
     """{group: {rank: value}} for 0-based ranks; ``ranks`` maps a group's row count to the ranks wanted.
 
-    Groups must be few (feature names, days); the ungrouped call uses the group None.
+    Groups must be few (feature names, days); the ungrouped call uses the group None.  Infinite
+    values take the first and last ranks by their number; only finite ones are narrowed down.
     """
     spark = df.sparkSession
     v = F.col(value).cast("double")
@@ -29,10 +32,17 @@ def order_statistics(df: DataFrame, value: str, ranks, by: str | None = None) ->
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     todo: list[list] = []  # group, rank, lo, hi, rows below lo, rows inside
     found: dict = {}
-    for g, n, lo, hi in rows.groupBy("_g").agg(F.count("*"), F.min("_v"), F.max("_v")).collect():
+    finite = F.abs("_v") < float("inf")
+    for g, n, low, inside, lo, hi in rows.groupBy("_g").agg(
+            F.count("*"), F.count_if(F.col("_v") == float("-inf")), F.count_if(finite),
+            F.min(F.when(finite, F.col("_v"))), F.max(F.when(finite, F.col("_v")))).collect():
         found[g] = {}
         for r in sorted(set(ranks(n))):
-            todo.append([g, r, lo, hi, 0, n])
+            if low <= r < low + inside:
+                todo.append([g, r, lo, hi, low, inside])
+            else:
+                found[g][r] = float("-inf") if r < low else float("inf")
+    rows = rows.filter(finite)
     while todo:
         for t in [t for t in todo if t[2] == t[3]]:
             found[t[0]][t[1]] = t[2]
@@ -42,12 +52,12 @@ def order_statistics(df: DataFrame, value: str, ranks, by: str | None = None) ->
         spans = sorted({(t[0], t[2], t[3], t[5] <= GATHER) for t in todo}, key=str)
         ids = {s: k for k, s in enumerate(spans)}
         span_df = F.broadcast(spark.createDataFrame(
-            [(k, s[0], s[1], s[2], (s[2] - s[1]) / BUCKETS, s[3]) for s, k in ids.items()],
+            [(k, s[0], s[1], s[2], s[2] / BUCKETS - s[1] / BUCKETS, s[3]) for s, k in ids.items()],
             ["_k", "_g", "_lo", "_hi", "_step", "_all"]).withColumn("_g", F.col("_g").cast(rows.schema["_g"].dataType)))
         inside = rows.join(span_df, "_g").filter("_v >= _lo and _v <= _hi")
         # few rows left: one bucket per value; else equal steps
         b = F.when(F.col("_all"), F.col("_v")).otherwise(
-            F.least(F.floor((F.col("_v") - F.col("_lo")) / F.col("_step")).cast("double"), F.lit(float(BUCKETS - 1))))
+            F.least(F.floor(F.try_divide("_v", "_step") - F.try_divide("_lo", "_step")).cast("double"), F.lit(float(BUCKETS - 1))))
         hist: dict = {}
         for k, _, n, lo, hi in (inside.groupBy("_k", b.alias("_b"))
                                 .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()):
@@ -58,6 +68,8 @@ def order_statistics(df: DataFrame, value: str, ranks, by: str | None = None) ->
             base = t[4]
             for lo, hi, n in hist[ids[(t[0], t[2], t[3], t[5] <= GATHER)]]:
                 if base + n > t[1]:
+                    if (lo, hi) == (t[2], t[3]) and lo != hi:
+                        raise ValueError(f"values of {value} between {lo} and {hi} are too close to be told apart")
                     t[2], t[3], t[4], t[5] = lo, hi, base, n
                     break
                 base += n
@@ -90,7 +102,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: str | None = No
             h = (n - 1) * p
             lo = math.floor(h)
             a, b = stats[g][lo], stats[g][min(lo + 1, n - 1)]
-            row.append(a + (b - a) * (h - lo))
+            row.append(a if a == b or h == lo else a + (b - a) * (h - lo))
         out[g] = row
     return out
 
@@ -103,9 +115,11 @@ def running(df: DataFrame, value: str, sums: list[str], by: list[str] | None = N
     keys = by or ["_one"]
     src = df if by else df.withColumn("_one", F.lit(1))
     src = src.select(*keys, F.col(value).cast("double").alias("value"), *sums)
-    cuts = F.percentile_approx("value", [k / PIECES for k in range(1, PIECES)], 2_000)
-    edges = src.groupBy(*keys).agg(cuts.alias("_edges"))
-    cells = src.groupBy(*keys, "value").agg(*[F.sum(s).alias(s) for s in sums])
+    cells = materialise(src.groupBy(*keys, "value").agg(*[F.sum(s).alias(s) for s in sums]), "cells")
+    pieces = max(2, min(cells.count() // PIECE_ROWS, 2_000))
+    cuts = F.percentile_approx("value", [k / pieces for k in range(1, pieces)], 5 * pieces)
+    # one row per group, and groups are few
+    edges = F.broadcast(cells.groupBy(*keys).agg(cuts.alias("_edges")))
     cells = cells.join(edges, keys).withColumn(
         "_piece", F.size(F.filter("_edges", lambda e: e <= F.col("value")))).drop("_edges")
     sort = F.col("value").desc() if descending else F.col("value").asc()

@@ -68,10 +68,9 @@ sp as (select txn.*, case when t <= a then 'train' when t <= b then 'validation'
 # ---- sources, scalar work -----------------------------------------------------------------------
 
 
-@register("s7_read_parquet", "select o_orderkey as order_id, o_totalprice as amount, o_orderpriority as merchant_category from orders "
-          "where o_totalprice > 100000.0::double")
+@register("s7_read_parquet", "select o_orderkey as order_id, o_totalprice as amount, o_orderpriority as merchant_category from orders")
 def _(spark, d):
-    return table(spark, d, "orders").filter(F.col("o_totalprice") > 100000.0).select(
+    return tables.read_parquet(spark, f"{d}/orders.parquet").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"), F.col("o_orderpriority").alias("merchant_category"))
 
 
@@ -771,7 +770,7 @@ def _(spark, d):
 @register("g3_communities", None)
 def _(spark, d):
     e = graph.graph_snapshot(_txn(spark, d), AS_OF).select(F.col("customer").alias("src"), F.col("entity").alias("dst"))
-    lab = graph.communities(e, rounds=5)
+    lab = graph.communities(e)
     return lab.groupBy("community").agg(F.count("*").alias("nodes")).transform(fn.beside, graph.modularity(e, lab))
 
 
@@ -795,6 +794,14 @@ def _(spark, d):
     return c.select("order_id", "case_id").join(per, "case_id").drop("case_id")
 
 
+@register("g5_consolidation_stats", _rec([TXN, ENT, "flag as (select order_id from txn where predicted_score >= 0.5)", _closure("flag"), """
+al as (select order_id, loss_amount, r from txn join flag using (order_id) join root on root.c = txn.customer_id), pc as (select r, count(*) as n, sum(loss_amount) as e from al group by r)"""],
+    "select cast(sum(n) as bigint) as alerts, count(*) as cases, avg(n) as alerts_per_case, max(n) as largest_case, sum(e) as exposure from pc", ["alerts_per_case", "exposure"]))
+def _(spark, d):
+    fl = _txn(spark, d).filter("predicted_score >= 0.5")
+    return graph.consolidation_stats(graph.consolidate_alerts(fl), fl)
+
+
 def _alerts(spark, d):
     return cases.create_alerts(_scored(_txn(spark, d)))
 
@@ -1137,7 +1144,10 @@ dy as (select cast(cast(event_time as date) as varchar) as date_str, count(*) as
   count_if(retry_count = 1 and order_id % 5003 = 0) as fallback_count, 0 as blocked_transactions, quantile_cont(amount, 0.95) as p95_latency_ms from txn group by all),
 dn as (select *, row_number() over (order by date_str) as k from dy),
 ds as (select * exclude (k), case when k % 9 = 0 then 'STAGING_REPLAY' else 'REAL_LIVE_PRODUCTION' end as data_source,
-  error_count / total_transactions <= 0.001 and fallback_count / total_transactions <= 0.001 and p95_latency_ms <= 300 as passes from dn)"""
+  case when k % 14 = 0 then sha256('other') when k % 23 <> 0 then sha256('model') end as model_checksum, sha256('model') as target_checksum,
+  case when k % 15 = 0 then 136 else 137 end as feature_count, case when k % 17 = 0 then 1 else 0 end as pii_violations,
+  error_count / total_transactions <= 0.001 and fallback_count / total_transactions <= 0.001 and p95_latency_ms <= 300
+  and k % 14 <> 0 and k % 23 <> 0 and k % 15 <> 0 and k % 17 <> 0 as passes from dn)"""
 
 
 def _days(spark, d) -> DataFrame:
@@ -1147,7 +1157,11 @@ def _days(spark, d) -> DataFrame:
     # one row per day, so numbering the days is bounded work
     first = F.to_date(F.lit("2024-01-01"))
     k = F.datediff(F.to_date("date_str"), first) + 1
-    return gates.daily_threshold_flags(days.withColumn("data_source", F.when(k % 9 == 0, "STAGING_REPLAY").otherwise("REAL_LIVE_PRODUCTION")))
+    # days with another model, a feature less, a leak, or without a checksum
+    days = days.withColumn("model_checksum", F.when(k % 14 == 0, F.sha2(F.lit("other"), 256)).when(k % 23 != 0, F.sha2(F.lit("model"), 256)))
+    days = days.withColumn("feature_count", F.when(k % 15 == 0, 136).otherwise(137)).withColumn("pii_violations", F.when(k % 17 == 0, 1).otherwise(0))
+    days = days.withColumn("data_source", F.when(k % 9 == 0, "STAGING_REPLAY").otherwise("REAL_LIVE_PRODUCTION"))
+    return gates.daily_threshold_flags(days.withColumn("target_checksum", F.sha2(F.lit("model"), 256)))
 
 
 @register("l7_daily_flags", _q([TXN, DAYS], "select * from ds", ["p95_latency_ms"]))
@@ -1163,6 +1177,12 @@ def _(spark, d):
     return gates.qualifying_streak(_days(spark, d))
 
 
+@register("l8_rejected_days", _q([TXN, DAYS], """select date_str, case when data_source <> 'REAL_LIVE_PRODUCTION' then 'source ' || data_source else 'safety thresholds' end as reason
+  from ds where not (data_source = 'REAL_LIVE_PRODUCTION' and passes)"""))
+def _(spark, d):
+    return gates.rejected_days(_days(spark, d))
+
+
 @register("l9_health_bands", _q([TXN, LOG, """hb as (select cast(cast(event_time as date) as varchar) as date, avg(predicted_score) as mean_score, count_if(alert) / count(*) as alert_rate,
   count_if(alert and is_abuse = 1) / count_if(alert) as lagged_precision, count_if(scoring_failed) / count(*) as failure_rate from log group by all)"""],
     """select *, case when mean_score < 0.06 then 'green' when mean_score <= 0.10 then 'warning' else 'critical' end as mean_score_band,
@@ -1198,6 +1218,58 @@ def _(spark, d):
     return timed(tables.read_tables(spark, at, names=["orders"])["orders"]).drop("event_time", "status")
 
 
+@register("s1_seven_tables", _q([TXN], """select 'customers' as name, count(distinct customer_id) as n, null::double as amount from txn union all select 'orders', count(*), sum(amount) from txn
+  union all select 'labels', count(*), sum(loss_amount) from txn union all select 'rings', count(distinct ring_id), null from txn
+  union all select 'ring_memberships', (select count(*) from (select distinct ring_id, customer_id from txn where ring_id is not null)), null
+  union all select 'ground_truth', count(distinct customer_id), null from txn union all select 'returns', count(*) filter (order_id % 5 = 0), sum(amount) filter (order_id % 5 = 0) from txn""", ["amount"]))
+def _(spark, d):
+    """All seven tables written as gzip CSV and as parquet, and both read back with their schemas."""
+    t = _txn(spark, d).withColumn("order_id", F.col("order_id").cast("string")).withColumn("customer_id", F.col("customer_id").cast("string")).withColumn(
+        "ring_id", F.col("ring_id").cast("string"))
+    none = lambda kind: F.lit(None).cast(kind)
+    ringed = t.filter("ring_id is not null")
+    made = {
+        "customers": t.groupBy("customer_id").agg(F.min("event_time").alias("signup_time")).select(
+            "customer_id", "signup_time", F.lit("IN").alias("country"), F.lit("new").alias("segment"), F.lit(0.5).alias("baseline_risk"),
+            none("long").alias("household_id"), none("long").alias("workgroup_id")),
+        "orders": t.select("order_id", "customer_id", "event_time", "amount", F.lit("INR").alias("currency"), "device_id", "ip_id", "address_id", "payment_id",
+                           "merchant_category", F.lit("ok").alias("status"), F.col("retry_count").cast("int").alias("retry_count")),
+        "labels": t.select("order_id", (F.col("is_abuse") == 1).alias("is_abuse"), "ring_id", "abuse_type", F.col("loss_amount").cast("double").alias("loss_amount"), F.lit("a,b").alias("reason_codes")),
+        "rings": ringed.groupBy("ring_id").agg(F.min("abuse_type").alias("ring_type"), F.min("event_time").alias("start_time"), F.max("event_time").alias("end_time"),
+                                               F.count_distinct("customer_id").alias("customer_count"), F.lit(1.0).alias("intensity")),
+        "ring_memberships": ringed.groupBy("ring_id", "customer_id").agg(F.min("event_time").alias("joined_at"), F.max("event_time").alias("left_at"), F.min("abuse_type").alias("ring_type")),
+        "ground_truth": t.groupBy("customer_id").agg(F.min("ring_id").alias("ring_id"), F.min("abuse_type").alias("ring_type"), (F.max("is_abuse") == 1).alias("is_abusive")),
+        "returns": t.filter("cast(order_id as long) % 5 = 0").select(F.concat(F.lit("R"), "order_id").alias("return_id"), "order_id", "customer_id", "event_time",
+                                                                     F.lit("size, colour").alias("reason"), F.col("amount").alias("refund_amount")),
+    }
+    at = scratch_path(spark, "tables")
+    out = None
+    for fmt in ("csv", "parquet"):
+        tables.write_tables(made, f"{at}/{fmt}", fmt, metadata={"source": "events"})
+    for fmt in ("csv", "parquet"):
+        for name, df in tables.read_tables(spark, f"{at}/{fmt}", fmt).items():
+            money = next((c for c in ("amount", "loss_amount", "refund_amount") if c in df.columns), None)
+            row = df.agg(F.count("*").alias("n"), (F.sum(money) if money else none("double")).alias("amount")).withColumn("name", F.lit(name))
+            out = row if out is None else out.unionByName(row)
+    # both formats hold the same, so a row that differs would be one too many
+    return out.select("name", "n", F.round("amount", 4).alias("amount")).distinct()
+
+
+@register("s4_write_json", _q([TXN], "select cast(order_id as varchar) as order_id, amount, merchant_category from txn", ["amount"]))
+def _(spark, d):
+    at = scratch_path(spark, "json")
+    tables.write_json(_txn(spark, d).select(F.col("order_id").cast("string").alias("order_id"), "amount", "merchant_category"), at)
+    return spark.read.schema("order_id string, amount double, merchant_category string").json(at)
+
+
+@register("s8_read_transactions", _q([TXN], "select cast(order_id as varchar) as order_id, cast(customer_id as varchar) as customer_id, amount, device_id, merchant_category from txn", ["amount"]))
+def _(spark, d):
+    at = scratch_path(spark, "arriving")
+    keep = ["order_id", "customer_id", "amount", "device_id", "merchant_category"]
+    _txn(spark, d).select(F.col("order_id").cast("string").alias("order_id"), F.col("customer_id").cast("string").alias("customer_id"), *keep[2:]).write.json(f"{at}/in")
+    return _drain(tables.read_transactions(spark, f"{at}/in", per_trigger=3).select(*keep), "transactions")
+
+
 @register("s3_jsonl_log", _q([TXN], "select cast(order_id as varchar) as order_id, predicted_score as calibrated_score, predicted_score >= 0.5 as alert from txn where order_id % 7 <> 0",
                               ["calibrated_score"]))
 def _(spark, d):

@@ -267,12 +267,17 @@ def test_drift_and_calibration(spark):
 
 
 def test_gates(spark):
-    def days(n, source="REAL_LIVE_PRODUCTION", blocked=0):
-        return spark.createDataFrame([(f"2025-01-{k + 1:02d}", source, 1000, 0, 0, blocked, 100.0) for k in range(n)],
+    def days(n, source="REAL_LIVE_PRODUCTION", blocked=0, checksum="a" * 64, features=137, pii=0):
+        return spark.createDataFrame([(f"2025-01-{k + 1:02d}", source, 1000, 0, 0, blocked, 100.0, checksum, features, pii) for k in range(n)],
                                      "date_str string, data_source string, total_transactions long, error_count long, fallback_count long, "
-                                     "blocked_transactions long, p95_latency_ms double")
-
-    verdict = lambda df: gates.qualifying_streak(gates.daily_threshold_flags(df)).first()
+                                     "blocked_transactions long, p95_latency_ms double, model_checksum string, feature_count int, pii_violations long")
+
+    verdict = lambda df: gates.qualifying_streak(gates.daily_threshold_flags(df, "a" * 64)).first()
+    for bad in (days(7, checksum="b" * 64), days(7, checksum=None), days(7, features=136), days(7, features=None), days(7, pii=1), days(7, pii=None),
+                *[days(7).drop(c) for c in ("model_checksum", "feature_count", "pii_violations")]):
+        assert verdict(bad).status == gates.STATUS_NO_GO
+    assert gates.qualifying_streak(gates.daily_threshold_flags(days(7))).first().status == gates.STATUS_NO_GO
+    assert gates.rejected_days(gates.daily_threshold_flags(days(3, pii=1), "a" * 64)).count() == 3
     assert verdict(days(7, "STAGING_REPLAY")).status == gates.STATUS_NOT_STARTED
     assert verdict(days(5)).status == gates.STATUS_IN_PROGRESS and verdict(days(5)).qualifying_days == 5
     assert verdict(days(7)).canary_eligible and verdict(days(7, blocked=1)).status == gates.STATUS_NO_GO
@@ -330,3 +335,44 @@ def test_models_and_uncertainty(spark):
     assert perm.count() == n and np.allclose(sorted(r["x"] for r in perm.select("x").collect()), sorted(x))
     assert quality.parity_report(quality.parity_cells(df, df, ["x", "z"])).agg(F.sum("exact_matches")).first()[0] == 2 * n
     assert uncertainty.correlation_prune(df.withColumn("x2", F.col("x") * 2), ["x", "x2", "z"], {"x": .3, "x2": .2, "z": 0.0}) == ["x"]
+
+
+def test_quantiles_with_infinite_values(spark):
+    inf = float("inf")
+    rows = spark.createDataFrame([(float(k),) for k in range(6000)] + [(inf,)] * 3 + [(-inf,)] * 2 + [(float("nan"),), (None,), (1e308,), (-1e308,)], "v double")
+    every = sorted([float(k) for k in range(6000)] + [inf] * 3 + [-inf] * 2 + [1e308, -1e308])
+    got = ordering.order_statistics(rows, "v", lambda n: [0, 1, 2, 3, 3000, n - 4, n - 3, n - 1])[None]
+    assert got == {k: every[k] for k in (0, 1, 2, 3, 3000, len(every) - 4, len(every) - 3, len(every) - 1)}
+    assert ordering.quantiles(rows, "v", [0.0, 1.0])[None] == [-inf, inf]
+
+
+def test_large_amounts(spark):
+    T = dt.datetime(2025, 1, 1)
+    o = orders(spark, [("O1", "C1", T, "D1", "", "", ""), ("O2", "C1", T + dt.timedelta(hours=1), "D1", "", "", ""), ("O3", "C1", T + dt.timedelta(hours=2), "D1", "", "", "")])
+    o = o.withColumn("amount", F.when(F.col("order_id") == "O1", 1.5e12).when(F.col("order_id") == "O2", 2.5e12).otherwise(1.0))
+    got = {r["order_id"]: r for r in behaviour.baseline_features(o).collect()}["O3"]
+    assert got["prior_spend"] == 4e12 and got["prior_avg_amount"] == 2e12 and got["prior_amount_std"] == 5e11
+
+
+def test_paths_are_whole_and_the_list_is_cut(spark):
+    T = dt.datetime(2025, 1, 1)
+    o = orders(spark, [(f"O{k}", f"C{k:02d}", T + dt.timedelta(hours=k), "D1", "", "", "") for k in range(40)])
+    target = spark.createDataFrame([("O39",)], "order_id string")
+    d = dossier.dossiers(target, o, listed=7)
+    row = d.summary.first()
+    assert len(row.paths) == 7 and d.paths.count() == row.path_count > 25
+
+
+def test_communities_settle(spark):
+    e = [(f"c{k}", f"v{k // 4}") for k in range(16)] + [("c3", "v1")] + [(f"c{k}", f"w{k // 4}") for k in range(16)]
+    edges = spark.createDataFrame(e, "src string, dst string")
+    lab = {r["node"]: r["community"] for r in graph.communities(edges).collect()}
+    near = {}
+    for a, b in set(e):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    for node, others in near.items():  # a label nobody would change
+        votes = [lab[x] for x in others]
+        assert lab[node] == min(set(votes), key=lambda x: (-votes.count(x), x))
+    with pytest.raises(ValueError):
+        graph.communities(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))
