@@ -209,7 +209,9 @@ def nearest_orders(orders: DataFrame, queries: DataFrame, k: int = 5, block_rows
     some = everything.orderBy(F.xxhash64("order_id")).limit(max(1, min(most_pivots, total // block_rows + 1))).collect()
     pivots = np.array([r["x"] for r in some], float)
     data = materialise(_blocks(everything, pivots, block_rows, total), "order-blocks")
-    ask = materialise(_blocks(asked, pivots, block_rows, asked.count()), "query-blocks")
+    n_asked = asked.count()
+    # as many pivots as the queries fill blocks, so that no block of orders is read for a handful of queries
+    ask = materialise(_blocks(asked, pivots[:n_asked // block_rows + 1], block_rows, n_asked), "query-blocks")
     balls, q_balls = materialise(_summary(data), "order-balls"), materialise(_summary(ask), "query-balls")
     # one row per pair of blocks: the number of query blocks times that of order blocks, without their rows
     dot = F.aggregate(F.zip_with("qc", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
