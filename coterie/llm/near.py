@@ -149,6 +149,51 @@ def _sets(narratives: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(read, f"rep {kind}, shingles binary, set_key binary")
 
 
+CELLS = 1 << 18
+
+
+def _token_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each of ``CELLS`` hash cells occur in the sets: common shingles stand out."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(46)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
+
+    got = sets.select("shingles").mapInArrow(read, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CELLS, np.int64)
+    out[got["cell"]] = got["n"]
+    return out
+
+
+def _prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """``rep, n, lead, bucket`` for each shingle of the sets' prefixes.
+
+    In one order of all shingles, common ones last, two linked sets share a shingle among the first
+    n - ceil(n percent / 100) + 1 of each. ``lead`` is small for sets whose prefix is common: the middle of a group."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, n, lead, tokens = [], [], [], []
+            for i, x in enumerate(batch.column(1)):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                often = counts[(own >> np.uint64(46)).astype(np.int64)]
+                size = len(own) + (-percent * len(own) // 100) + 1
+                first = np.lexsort((own, often))[:size]
+                reps.append(np.full(size, i))
+                n.append(np.full(size, len(own)))
+                lead.append(np.full(size, -float(np.median(often[first]))))
+                tokens.append(own[first].view(np.int64))
+            if reps:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(np.concatenate(reps), pa.int64())), pa.array(np.concatenate(n), pa.int64()),
+                     pa.array(np.concatenate(lead)), pa.array(np.concatenate(tokens))], names=["rep", "n", "lead", "bucket"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    return sets.select("rep", "shingles").mapInArrow(read, f"rep {kind}, n long, lead double, bucket long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; both sides are joined plainly, so hot ids are split."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +252,41 @@ def _roots(members: DataFrame, groups: DataFrame) -> DataFrame:
             .withColumn("root", F.coalesce("root", "rep")))
 
 
+def _grouped(sets: DataFrame, percent: int) -> DataFrame | None:
+    """``node, root`` of all ``sets(rep, shingles)`` that are linked with another; None if there is no link."""
+    every = materialise(_prefixes(sets, _token_counts(sets), percent), "prefixes")
+    shared = materialise(every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    spot = (F.xxhash64(F.col("rep"), F.lit(7)).bitwiseAND((1 << 52) - 1)).cast("double") / float(1 << 52)
+    members = materialise(every.join(shared, "bucket").withColumn("spot", spot).withColumn("root", F.col("rep")), "members")
+    links: DataFrame | None = None
+    groups: DataFrame | None = None
+    tried = 0
+    while True:
+        state = materialise(members.groupBy("bucket").agg(
+            F.min(F.struct("lead", "rep")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+            .where("low < high").select("bucket", F.col("first.rep").alias("first")), "open")
+        members = materialise(members.join(state, "bucket"), "members")
+        if members.isEmpty():
+            return groups
+        chosen = (F.col("rep") == F.col("first")) | (F.col("spot") * F.col("size") < tried)
+        centre = materialise(members.where(chosen).select("bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("root").alias("cr")), "centres")
+        # of two centres the one with the larger id meets the other
+        meets = (~chosen | (F.col("rep") > F.col("c"))) & (F.col("root") != F.col("cr"))
+        fits = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
+        pairs = materialise(members.join(centre, "bucket").where(fits & meets).select(
+            F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), "pairs")
+        members = members.where(~chosen).drop("first")
+        if not pairs.isEmpty():
+            found = materialise(_linked(pairs, sets, percent), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                groups = materialise(union_groups(links), "groups")
+                links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+                members = _roots(members, groups)
+        members = materialise(members, "members")
+        tried = 2 * tried + 1
+
+
 def near_duplicates(narratives: DataFrame, words: int = 5, percent: int = 80, places: int = 120) -> DataFrame:
     """Groups of ``narratives(case_id, narrative)`` linked by word shingles.
 
@@ -219,51 +299,25 @@ def near_duplicates(narratives: DataFrame, words: int = 5, percent: int = 80, pl
     rows; other columns are not read.
 
     Equal sets become one representative before banding, so copies cost nothing further. Bands are as long as a
-    miss of 1e-6 at the threshold allows. A bucket never lists all its pairs: in every round some of its members (1,
-    then 2, 4, ... of random but fixed order) are compared with those that aren't grouped with them yet, links are
-    confirmed on full sets, groups are united, and buckets that hold one group only leave. A bucket of n near
-    copies costs about n comparisons; every pair in a bucket ends compared or grouped.
+    miss of 1e-6 at the threshold allows. Sets that share a band with another are candidates; whatever links two of them
+    shows in the rare shingles they start with, which are the buckets compared. A bucket never lists all its pairs:
+    in every round some of its members (the one nearest to the middle of a group, then 1, 3, 7, ... by chance) are compared with
+    those that aren't grouped with them yet, links are confirmed on full sets, groups are united, and buckets that hold
+    one group only leave. A bucket of n near copies costs about n comparisons; every pair in a bucket ends compared or
+    grouped.
     """
     kind = narratives.schema["case_id"].dataType.simpleString()
     signed = materialise(narrative_signatures(narratives, words, percent, places), "signatures")
     whole = signed.where("n_shingles > 0 and case_id is not null")
-    classes = materialise(whole.groupBy("set_key").agg(F.min("case_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    every = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    # buckets with one set only leave at once; the others are known by their first member in a fixed random order
-    order = F.xxhash64(F.col("rep"), F.lit(7))
-    crowded = materialise(every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
-    spot = (order.bitwiseAND((1 << 52) - 1)).cast("double") / float(1 << 52)
-    members = materialise(every.join(crowded, "bucket").select("bucket", "rep", "n", "size", spot.alias("spot"), F.col("rep").alias("root")), "members")
-    links: DataFrame | None = None
+    classes = materialise(whole.groupBy("set_key").agg(F.min("case_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    every = classes.select("rep", F.explode("bands").alias("bucket"))
+    crowded = materialise(every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "crowded")
+    wanted = materialise(every.join(crowded, "bucket").select("rep").distinct(), "candidates")
     groups: DataFrame | None = None
-    sets: DataFrame | None = None
-    tried = 1
-    while not members.isEmpty():
-        state = materialise(members.groupBy("bucket").agg(
-            F.min("spot").alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket", "first"), "open")
-        members = materialise(members.join(state, "bucket"), "members")
-        if members.isEmpty():
-            break
-        chosen = (F.col("spot") == F.col("first")) | (F.col("spot") * F.col("size") < tried)
-        centre = materialise(members.where(chosen).select("bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("root").alias("cr"), F.col("spot").alias("cs")), "centres")
-        fits = (F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent) & (F.col("root") != F.col("cr"))
-        first = ~chosen | (F.col("spot") > F.col("cs")) | ((F.col("spot") == F.col("cs")) & (F.col("rep") > F.col("c")))
-        pairs = members.join(centre, "bucket").where(fits & first).select(
-            F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        pairs = materialise(pairs, "pairs")
-        members = members.where(~chosen).drop("first")
-        if not pairs.isEmpty():
-            if sets is None:
-                sets = materialise(_sets(narratives, members.select("rep").union(centre.select(F.col("c").alias("rep"))).distinct(), words)
-                                   .join(classes.select("set_key", "rep"), ["set_key", "rep"]).select("rep", "shingles").dropDuplicates(["rep"]), "sets")
-            found = materialise(_linked(pairs, sets, percent), "links")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                groups = materialise(union_groups(links), "groups")
-                links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-                members = _roots(members, groups)
-        members = materialise(members, "members")
-        tried = 2 * tried + 1
+    if not wanted.isEmpty():
+        sets = materialise(_sets(narratives, wanted, words).join(classes.select("set_key", "rep"), ["set_key", "rep"])
+                           .select("rep", "shingles").dropDuplicates(["rep"]), "sets")
+        groups = _grouped(sets, percent)
     out = signed.select("case_id", "n_shingles", "set_key")
     named = classes.select("set_key", "rep")
     if groups is not None:
