@@ -273,7 +273,9 @@ def filter_cases(cases: DataFrame, status: str | None = None, severity: str | No
 
 
 def case_next_actions(cases: DataFrame, counts: DataFrame, shared_evidence: DataFrame | None = None) -> DataFrame:
-    """``actions``: ordered array of (priority, title, action) for each case.
+    """``actions``: ordered array of (priority, title, action, detail, allowed) for each case.
+
+    A step without an action is advice and always allowed; one with a status is listed where the workflow allows it.
 
     ``counts``: case_id, devices, payments (distinct nodes); ``shared_evidence``: cases that have any.
     """
@@ -287,21 +289,27 @@ def case_next_actions(cases: DataFrame, counts: DataFrame, shared_evidence: Data
     def allowed(target: str) -> Column:
         return F.col("status").isin(*[s for s, to in TRANSITIONS.items() if target in to])
 
-    def step(when: Column, priority: int, title: str, action: str) -> Column:
-        return F.when(when, F.struct(F.lit(priority).alias("priority"), F.lit(title).alias("title"), F.lit(action).alias("action")))
+    def step(when: Column, priority: int, title: str, action: str, detail: Column | str) -> Column:
+        may = allowed(action) if action in TRANSITIONS else F.lit(True)
+        text = F.lit(detail) if isinstance(detail, str) else detail
+        return F.when(when, F.struct(F.lit(priority).alias("priority"), F.lit(title).alias("title"), F.lit(action).alias("action"),
+                                     text.alias("detail"), may.alias("allowed")))
 
     urgent = (F.col("severity") == "CRITICAL") | ((F.col("severity") == "HIGH") & (F.col("risk_score") >= F.lit(0.9)))
     many = (F.coalesce("devices", F.lit(0)) <= 2) & (F.col("customers") >= 3) & F.col("devices").isNotNull()
     items = [
-        step(allowed("ESCALATED") & urgent, 1, "Escalate to risk operations", "ESCALATED"),
-        step(F.col("estimated_exposure") >= F.lit(1000.0), 1, "Prioritize for exposure review", ""),
-        step(many, 2, "Trace the shared device cluster", ""),
-        step(F.coalesce("payments", F.lit(0)) > 0, 3, "Correlate payment instruments", ""),
-        step(gap, 3, "Request shared-entity evidence", ""),
-        step(allowed("IN_REVIEW"), 2, "Open the review", "IN_REVIEW"),
-        step(allowed("CONFIRMED_ABUSE"), 3, "Confirm coordinated abuse", "CONFIRMED_ABUSE"),
-        step(allowed("LEGITIMATE"), 3, "Mark legitimate and release", "LEGITIMATE"),
-        step(allowed("CLOSED"), 4, "Close the case", "CLOSED"),
-        step(F.lit(True), 5, "Add an analyst note", "note"),
+        step(allowed("ESCALATED") & urgent, 1, "Escalate to risk operations", "ESCALATED",
+             F.format_string("%s severity at risk %.2f over %d alerts", "severity", "risk_score", "alert_count")),
+        step(F.col("estimated_exposure") >= F.lit(1000.0), 1, "Prioritize for exposure review", "",
+             F.format_string("Exposure of %.2f is at or above 1000", F.col("estimated_exposure").cast("double"))),
+        step(many, 2, "Trace the shared device cluster", "", F.format_string("%d customers on %d devices", "customers", F.coalesce("devices", F.lit(0)))),
+        step(F.coalesce("payments", F.lit(0)) > 0, 3, "Correlate payment instruments", "",
+             F.format_string("%d payment instruments in the case", F.coalesce("payments", F.lit(0)))),
+        step(gap, 3, "Request shared-entity evidence", "", "No shared entity is on record"),
+        step(allowed("IN_REVIEW"), 2, "Open the review", "IN_REVIEW", F.format_string("Nobody has looked at %d alerts yet", "alert_count")),
+        step(allowed("CONFIRMED_ABUSE"), 3, "Confirm coordinated abuse", "CONFIRMED_ABUSE", "Records the finding"),
+        step(allowed("LEGITIMATE"), 3, "Mark legitimate and release", "LEGITIMATE", "Records that nothing was found"),
+        step(allowed("CLOSED"), 4, "Close the case", "CLOSED", "Ends the work on it"),
+        step(F.lit(True), 5, "Add an analyst note", "note", "Keeps what was seen"),
     ]
     return rows.select("case_id", F.array_sort(F.array_compact(F.array(*items))).alias("actions"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coterie.functions import guarded_ratio
 from coterie.operators import behaviour, neighbourhood
 from coterie.operators.asof import SkewPlan, find_skew
 from coterie.schema import FEATURE_CONTRACT, FEATURE_FAMILIES
@@ -71,6 +72,19 @@ def feature_manifest(name: str, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, source string, as_of_rule string, target_independent boolean")
 
 
+def matrix_profile(matrix: DataFrame, name: str) -> DataFrame:
+    """The manifest of a set over its built matrix: each feature with its share of nulls, least and greatest value.
+
+    All columns are summed in one pass; the result has one row per feature."""
+    names = columns_of(name)
+    stats = matrix.agg(F.count("*").alias("_n"), *[x for c in names for x in (
+        F.count(c).alias(f"n_{c}"), F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}"))])
+    per = stats.select("_n", F.explode(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), F.col(f"lo_{c}").alias("least"), F.col(f"hi_{c}").alias("greatest")) for c in names])).alias("x"))
+    out = per.select("x.feature", guarded_ratio(F.col("_n") - F.col("x.n"), F.col("_n")).alias("null_share"), "x.least", "x.greatest")
+    return feature_manifest(name, matrix.sparkSession).join(F.broadcast(out), "feature")
+
+
 def project_contract(df: DataFrame, names: list[str] | None = None, missing: str = "error") -> DataFrame:
     """Exactly the contract columns, in order; missing ones raise or read 0."""
     names = names or FEATURE_CONTRACT

@@ -11,7 +11,7 @@ from coterie.operators import behaviour, calibration, cases, dossier, drift, eve
 from coterie.operators import quality, rings, screening, uncertainty
 from coterie.operators.asof import timed, unpivot_entities
 from coterie.plans import oracles as o
-from coterie.plans.matrix import FEATURE_SETS, attach_labels, feature_manifest, feature_matrix, project_contract
+from coterie.plans.matrix import FEATURE_SETS, attach_labels, feature_matrix, matrix_profile, project_contract
 from coterie.plans.oracles import ENT, TIED, TXN, _q
 from coterie.schema import FEATURE_CONTRACT
 from coterie.sources import tables
@@ -168,12 +168,16 @@ def _(spark, d):
     return unpivot_entities(timed(_txn(spark, d))).select("order_id", "etype", "value")
 
 
-@register("p10_manifest", "select unnest([" + ", ".join(f"'{c}'" for c in FEATURE_CONTRACT[:37]) + "]) as feature, unnest([" + ", ".join(
-    ["'baseline'"] * 19 + ["'graph'"] * 18) + "]) as source, 'strictly earlier events only' as as_of_rule, true as target_independent")
+_P10 = FEATURE_CONTRACT[:37]
+
+
+@register("p10_manifest", "with m as (" + o.matrix_sql(FEATURE_SETS["combined"]) + "), p as (" + " union all ".join(
+    f"select '{c}' as feature, '{'baseline' if k < 19 else 'graph'}' as source, 1 - count({c}) / count(*) as null_share, min({c})::double as least, max({c})::double as greatest from m"
+    for k, c in enumerate(_P10)) + ") select feature, source, 'strictly earlier events only' as as_of_rule, true as target_independent, null_share::double as null_share, "
+    "round(least, 4) as least, round(greatest, 4) as greatest from p")
 def _(spark, d):
-    # the manifest of the columns that the matrix of these tables really has
-    built = feature_matrix(_txn(spark, d), "combined")
-    return feature_manifest("combined", spark).filter(F.col("feature").isin(*built.columns))
+    out = matrix_profile(feature_matrix(_txn(spark, d), "combined"), "combined")
+    return out.withColumn("least", F.round("least", 4)).withColumn("greatest", F.round("greatest", 4))
 
 
 # ---- feature families ---------------------------------------------------------------------------
@@ -739,10 +743,17 @@ def _(spark, d):
     return models.score_and_alert(frame.filter("split = 'test'"), model, cal).select("order_id", "predicted_score", "calibrated_score", "alert")
 
 
-@register("m8_finite_check", _q([TXN], "select count(*) as orders, 0 as non_finite from txn"))
+@register("m8_finite_check", _q([TXN], f"""select count(*) as orders, cast({len(FEATURE_CONTRACT)} * sum(order_id % 997 = 0)
+  + sum(case when order_id % 997 = 0 then 0 else (order_id % 50 = 0)::int + (order_id % 70 = 0)::int + (order_id % 90 = 0)::int end) as bigint) as non_finite from txn"""))
 def _(spark, d):
-    fb = behaviour.customer_relative_features(_txn(spark, d))
-    return models.finite_check(fb, [c for c in fb.columns if c != "order_id"])
+    """All contract columns, with a NaN, an infinity and a null in known rows, and rows without any value."""
+    fb = behaviour.customer_relative_features(_txn(spark, d)).withColumn("k", F.col("order_id").cast("long"))
+    whole = project_contract(fb, FEATURE_CONTRACT, missing="zero").join(fb.select("order_id", "k"), "order_id")
+    bad = {0: (50, F.lit(float("nan"))), 1: (70, F.lit(float("inf"))), 2: (90, F.lit(None).cast("double"))}
+    for n, (every, value) in bad.items():
+        whole = whole.withColumn(FEATURE_CONTRACT[n], F.when(F.col("k") % every == 0, value).otherwise(F.col(FEATURE_CONTRACT[n]).cast("double")))
+    whole = whole.select("order_id", *[F.when(F.col("k") % 997 != 0, F.col(c).cast("double")).alias(c) for c in FEATURE_CONTRACT])
+    return models.finite_check(whole, FEATURE_CONTRACT)
 
 
 # ---- graph, cases, dossiers ---------------------------------------------------------------------
@@ -929,26 +940,27 @@ P13 = """
 gc as (select cid, count(distinct case when etype = 'device' then en end) as devices, count(distinct case when etype = 'payment' then en end) as payments from me group by cid),
 sx as (select 'id_' || substr(sha256(case_id), 1, 10) as cid, st.* from st),
 act as (
-  select cid, 1 as priority, 'Escalate to risk operations' as title, 'ESCALATED' as action from sx where status = 'IN_REVIEW' and (severity = 'CRITICAL' or (severity = 'HIGH' and risk_score >= 0.9))
-  union all select cid, 1, 'Prioritize for exposure review', '' from sx where estimated_exposure >= 1000
-  union all select cid, 2, 'Trace the shared device cluster', '' from sx join gc using (cid) where devices <= 2 and customers >= 3
-  union all select cid, 3, 'Correlate payment instruments', '' from sx join gc using (cid) where payments > 0
-  union all select cid, 2, 'Open the review', 'IN_REVIEW' from sx where status = 'NEW'
-  union all select cid, 3, 'Confirm coordinated abuse', 'CONFIRMED_ABUSE' from sx where status = 'IN_REVIEW'
-  union all select cid, 3, 'Mark legitimate and release', 'LEGITIMATE' from sx where status = 'IN_REVIEW'
-  union all select cid, 4, 'Close the case', 'CLOSED' from sx where status <> 'CLOSED'
-  union all select cid, 5, 'Add an analyst note', 'note' from sx)"""
+  select cid, 1 as priority, 'Escalate to risk operations' as title, 'ESCALATED' as action, format('{} severity at risk {:.2f} over {} alerts', severity, risk_score, alert_count) as detail
+    from sx where status = 'IN_REVIEW' and (severity = 'CRITICAL' or (severity = 'HIGH' and risk_score >= 0.9))
+  union all select cid, 1, 'Prioritize for exposure review', '', format('Exposure of {:.2f} is at or above 1000', estimated_exposure::double) from sx where estimated_exposure >= 1000
+  union all select cid, 2, 'Trace the shared device cluster', '', format('{} customers on {} devices', customers, devices) from sx join gc using (cid) where devices <= 2 and customers >= 3
+  union all select cid, 3, 'Correlate payment instruments', '', format('{} payment instruments in the case', payments) from sx join gc using (cid) where payments > 0
+  union all select cid, 2, 'Open the review', 'IN_REVIEW', format('Nobody has looked at {} alerts yet', alert_count) from sx where status = 'NEW'
+  union all select cid, 3, 'Confirm coordinated abuse', 'CONFIRMED_ABUSE', 'Records the finding' from sx where status = 'IN_REVIEW'
+  union all select cid, 3, 'Mark legitimate and release', 'LEGITIMATE', 'Records that nothing was found' from sx where status = 'IN_REVIEW'
+  union all select cid, 4, 'Close the case', 'CLOSED', 'Ends the work on it' from sx where status <> 'CLOSED'
+  union all select cid, 5, 'Add an analyst note', 'note', 'Keeps what was seen' from sx)"""
 
 
 @register("p13_next_actions", _rec([TXN, ENT, LOG, ALERTS, *COMP, ROLL, STATUS, GRAPH8, P13],
-    "select cid as case_id, cast(row_number() over (partition by cid order by priority, title) - 1 as int) as position, priority, title, action from act"))
+    "select cid as case_id, cast(row_number() over (partition by cid order by priority, title) - 1 as int) as position, priority, title, action, detail, true as allowed from act"))
 def _(spark, d):
     a, al = _by_component(spark, d)
     n, _ = cases.case_graph(a, al)
     c = _with_status(cases.case_rollup(a)).withColumn("case_id", fn.mask_identifier("case_id"))
     per = n.groupBy("case_id").agg(F.count_if(F.col("type") == "device_id").alias("devices"), F.count_if(F.col("type") == "payment_id").alias("payments"))
     out = cases.case_next_actions(c, per)
-    return out.select("case_id", F.posexplode("actions").alias("position", "a")).select("case_id", "position", "a.priority", "a.title", "a.action")
+    return out.select("case_id", F.posexplode("actions").alias("position", "a")).select("case_id", "position", "a.*")
 
 
 def _requests(spark, d) -> DataFrame:
@@ -976,6 +988,20 @@ def _(spark, d):
     return state.select("case_id", "status", F.coalesce("disposition", F.lit("")).alias("disposition"))
 
 
+@register("c3_status_history", """with recursive rq as (select cast(user_id as varchar) as case_id, event_id, ts,
+    case event_type when 'view' then 'IN_REVIEW' when 'error' then 'ESCALATED' when 'signup' then 'CONFIRMED_ABUSE' when 'purchase' then 'LEGITIMATE' else 'CLOSED' end as status from events),
+  num as (select *, row_number() over (partition by case_id order by ts, event_id) as k from rq),
+  f as (select case_id, 0::bigint as k, 'NEW' as status, null::varchar as previous, false as applied from (select distinct case_id from rq)
+    union all select n.case_id, n.k, case when ok then n.status else f.status end, f.status, ok
+    from f join num n on n.case_id = f.case_id and n.k = f.k + 1, lateral (select n.status in (select unnest(case f.status when 'NEW' then ['IN_REVIEW', 'CLOSED'] when 'IN_REVIEW' then ['ESCALATED', 'CONFIRMED_ABUSE', 'LEGITIMATE', 'CLOSED']
+        when 'ESCALATED' then ['CONFIRMED_ABUSE', 'LEGITIMATE', 'CLOSED'] when 'CONFIRMED_ABUSE' then ['CLOSED'] when 'LEGITIMATE' then ['CLOSED'] else [] end)) as ok) l)
+  select case_id, previous, status as new from f where applied""")
+def _(spark, d):
+    rq = _requests(spark, d)
+    history, _ = cases.case_status_fold(rq, rq.select("case_id"))
+    return history.select("case_id", "previous", "new")
+
+
 @register("c4_notes", """select conv_id as case_id, turn as note_id, replace(text, chr(10), ' ') as note, 'id_' || substr(sha256(role), 1, 10) as actor, 'note_added' as action,
   row_number() over (partition by conv_id order by turn, turn) as note_no from conversations""")
 def _(spark, d):
@@ -1060,19 +1086,33 @@ def _(spark, d):
 
 
 @register("q5_dataset_counts", _q([TXN], """select 'orders' as table_name, count(*) as row_count from txn union all select 'customers', count(*) from customer
-  union all select 'rings', count(distinct ring_id) from txn"""))
+  union all select 'rings', count(distinct ring_id) from txn union all select 'labels', count(*) from txn
+  union all select 'ring_memberships', (select count(*) from (select distinct ring_id, customer_id from txn where ring_id is not null))
+  union all select 'ground_truth', count(distinct customer_id) from txn union all select 'returns', count(*) from txn where order_id % 5 = 0"""))
 def _(spark, d):
     t = _txn(spark, d)
-    return quality.dataset_counts({"orders": t, "customers": table(spark, d, "customer"), "rings": quality.ring_table(t)})
+    return quality.dataset_counts({
+        "orders": t, "customers": table(spark, d, "customer"), "rings": quality.ring_table(t), "labels": t.select("order_id", "is_abuse"),
+        "ring_memberships": t.filter("ring_id is not null").select("ring_id", "customer_id").distinct(),
+        "ground_truth": t.groupBy("customer_id").agg(F.max("is_abuse")), "returns": t.filter(F.col("order_id").cast("long") % 5 == 0)})
 
 
 @register("q6_stream_quality", _q([TXN, "h as (select * from txn where event_time < timestamp '2024-01-20')", "b as (select * from txn where event_time >= timestamp '2024-01-20')"],
-    """select count(*) as orders, 0.0::double as null_id_rate, avg(cast(device_id not in (select device_id from h) as double)) as unseen_device_rate,
-  avg(cast(ip_id not in (select ip_id from h) as double)) as unseen_ip_rate from b""", ["unseen_device_rate", "unseen_ip_rate"]))
+    """select count(*) as orders, avg(cast(order_id % 11 = 0 or order_id % 13 = 0 as double)) as null_id_rate,
+  avg(cast(order_id % 7 <> 0 and device_id not in (select device_id from h) as double)) as unseen_device_rate,
+  avg(cast(order_id % 5 <> 0 and ip_id not in (select ip_id from h) as double)) as unseen_ip_rate, avg((order_id % 3 = 0)::int + (order_id % 4 = 0)::int) / 3 as feature_null_rate from b""",
+    ["null_id_rate", "unseen_device_rate", "unseen_ip_rate", "feature_null_rate"]))
 def _(spark, d):
+    """A batch with missing and blank ids, missing and null-like values, and features without a value."""
     t = _txn(spark, d)
     cut = F.col("event_time") < F.lit("2024-01-20").cast("timestamp")
-    return quality.stream_quality(t.filter(~cut), t.filter(cut))
+    k = F.col("order_id").cast("long")
+    batch = t.filter(~cut).withColumn("k", k)
+    features = batch.select("order_id", F.when(k % 3 != 0, 1.0).alias("a"), F.when(k % 4 != 0, 1.0).alias("b"), F.lit(1.0).alias("c"))
+    batch = batch.withColumn("device_id", F.when(k % 7 != 0, F.col("device_id"))).withColumn("ip_id", F.when(k % 5 == 0, " nan ").otherwise(F.col("ip_id")))
+    batch = batch.withColumn("customer_id", F.when(k % 13 == 0, "").otherwise(F.col("customer_id").cast("string")))
+    batch = batch.withColumn("order_id", F.when(k % 11 != 0, F.col("order_id").cast("string")))
+    return quality.stream_quality(batch.drop("k"), t.filter(cut), features, ["a", "b", "c"])
 
 
 @register("q7_parity", _q([TXN, ENT, o.CUST, o.OWN, f"fb as ({o._baseline_body()})"],
@@ -1093,9 +1133,34 @@ def _(spark, d):
     return gates.service_metrics(_log(_txn(spark, d)))
 
 
-@register("l2_non_enforcement", _q([TXN, LOG], "select 'non_enforcement' as gate, count_if(upper(action) = 'BLOCK') = 0 as passed, case when count_if(upper(action) = 'BLOCK') = 0 then 'PASS' else 'FAIL' end as status from log"))
+@register("l2_non_enforcement", _q([TXN, LOG, """lv as (select 'as logged' as log, action, false as enforced from log union all select 'with blocks', case when order_id % 1000 = 0 then 'block' else action end, false from log
+  union all select 'with enforced blocks', case when order_id % 1000 = 0 then 'BLOCK' else action end, true from log)"""],
+    "select log, 'non_enforcement' as gate, count_if(upper(action) = 'BLOCK' and not enforced) = 0 as passed, case when count_if(upper(action) = 'BLOCK' and not enforced) = 0 then 'PASS' else 'FAIL' end as status from lv group by log"))
 def _(spark, d):
-    return gates.gate_non_enforcement(_log(_txn(spark, d)))
+    log = _log(_txn(spark, d))
+    blocked = F.col("order_id").cast("long") % 1000 == 0
+    logs = {"as logged": log, "with blocks": log.withColumn("action", F.when(blocked, "block").otherwise(F.col("action"))),
+            "with enforced blocks": log.withColumn("action", F.when(blocked, "BLOCK").otherwise(F.col("action"))).withColumn("enforce_decisions", F.lit(True))}
+    out = None
+    for name, one in logs.items():
+        row = gates.gate_non_enforcement(one).withColumn("log", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.select("log", "gate", "passed", "status")
+
+
+@register("l6_contract_gate", _q([TXN], """select * from (values ('whole', true, 'PASS'), ('dropped', false, 'FAIL'), ('swapped', false, 'FAIL'), ('added', false, 'FAIL')) v(columns, passed, status),
+  (select 'feature_contract' as gate, count(*) as orders from txn) n"""))
+def _(spark, d):
+    """The contract over matrices with a column less, two in each other's place, and one more."""
+    fb = behaviour.baseline_features(_txn(spark, d))
+    names = [c for c in fb.columns if c != "order_id"]
+    kinds = {"whole": fb, "dropped": fb.drop(names[3]), "swapped": fb.select("order_id", names[1], names[0], *names[2:]), "added": fb.withColumn("extra", F.lit(1.0))}
+    n = materialise(fb.agg(F.count("*").alias("orders")), "orders")
+    out = None
+    for name, one in kinds.items():
+        row = gates.gate_contract(one, names).withColumn("columns", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return fn.beside(out.select("columns", "gate", "passed", "status"), n)
 
 
 _L3 = """select 'error_rates' as gate, (fb = 0 and fl = 0) or fb < 0.005 as passed, case when fb = 0 and fl = 0 then 'PASS' when fb < 0.005 then 'WARN' else 'FAIL' end as status
@@ -1111,9 +1176,9 @@ CARD = r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0
 _PII_SQL = f"cast(regexp_matches(s, '{CARD}') as int) + cast(contains(lower(s), 'password') or contains(lower(s), 'secret') as int)"
 
 
-@register("l4_pii", f"select doc_id, {_PII_SQL} as leaks from (select doc_id, text || ' ' || source as s from documents)")
+@register("l4_pii", f"select doc_id, {_PII_SQL} as leaks from (select doc_id, text || ' ' || lang || ' ' || source as s from documents)")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", gates.pii_hits(None, ["text", "source"]).alias("leaks"))
+    return table(spark, d, "documents").select("doc_id", gates.pii_hits(None, ["text", "lang", "source"]).alias("leaks"))
 
 
 _L5 = """select 'latency' as gate, p95 <= 300 as passed, case when p95 <= 25 and p99 <= 50 then 'PASS' when p95 <= 300 then 'WARN' else 'FAIL' end as status
@@ -1125,7 +1190,7 @@ def _(spark, d):
     return gates.gate_latency(gates.service_metrics(_log(_txn(spark, d))))
 
 
-_L4G = f"select 'pii_masking' as gate, sum(leaks) = 0 as passed, case when sum(leaks) = 0 then 'PASS' else 'FAIL' end as status from (select {_PII_SQL} as leaks from (select text || ' ' || source as s from documents))"
+_L4G = f"select 'pii_masking' as gate, sum(leaks) = 0 as passed, case when sum(leaks) = 0 then 'PASS' else 'FAIL' end as status from (select {_PII_SQL} as leaks from (select text || ' ' || lang || ' ' || source as s from documents))"
 
 
 @register("l6_gate_matrix", _q([TXN, LOG, f"""gt as (select 'feature_contract' as gate, true as passed, 'PASS' as status union all select 'non_enforcement', true, 'PASS'
@@ -1136,7 +1201,7 @@ def _(spark, d):
     m = gates.service_metrics(log)
     contract = project_contract(log.select("order_id", "amount"), FEATURE_CONTRACT, missing="zero")
     return gates.gate_matrix(gates.gate_contract(contract, FEATURE_CONTRACT), gates.gate_non_enforcement(log), gates.gate_error_rates(m),
-                             gates.gate_pii(table(spark, d, "documents"), ["text", "source"]), gates.gate_latency(m))
+                             gates.gate_pii(table(spark, d, "documents"), ["text", "lang", "source"]), gates.gate_latency(m))
 
 
 DAYS = """
@@ -1356,14 +1421,15 @@ def _(spark, d):
 
 
 @register("st5_daily_metrics", _q([TXN, LOG], """select cast(cast(event_time as date) as varchar) as date, count(*) as requests, count_if(fallback_applied) as fallbacks,
-  count_if(fallback_applied) / count(*) as fallback_rate, count_if(alert) as alerts from log group by all""", ["fallback_rate"]))
+  count_if(fallback_applied) / count(*) as fallback_rate, count_if(alert) as alerts, quantile_disc(latency_ms, 0.5) as latency_p50,
+  quantile_disc(latency_ms, 0.95) as latency_p95, quantile_disc(latency_ms, 0.99) as latency_p99 from log group by all""", ["fallback_rate", "latency_p50", "latency_p95", "latency_p99"]))
 def _(spark, d):
     at = scratch_path(spark, "daily")
     daily = jobs.stream_daily_metrics(_log(_stream(spark, d)))
     # the last day is still open when the input ends, so the running table is written, not only closed days
     (daily.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{at}/out"))
      .option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(daily.schema).parquet(f"{at}/out").drop("latency_p50", "latency_p95", "latency_p99")
+    return spark.read.schema(daily.schema).parquet(f"{at}/out")
 
 
 @register("st6_label_join", _q([TXN], "select order_id, predicted_score as calibrated_score, is_abuse from txn where order_id % 3 <> 0 and order_id % 40 <= 30", ["calibrated_score"]))
