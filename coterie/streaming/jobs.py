@@ -134,11 +134,14 @@ STATE_OUT = ("order_id string, customer_id string, prior_order_count double, pri
 
 
 class CustomerWindow(StatefulProcessor):
-    """Keeps the customer's orders of the last 30 days and the categories ever used."""
+    """Keeps the customer's orders of the last 30 days, and of each category ever used its first use.
+
+    Both stay with the customer: the window is cut when the customer orders again.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", "t long, amount double")
-        self.categories = handle.getMapState("categories", "category string", "seen boolean")
+        self.categories = handle.getMapState("categories", "category string", "first long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["t", "order_id"], kind="stable")
@@ -156,9 +159,10 @@ class CustomerWindow(StatefulProcessor):
         def since(w: int) -> np.ndarray:
             return np.searchsorted(t, now - w, "right")
 
-        seen = {k[0] for k in self.categories.keys()}
-        born = batch.groupby("merchant_category")["t"].min()
-        born = born[[c not in seen for c in born.index]].to_numpy("int64")
+        first = {k[0]: v[0] for k, v in self.categories.iterator()}
+        changed = {c: int(at) for c, at in batch.groupby("merchant_category")["t"].min().items() if c not in first or at < first[c]}
+        first |= changed
+        born = np.sort(np.fromiter(first.values(), "int64", len(first)))
         out = pd.DataFrame({
             "order_id": batch["order_id"].astype(str), "customer_id": str(key[0]),
             "prior_order_count": (upto - since(30 * DAY)).astype(float),
@@ -167,11 +171,11 @@ class CustomerWindow(StatefulProcessor):
             "customer_order_count_24h": (upto - since(DAY)).astype(float),
             "customer_order_count_7d": (upto - since(7 * DAY)).astype(float),
             "customer_order_count_30d": (upto - since(30 * DAY)).astype(float),
-            "prior_category_count": [float(len(seen) + int((born < n).sum())) for n in now]})
+            "prior_category_count": np.searchsorted(born, now, "left").astype(float)})
         keep = t > t.max() - 30 * DAY
         self.recent.put([(int(a), float(b)) for a, b in zip(t[keep], amount[keep])])
-        for c in batch["merchant_category"].dropna().unique():
-            self.categories.updateValue((c,), (True,))
+        for c, at in changed.items():
+            self.categories.updateValue((c,), (at,))
         yield out
 
     def close(self) -> None:
@@ -181,7 +185,8 @@ class CustomerWindow(StatefulProcessor):
 def stream_customer_state(stream: DataFrame) -> DataFrame:
     """Per-customer windows from keyed state (needs the RocksDB state store).
 
-    For input in event-time order: an order older than the state's horizon no longer finds its window.
+    A late order counts what came before it in its own time, categories by their first use; one older than the
+    state's 30 days no longer finds its window.
     """
     rows = timed(stream).select(F.col("order_id").cast("string"), F.col("customer_id").cast("string"), "t",
                                 F.col("amount").cast("double"), "merchant_category")

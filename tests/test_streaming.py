@@ -105,3 +105,22 @@ def test_customer_state_equals_batch(spark, orders, tmp_path):
         for c in ("prior_order_count", "prior_spend", "customer_order_count_1h", "customer_order_count_24h",
                   "customer_order_count_7d", "customer_order_count_30d", "prior_category_count"):
             assert abs(got[k][c] - w[c]) < 1e-6, (k, c, got[k][c], w[c])
+
+
+def test_customer_state_with_late_orders(spark, orders, tmp_path):
+    """The second batch lies before the first one: categories count by their first use."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = orders.orderBy(F.col("event_time").desc()).collect()
+        half = len(rows) // 2
+        for k in range(2):
+            spark.createDataFrame(rows[k * half:(k + 1) * half if k == 0 else None], orders.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/late")
+        stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/late")
+        jobs.stream_customer_state(stream).writeStream.format("memory").queryName("late").trigger(availableNow=True).start().awaitTermination()
+        got = {r["order_id"]: r["prior_category_count"] for r in spark.table("late").collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {r["order_id"]: r["prior_category_count"] for r in feature_matrix(orders, "baseline", ties="strict").collect()}
+    old = {r["order_id"] for r in rows[half:]}  # what came second is complete only with itself: no later row may count
+    assert {k: v for k, v in got.items() if k in old} == {k: v for k, v in want.items() if k in old}
