@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from coterie.functions import beside, mask_tail, monitor_status
 from coterie.operators.asof import timed
 from coterie.schema import ENTITY_COLUMNS
+from coterie.sources.scratch import materialise
 
 # Messages of the checks, and names an explanation never shows (matched as substrings).
 ERRORS = (
@@ -72,8 +73,10 @@ def feed_rows(scored: DataFrame) -> DataFrame:
     labels = {"device": "device", "address": "address", "ip": "IP", "payment": "payment"}
     for e in labels:
         c = ENTITY_COLUMNS[e]
-        born = rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(me).alias(f"_born_{e}"))
-        out = out.join(born, c, "left")
+        # stored, so that the join is a plain one whose hot values adaptive execution splits; orders without a value are spread
+        born = materialise(rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("_key")).agg(F.min(me).alias(f"_born_{e}")), f"born-{e}")
+        key = F.coalesce(F.col(c).cast("string"), F.concat(F.lit("\0"), F.xxhash64("order_id").cast("string")))
+        out = out.withColumn("_key", key).join(born, "_key", "left").drop("_key")
     out = beside(out, first)
     shared = F.array_compact(F.array(*[F.when(F.col(f"_born_{e}") < me, F.lit(v)) for e, v in labels.items()]))
     out = out.withColumn("shared", shared)

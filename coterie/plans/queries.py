@@ -157,10 +157,14 @@ f as (select *, row_number() over (order by t) as ix,
   row_number() over (partition by ip_id order by t) > 1 as si, row_number() over (partition by payment_id order by t) > 1 as sp from log)"""],
     """select order_id, strftime(event_time, '%H:%M:%S') as time, 'Customer ••' || right(cast(customer_id as varchar), 2) as customer, amount,
   predicted_score as risk, case when fallback_applied then 'FALLBACK' when predicted_score < 0.3 then 'NORMAL' when predicted_score < 0.5 then 'WATCHING' else 'ALERT' end as status,
-  concat_ws(',', case when sd then 'device' end, case when sa then 'address' end, case when si then 'IP' end, case when sp then 'payment' end) as shared
+  concat_ws(',', case when sd then 'device' end, case when sa then 'address' end, case when si then 'IP' end, case when sp then 'payment' end) as shared,
+  case when fallback_applied then 'Scored on the fallback path' when predicted_score >= 0.5 then 'Risk crossed review threshold' when ix = 1 then 'First event, limited history'
+    when sd::int + sa::int + si::int + sp::int >= 2 then 'Network connectivity increasing'
+    when sd or sa or si or sp then 'Shared ' || case when sd then 'device' when sa then 'address' when si then 'IP' else 'payment' end || ' relationship observed'
+    when predicted_score >= 0.3 then 'Elevated score, below review threshold' else 'Scored' end as observation
   from f""", ["amount", "risk"]))
 def _(spark, d):
-    return screening.feed_rows(_log(_txn(spark, d))).drop("observation")
+    return screening.feed_rows(_log(_txn(spark, d)))
 
 
 @register("p15_unpivot", _q([TXN, ENT], "select order_id, etype, value from ent"))
