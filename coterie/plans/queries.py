@@ -715,10 +715,21 @@ def _(spark, d):
         t.select("order_id", "is_abuse", "amount", F.col("predicted_score").alias("base")), ["base", "amount"], repeats=1)
 
 
-@register("u10_correlation_prune", None)
+def _pruned_sql() -> str:
+    """Of each pair of baseline columns with |r| above 0.95 the later one goes (importance falls with the place)."""
+    cols = o.BASELINE_COLUMNS
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    r = "r as (select " + ", ".join(f"corr({a}, {b}) as r{k}" for k, (a, b) in enumerate(pairs)) + " from fb)"
+    gone = "gone as (" + " union ".join(f"select '{b}' as c from r where not isnan(r{k}) and abs(r{k}) > 0.95" for k, (_, b) in enumerate(pairs)) + ")"
+    every = "every as (select unnest([" + ", ".join(f"'{c}'" for c in cols) + "]) as kept)"
+    return _q([TXN, ENT, o.CUST, o.OWN, f"fb as ({o._baseline_body()})", r, gone, every],
+              "select (select count(*) from fb) as orders, kept from every where kept not in (select c from gone)")
+
+
+@register("u10_correlation_prune", _pruned_sql())
 def _(spark, d):
     fb = behaviour.baseline_features(_txn(spark, d))
-    cols = ["prior_order_count", "velocity_per_day", "prior_spend", "amount", "hours_since_prior"]
+    cols = o.BASELINE_COLUMNS
     kept = uncertainty.correlation_prune(fb, cols, {c: 1.0 / (k + 1) for k, c in enumerate(cols)})
     return fb.agg(F.count("*").alias("orders")).select("orders", F.explode(F.array(*[F.lit(c) for c in kept])).alias("kept"))
 
