@@ -1,6 +1,7 @@
 """Registered queries: every operator over the driver's tables, with its SQL where SQL can say it."""
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -696,12 +697,36 @@ def _(spark, d):
                               ["amount", "predicted_score", "retry_count", "not_a_feature"])[0]
 
 
-@register("u7_bootstrap", None)
+def _resampled(n: int, source: str = "txn", tag: str = "") -> list[str]:
+    """SQL of the metrics of ``n`` resamples (see ``uncertainty.resample_weight``)."""
+    cum, weight = 0.0, []
+    for k in range(12):
+        cum += math.exp(-1) / math.factorial(k)
+        weight.append(f"(u >= {cum!r}::double)::int")
+    return [f"""wt{tag} as (select predicted_score as s, is_abuse, loss_amount, r, ('0x' || substr(md5(order_id || '|' || r || '|42'), 1, 13))::bigint::double / 4503599627370496::double as u
+    from {source}, range(1, {n + 1}) t(r)), rw{tag} as (select s, is_abuse, loss_amount, r, {' + '.join(weight)} as w from wt{tag}),
+cf{tag} as (select r, coalesce(sum(w) filter (s >= 0.5 and is_abuse = 1), 0)::double as tp, coalesce(sum(w) filter (s >= 0.5 and is_abuse = 0), 0)::double as fp,
+    coalesce(sum(w) filter (s < 0.5 and is_abuse = 1), 0)::double as fn, coalesce(sum(w) filter (is_abuse = 0), 0) as good,
+    coalesce(sum(w * loss_amount) filter (s < 0.5 and is_abuse = 1), 0)::double as missed from rw{tag} where w > 0 group by r),
+ls{tag} as (select r, s, sum(w) as n, sum(w * is_abuse) as pos from rw{tag} where w > 0 group by r, s),
+lc{tag} as (select *, sum(n) over w as cn, sum(pos) over w as cp, sum(pos) over (partition by r) as p from ls{tag} window w as (partition by r order by s desc)),
+ll{tag} as (select *, coalesce(lag(cp / cn) over (partition by r order by s desc), 1.0) as before from lc{tag}),
+rk{tag} as (select r, sum(pos / p * (cp / cn + before) / 2) as pr_auc, sum(pos / p * cp / cn) as average_precision from ll{tag} group by r),
+mt{tag} as (select r, pr_auc, average_precision, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end as f1, case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision,
+    tp / (tp + fn) as recall, fp * 10 + missed + tp * 2 as expected_loss from cf{tag} join rk{tag} using (r) where tp + fn > 0 and good > 0)"""]
+
+
+@register("u7_bootstrap", _q([TXN, *_resampled(50), "lg as (unpivot (select pr_auc, f1, precision, recall, expected_loss from mt) on * into name metric value value)"],
+    "select metric, avg(value) as mean, stddev_pop(value) as std, quantile_cont(value, 0.025) as ci_95_lower, quantile_cont(value, 0.975) as ci_95_upper from lg group by metric",
+    ["mean", "std", "ci_95_lower", "ci_95_upper"]))
 def _(spark, d):
     return uncertainty.bootstrap_ci(_txn(spark, d), n=50)
 
 
-@register("u8_paired_bootstrap", None)
+@register("u8_paired_bootstrap", _q([TXN, TXN_B, *_resampled(30), *_resampled(30, "txnb", "b"), """lg as (select 'average_precision' as metric, b.average_precision - a.average_precision as delta from mt a join mtb b using (r)
+  union all select 'f1', b.f1 - a.f1 from mt a join mtb b using (r))"""],
+    "select metric, avg(delta) as mean_delta, avg((delta > 0)::int) as exceedance, quantile_cont(delta, 0.025) as lower, quantile_cont(delta, 0.975) as upper from lg group by metric",
+    ["mean_delta", "exceedance", "lower", "upper"]))
 def _(spark, d):
     return uncertainty.paired_bootstrap(*_two_models(_txn(spark, d)), n=30)
 
