@@ -731,13 +731,36 @@ def _(spark, d):
     return uncertainty.paired_bootstrap(*_two_models(_txn(spark, d)), n=30)
 
 
-@register("u9_permutation_importance", None)
+def _permuted_sql(repeats: int, seed: int = 42) -> str:
+    """Average precision of a fixed score with one column dealt anew, less that of the score itself."""
+    h = lambda salt: f"('0x' || substr(md5(order_id || '|{salt}'), 1, 13))::bigint"
+    blocks = "(select count(*) // 50000 + 1 from txn)"
+    ctes, ap = [TXN, "base as (select order_id, is_abuse, predicted_score as base, amount from txn)"], []
+
+    def precision(rows: str, name: str) -> str:
+        return (f"{name}s as (select base * 0.9::double + amount * 1e-5::double as s, count(*) as n, sum(is_abuse) as pos from {rows} group by s), "
+                f"{name} as (select sum(pos * cp / cn) / sum(pos) as ap from (select *, sum(n) over w as cn, sum(pos) over w as cp from {name}s window w as (order by s desc)))")
+
+    ctes.append(precision("base", "ap0"))
+    for k, c in enumerate(("base", "amount")):
+        for r in range(repeats):
+            salt, name = seed + 31 * k + r, f"p{k}{r}"
+            num = lambda x: f"row_number() over (order by {h(x)} % {blocks}, {h(x)}, order_id)"
+            ctes.append(f"{name}t as (select * exclude ({c}), {num(salt)} as pos from base), {name}v as (select {c}, {num(salt + 7919)} as pos from base), "
+                        f"{name}r as (select * from {name}t join {name}v using (pos))")
+            ctes.append(precision(f"{name}r", f"ap{k}{r}"))
+        drops = " + ".join(f"((select ap from ap0) - (select ap from ap{k}{r}))" for r in range(repeats))
+        ap.append(f"select '{c}' as feature, ({drops}) / {repeats} as importance")
+    return _q(ctes, " union all ".join(ap), ["importance"])
+
+
+@register("u9_permutation_importance", _permuted_sql(3))
 def _(spark, d):
     t = materialise(_txn(spark, d).select("order_id", "amount", F.col("retry_count").cast("double"), "is_abuse", "predicted_score"), "perm")
     # a fixed linear score over two columns: shuffling the one it leans on costs precision
     return uncertainty.permutation_importance(
         lambda df: df.withColumn("predicted_score", F.col("base") * 0.9 + F.col("amount") * 1e-5),
-        t.select("order_id", "is_abuse", "amount", F.col("predicted_score").alias("base")), ["base", "amount"], repeats=1)
+        t.select("order_id", "is_abuse", "amount", F.col("predicted_score").alias("base")), ["base", "amount"], repeats=3)
 
 
 def _pruned_sql() -> str:
