@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coterie.operators.components import union_groups
 from coterie.sources.scratch import materialise
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -27,7 +28,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted 64-bit hashes of the distinct word shingles of texts. Words are hashed once and kept."""
 
-    def __init__(self, words: int, most: int = 1_000_000) -> None:
+    def __init__(self, words: int, most: int = 300_000) -> None:
         self.words, self.most = words, most
         self.kept: dict[bytes, int] = {}
 
@@ -169,13 +170,14 @@ def _token_counts(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """``rep, n, lead, bucket`` for each shingle of the sets' prefixes.
+    """``rep, n, lead, place, bucket`` for each shingle of the sets' prefixes.
 
     In one order of all shingles, common ones last, two linked sets share a shingle among the first
-    n - ceil(n percent / 100) + 1 of each. ``lead`` is small for sets whose prefix is common: the middle of a group."""
+    n - ceil(n percent / 100) + 1 of each. ``place`` is its place in the set: of two sets that meet there first, no more
+    can be common than what follows in both. ``lead`` is small for sets whose prefix is common: the middle of a group."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, n, lead, tokens = [], [], [], []
+            reps, n, lead, place, tokens = [], [], [], [], []
             for i, x in enumerate(batch.column(1)):
                 own = np.frombuffer(x.as_buffer(), np.uint64)
                 often = counts[(own >> np.uint64(46)).astype(np.int64)]
@@ -184,14 +186,16 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 reps.append(np.full(size, i))
                 n.append(np.full(size, len(own)))
                 lead.append(np.full(size, -float(np.median(often[first]))))
+                place.append(np.arange(size))
                 tokens.append(own[first].view(np.int64))
             if reps:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(np.concatenate(reps), pa.int64())), pa.array(np.concatenate(n), pa.int64()),
-                     pa.array(np.concatenate(lead)), pa.array(np.concatenate(tokens))], names=["rep", "n", "lead", "bucket"])
+                     pa.array(np.concatenate(lead)), pa.array(np.concatenate(place), pa.int64()), pa.array(np.concatenate(tokens))],
+                    names=["rep", "n", "lead", "place", "bucket"])
 
     kind = sets.schema["rep"].dataType.simpleString()
-    return sets.select("rep", "shingles").mapInArrow(read, f"rep {kind}, n long, lead double, bucket long")
+    return sets.select("rep", "shingles").mapInArrow(read, f"rep {kind}, n long, lead double, place long, bucket long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,37 +219,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(read, f"a {kind}, b {kind}")
 
 
-def union_groups(edges: DataFrame) -> DataFrame:
-    """``node, root``: the smallest node of the connected component of every node of ``edges(a, b)``.
-
-    Every node points to its first neighbour in a random order (drawn anew each round) or to itself, one step of the
-    path is skipped, and edges move to where their ends point: a constant share of the nodes goes in each round,
-    whatever the ids. Each round stores a forest and joins stored tables plainly; none is capped."""
-    edges = materialise(edges.select("a", "b").where("a <> b").distinct(), "links")
-    forest: DataFrame | None = None
-    turn = 0
-    while not edges.isEmpty():
-        turn += 1
-        rank = lambda x: F.struct(F.xxhash64(x, F.lit(turn)).alias("h"), x.alias("node"))  # noqa: E731, B023
-        low = F.least(rank(F.col("a")), rank(F.col("b")))
-        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), low.alias("to")), F.struct(F.col("b").alias("node"), low.alias("to")))).alias("e"))
-        parent = materialise(ends.groupBy("e.node").agg(F.min("e.to").alias("m")).select("node", F.col("m.node").alias("to")), "parents")
-        up = parent.select(F.col("node").alias("to"), F.col("to").alias("top"))  # every node pointed to is in the table
-        parent = materialise(parent.join(up, "to").select("node", F.col("top").alias("to")), "parents")
-        a = parent.select(F.col("node").alias("a"), F.col("to").alias("ra"))
-        b = parent.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = materialise(edges.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "links")
-        if forest is None:
-            forest = parent
-        else:
-            moved = parent.select(F.col("node").alias("to"), F.col("to").alias("top"))
-            forest = materialise(forest.join(moved, "to", "left").select("node", F.coalesce("top", "to").alias("to")), "forest")
-    if forest is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    smallest = materialise(forest.groupBy("to").agg(F.min("node").alias("root")), "roots")
-    return forest.join(smallest, "to").select("node", "root")
-
-
 def _roots(members: DataFrame, groups: DataFrame) -> DataFrame:
     """``members`` with the current root of their representative."""
     return (members.drop("root").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
@@ -269,10 +242,11 @@ def _grouped(sets: DataFrame, percent: int) -> DataFrame | None:
         if members.isEmpty():
             return groups
         chosen = (F.col("rep") == F.col("first")) | (F.col("spot") * F.col("size") < tried)
-        centre = materialise(members.where(chosen).select("bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("root").alias("cr")), "centres")
+        centre = materialise(members.where(chosen).select("bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("root").alias("cr"), F.col("place").alias("cp")), "centres")
         # of two centres the one with the larger id meets the other
         meets = (~chosen | (F.col("rep") > F.col("c"))) & (F.col("root") != F.col("cr"))
-        fits = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
+        # what a link needs in common, against what can be common from this shingle on; an earlier shared one has its own bucket
+        fits = F.least(F.col("n") - F.col("place"), F.col("cn") - F.col("cp")) * (100 + percent) >= (F.col("n") + F.col("cn")) * percent
         pairs = materialise(members.join(centre, "bucket").where(fits & meets).select(
             F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), "pairs")
         members = members.where(~chosen).drop("first")
