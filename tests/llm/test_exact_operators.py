@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from coterie.llm import exchanges, near, neighbours, packing, recipes, transducer
+from coterie.operators import components
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 TEXTS = [
@@ -307,7 +308,7 @@ def test_near_duplicates_null_ids(spark):
 
 def test_union_of_a_long_path(spark):
     edges = spark.range(1, 1_000).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(5_000, 6_000)], "a long, b long"))
-    got = {r["node"]: r["root"] for r in near.union_groups(edges).collect()}
+    got = {r["node"]: r["root"] for r in components.union_groups(edges).collect()}
     assert got == {i: 1 for i in range(1, 1_001)} | {5_000: 5_000, 6_000: 5_000}
 
 
