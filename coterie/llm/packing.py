@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,16 +29,17 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 class WordEncoder:
     """Ids of texts whose tokenizer never joins characters over ASCII white space: words are encoded once and kept."""
 
-    def __init__(self, path: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism; threads of each would spin
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.most = most
         self.kept: dict[str, bytes] = {}
         self.held = 0
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words = text.translate(_BLANKS).split(" ") if any(c in text for c in "\t\n\v\f\r") else text.split(" ")
+        words = text.split() if not _CONTROL.search(text) else _BLANK.split(text)
         kept = self.kept
         try:
             return b"".join(map(kept.__getitem__, words))
@@ -45,14 +48,40 @@ class WordEncoder:
         if len(kept) > self.most or self.held > 1 << 25:
             kept.clear()
             self.held = 0
-        new = list(set(words).difference(kept))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            kept[word] = np.array(e.ids, "<u4").tobytes()
-            self.held += len(word)
+        self._learn(set(words).difference(kept))
         return b"".join(map(kept.__getitem__, words))
 
+    def _learn(self, new: set[str]) -> None:
+        """Keep the ids of words: of letters in small print, and of a last mark, apart, as they are shared."""
+        kept, parts, ask = self.kept, [], []
+        for word in new:
+            core, mark = (word[:-1], word[-1]) if word[-1:] in _MARKS else (word, "")
+            if core.isascii() and core.isalpha():
+                # small letters only: nothing to normalise or to cut, the model alone decides
+                core = core.lower()
+                if core not in kept:
+                    kept[core] = array("I", [t.id for t in self.model.tokenize(core)]).tobytes()
+                    self.held += len(core)
+            else:
+                core, mark = word, ""
+                ask.append(core)
+            parts.append((word, core, mark))
+            if mark and mark not in kept:
+                ask.append(mark)
+        ask = list(set(ask))
+        for word, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
+            kept[word] = array("I", e.ids).tobytes()
+            self.held += len(word)
+        for word, core, mark in parts:
+            if word not in kept:
+                kept[word] = kept[core] + kept[mark] if mark else kept[core]
+                self.held += len(word)
+
 
-_BLANKS = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
+#: Python splits at these, the tokenizer does not; all other white space separates words for both.
+_CONTROL = re.compile("[\x1c-\x1f]")
+_BLANK = re.compile("[ \t\n\v\f\r]+")
+_MARKS = frozenset(".,;:!?")
 
 
 @lru_cache(maxsize=2)
