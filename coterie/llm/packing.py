@@ -12,6 +12,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,13 @@ class WordEncoder:
         kept, parts, ask = self.kept, [], []
         for word in new:
             core, mark = (word[:-1], word[-1]) if word[-1:] in _MARKS else (word, "")
-            if core.isascii() and core.isalpha():
-                # small letters only: nothing to normalise or to cut, the model alone decides
-                core = core.lower()
+            small = core.lower()
+            if small.isalpha() and (core.isascii() or "\u03a3" not in core and is_normalized("NFC", core) and is_normalized("NFC", small)):
+                # letters only (a capital sigma's small form hangs on its place): nothing else to normalise or to cut
+                core = small
                 if core not in kept:
-                    kept[core] = array("I", [t.id for t in self.model.tokenize(core)]).tobytes()
+                    plain = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+                    kept[core] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
                     self.held += len(core)
             else:
                 core, mark = word, ""
@@ -84,6 +87,16 @@ _BLANK = re.compile("[ \t\n\v\f\r]+")
 _MARKS = frozenset(".,;:!?")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE writes bytes that aren't printable Latin-1 as the letters from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
