@@ -41,9 +41,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a main language that the labels know; texts without letters go, and those without a language of
-    at least ``MIN_LANGUAGE`` of their letters. Foreign passages in a text are no reason to drop it."""
+    at least ``MIN_LANGUAGE`` of their letters, where letters count that are of its scripts and read like its labelled rows.
+    Foreign passages in a text are no reason to drop it."""
     said = languages.language_of(language_model(docs), F.col("text"))
-    return docs.where((said["language"] != "und") & (said["score"] >= MIN_LANGUAGE))
+    return docs.where(said["fit"] >= MIN_LANGUAGE)
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,10 @@ _STARTS = np.array([s for s, _ in SCRIPT_STARTS], np.uint32)
 _SCRIPTS = np.array([k for _, k in SCRIPT_STARTS], np.int64)
 _LETTER: list[np.ndarray] = []
 GRAMS = (1, 2, 3, 4)
+# Words of one window of a text, whose mean is compared with windows of the labelled rows.
+WINDOW = 16
+# A window fits down to this many times the distance from the median to the lower quartile of the labelled windows, and at least LEAST.
+SLACK, LEAST = 4.0, 0.1
 
 
 def _letters() -> np.ndarray:
@@ -40,9 +44,11 @@ def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, starts, np.repeat(np.arange(len(words)), sizes)
 
 
-def _gram_buckets(words: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word, bucket) of each character n-gram, for every length in ``GRAMS``; a blank marks a word's ends."""
+def _gram_buckets(words: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, bucket, whether it has letters and word ends only) of each character n-gram, for every length in ``GRAMS``; a blank
+    marks a word's ends."""
     points, _, word = _code_points(words)
+    others = np.concatenate([[0], np.cumsum(~_letters()[points] & (points != 32))])
     h = np.zeros(len(points), np.uint64)
     for n in range(1, max(GRAMS) + 1):
         if n > len(points):
@@ -52,12 +58,24 @@ def _gram_buckets(words: list[str], buckets: int) -> Iterator[tuple[np.ndarray,
             inside = word[:len(h)] == word[n - 1:]
             g = h[inside]
             g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            yield word[:len(h)][inside], ((g >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            yield word[:len(h)][inside], ((g >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64), (others[n:] == others[:-n])[inside]
+
+
+def _windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window of each word (``doc`` is its text, in order) and words of each window: runs of ``WINDOW`` words, the rest with the last."""
+    sizes = np.bincount(doc, minlength=n_docs)
+    place = np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]
+    many = np.maximum(sizes // WINDOW, 1)
+    window = (np.cumsum(many) - many)[doc] + np.minimum(place // WINDOW, many[doc] - 1)
+    return window, np.bincount(window, minlength=int(many.sum()))
 
 
 @dataclass
 class LanguageModel:
-    """Log probabilities of n-gram buckets by language, and the scripts each language is written in."""
+    """Log probabilities of n-gram buckets by language, and the scripts each language is written in.
+
+    ``usual`` and ``slack`` say by language what mean log probability a window of words has in the labelled rows, and how far
+    below a window may lie that still fits."""
 
     languages: list[str]
     log_p: np.ndarray  # language x bucket
@@ -67,44 +85,55 @@ class LanguageModel:
     scores: np.ndarray | None = None
     letters: np.ndarray | None = None
     most: int = 300_000
+    usual: np.ndarray | None = None
+    slack: np.ndarray | None = None
+    means: np.ndarray | None = None
+    known: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "kept": {}, "scores": None, "letters": None}
+        return {**self.__dict__, "kept": {}, "scores": None, "letters": None, "means": None, "known": None}
 
-    def _score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (word x language) and letter counts; a language whose scripts a word lacks can't win it."""
+    def _score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores (word x language) and letter counts; a language whose scripts a word lacks can't win it. Then the mean log
+        probability of a word's n-grams without punctuation (word x language) and its letters in each language's scripts."""
         lower = [w.lower() for w in words]
         points, starts, _ = _code_points(lower)
         is_letter = _letters()[points]
         n = np.add.reduceat(is_letter, starts, dtype=np.int64)
         bits = np.where(is_letter, 1 << _SCRIPTS[np.searchsorted(_STARTS, points, "right") - 1], 0)
         used = np.bitwise_or.reduceat(bits, starts)
+        known = np.stack([np.add.reduceat((bits & b) != 0, starts, dtype=np.int64) for b in self.scripts], 1)
         score = np.zeros((len(words), len(self.languages)))
-        for word, bucket in _gram_buckets(lower, self.log_p.shape[1]):
+        plain_score, grams = np.zeros_like(score), np.zeros(len(words))
+        for word, bucket, plain in _gram_buckets(lower, self.log_p.shape[1]):
+            grams += np.bincount(word, plain, len(words))
             for k in range(len(self.languages)):
-                score[:, k] += np.bincount(word, self.log_p[k, bucket], len(words))
+                log_p = self.log_p[k, bucket]
+                score[:, k] += np.bincount(word, log_p, len(words))
+                plain_score[:, k] += np.bincount(word, log_p * plain, len(words))
+        means = (plain_score / np.maximum(grams, 1)[:, None]).astype(np.float32)
         can = (used[:, None] & self.scripts[None, :]) != 0
         can |= ~can.any(1, keepdims=True)
         score -= score.max(1, keepdims=True)
         score = np.where(can, score, score.min(1, keepdims=True) - 20)
         score -= score.max(1, keepdims=True)
         score[n == 0] = 0
-        return score.astype(np.float32), n
+        return score.astype(np.float32), n, means, known
 
     def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Row of every word in the kept scores, and the number of words of each text."""
         split = [t.split() for t in texts]
         if len(self.kept) > self.most:
             self.kept.clear()
-            self.scores = self.letters = None
+            self.scores = self.letters = self.means = self.known = None
         kept = self.kept
         new = list({w for words in split for w in words}.difference(kept))
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            score, n = self._score(some)
+            made = self._score(some)
             kept.update(zip(some, range(len(kept), len(kept) + len(some)), strict=True))
-            self.scores = score if self.scores is None else np.concatenate([self.scores, score])
-            self.letters = n if self.letters is None else np.concatenate([self.letters, n])
+            held = (self.scores, self.letters, self.means, self.known)
+            self.scores, self.letters, self.means, self.known = made if held[0] is None else map(np.concatenate, zip(held, made, strict=True))
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         rows = np.fromiter((kept[w] for words in split for w in words), np.int64, int(sizes.sum()))
         return rows, sizes
@@ -115,10 +144,13 @@ class LanguageModel:
         All texts of the batch advance together, longest first, one word a step: stay, or come from the best
         language for ``penalty``."""
         rows, sizes = self._look_up(texts)
+        return self._path(rows, sizes), sizes, self.letters[rows] if len(rows) else np.zeros(0, np.int64)
+
+    def _path(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         k, total = len(self.languages), len(rows)
         labels = np.zeros(total, np.int16)
         if total == 0:
-            return labels, sizes, np.zeros(0, np.int64)
+            return labels
         order = np.argsort(-sizes, kind="stable")
         first = np.cumsum(sizes) - sizes
         begin = first[order]
@@ -141,11 +173,32 @@ class LanguageModel:
             at = begin[:m] + t
             labels[at] = now[:m]
             now[:m] = back[at, now[:m]]
-        return labels, sizes, self.letters[rows]
+        return labels
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, pa.Array]:
         """Main language of each text, its share of all letters, and the spans."""
-        labels, sizes, letters = self.spans(texts)
+        return self.predict_with_fit(texts)[:3]
+
+    def _fit(self, rows: np.ndarray, labels: np.ndarray, letters: np.ndarray, doc: np.ndarray, n_docs: int, total: np.ndarray) -> np.ndarray:
+        """Largest share of a text's letters that one language has in its own scripts and in windows that read like its labelled rows."""
+        k = len(self.languages)
+        known = self.known[rows, labels]
+        # numbers say nothing, and words of other scripts are no part of a language
+        at = np.flatnonzero((known > 0) & (2 * known >= letters))
+        if not len(at):
+            return np.zeros(n_docs)
+        window, sizes = _windows(doc[at], n_docs)
+        own, n = labels[at], len(sizes)
+        below = np.bincount(window, self.means[rows[at], own] - self.usual[own], n)
+        room = np.bincount(window, self.slack[own], n) * np.sqrt(WINDOW / np.maximum(sizes, 1))
+        weight = np.bincount(doc[at] * k + own, known[at] * (below >= -room)[window], n_docs * k).reshape(-1, k)
+        return np.where(total > 0, weight.max(1) / np.maximum(total, 1), 0.0)
+
+    def predict_with_fit(self, texts: list[str]) -> tuple[list[str], np.ndarray, pa.Array, np.ndarray]:
+        """What ``predict`` returns, and the share of letters that fits one language (see ``_fit``)."""
+        rows, sizes = self._look_up(texts)
+        labels = self._path(rows, sizes)
+        letters = self.letters[rows] if len(rows) else np.zeros(0, np.int64)
         k = len(self.languages)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         weight = np.bincount(doc * k + labels, letters, len(sizes) * k).reshape(-1, k)
@@ -162,15 +215,18 @@ class LanguageModel:
             [pa.array(starts - offset[doc[starts]], pa.int64()), pa.array(ends - offset[doc[starts]], pa.int64()),
              pa.array([self.languages[i] for i in labels[starts]], pa.string())], names=["start", "end", "language"])
         bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[starts], minlength=len(sizes)))])
-        return names, score, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans)
+        fit = self._fit(rows, labels, letters, doc, len(sizes), total) if len(labels) else np.zeros(len(sizes))
+        return names, score, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans), fit
 
 
-def fit_languages(labelled: DataFrame, train_rows: int = 20_000, buckets: int = 1 << 16, penalty: float = 12.0) -> LanguageModel | None:
+def fit_languages(labelled: DataFrame, train_rows: int = 20_000, buckets: int = 1 << 16, penalty: float = 12.0,
+                  bound_rows: int = 4_000) -> LanguageModel | None:
     """Fit on ``labelled(case_id, narrative, language)``, rows with a null in either of the last two left out.
 
     About ``train_rows`` rows chosen by a hash of ``case_id`` are counted (all, if fewer): the documented
     bound. n-grams are counted inside the tasks; the driver gets one row per language and bucket. Without labelled
-    rows there is no model (None): everything is ``und``.
+    rows there is no model (None): everything is ``und``. What fits a language is set by windows of about ``bound_rows`` of
+    these rows (a second documented bound), each scored without the counts of its own row.
     """
     rows = labelled.select("case_id", "narrative", "language").where("narrative is not null and language is not null")
     n = rows.count()
@@ -187,7 +243,7 @@ def fit_languages(labelled: DataFrame, train_rows: int = 20_000, buckets: int =
                 names, times = list(c), np.fromiter(c.values(), np.float64, len(c))
                 for at in range(0, len(names), 50_000):
                     some, weight = names[at:at + 50_000], times[at:at + 50_000]
-                    for word, bucket in _gram_buckets(some, buckets):
+                    for word, bucket, _ in _gram_buckets(some, buckets):
                         out[:buckets] += np.bincount(bucket, weight[word], buckets)
                     points, _, word = _code_points(some)
                     script = _SCRIPTS[np.searchsorted(_STARTS, points, "right") - 1]
@@ -206,17 +262,68 @@ def fit_languages(labelled: DataFrame, train_rows: int = 20_000, buckets: int =
     grams, scripts = table[:, :buckets] + 0.05, table[:, buckets:]
     share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
     bits = ((share >= 0.01) * (1 << np.arange(len(SCRIPT_STARTS)))).sum(1)
-    return LanguageModel(names, np.log(grams / grams.sum(1, keepdims=True)), bits, penalty)
+    usual, slack = _bounds(rows, min(n, train_rows), bound_rows, names, table[:, :buckets])
+    return LanguageModel(names, np.log(grams / grams.sum(1, keepdims=True)), bits, penalty, usual=usual, slack=slack)
+
+
+def _weighted(value: np.ndarray, weight: np.ndarray, q: float) -> float:
+    order = np.argsort(value)
+    cum = np.cumsum(weight[order])
+    return float(value[order][np.searchsorted(cum, q * cum[-1])])
+
+
+def _bounds(rows: DataFrame, n: int, bound_rows: int, names: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Usual mean log probability of a window by language, and how far below it a window of ``WINDOW`` words still fits.
+
+    Median and lower quartile stand for the clean windows: passages and junk in less than a quarter of them move neither much.
+    The driver gets windows counted by language, size and rounded mean."""
+    buckets = table.shape[1]
+    # another salt than the one that chose the rows
+    chosen = rows if n <= bound_rows else rows.where(F.pmod(F.xxhash64("case_id", F.lit(1)), F.lit(1_000_003)) < int(1_000_003 * bound_rows / n))
+    sums = table.sum(1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: Counter = Counter()
+            for lang, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
+                words = [w for w in text.lower().split() if any(map(str.isalpha, w))]
+                if not words:
+                    continue
+                k = names.index(lang)
+                word, bucket, plain = (np.concatenate(x) for x in zip(*_gram_buckets(words, buckets), strict=True))
+                some, back, times = np.unique(bucket, return_inverse=True, return_counts=True)
+                left = np.maximum(table[k, some] - times, 0) + 0.05
+                log_p = np.log(left / max(sums[k] - len(bucket) + 0.05 * buckets, 1))[back]
+                means = np.bincount(word, log_p * plain, len(words)) / np.maximum(np.bincount(word, plain, len(words)), 1)
+                window, sizes = _windows(np.zeros(len(words), np.int64), 1)
+                out.update(zip([lang] * len(sizes), sizes.tolist(), np.round(np.bincount(window, means) / sizes, 2).tolist(), strict=True))
+            got = list(out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.float64()),
+                 pa.array(list(out.values()), pa.int64())], names=["language", "size", "mean", "n"])
+
+    got = (chosen.select("narrative", F.col("language").cast("string").alias("language")).mapInArrow(read, "language string, size long, mean double, n long")
+           .groupBy("language", "size", "mean").agg(F.sum("n").alias("n")).toPandas())
+    usual, slack = np.zeros(len(names)), np.full(len(names), np.inf)  # a language without any such window bounds nothing
+    for k, name in enumerate(names):
+        own = got[got["language"] == name]
+        if len(own):
+            size, mean, times = (own[c].to_numpy(float) for c in ("size", "mean", "n"))
+            usual[k] = _weighted(mean, times * size, 0.5)
+            slack[k] = max(-SLACK * _weighted((mean - usual[k]) * np.sqrt(size / WINDOW), times * size, 0.25), LEAST)
+    return usual, slack
 
 
 def language_of(model: LanguageModel | None, narrative: Column) -> Column:
-    """``struct<language, score, spans array<struct<start, end, language>>>`` of a text column.
+    """``struct<language, score, spans array<struct<start, end, language>>, fit>`` of a text column.
 
     Spans count white-space separated words, end exclusive. ``language`` is the one with most letters (of equals the
-    first by name), ``und`` with score 0 if the text is null, empty or without a letter.
+    first by name), ``und`` with score 0 if the text is null, empty or without a letter. ``score`` is its share of all letters, whether
+    they read like that language or not. ``fit`` says how much does: the largest share of all letters that one language has in its own
+    scripts and in windows whose mean n-gram log probability is not below what labelled rows have.
     """
     kind = pa.struct([("language", pa.string()), ("score", pa.float64()),
-                      ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("language", pa.string())])))])
+                      ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("language", pa.string())]))), ("fit", pa.float64())])
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -224,17 +331,17 @@ def language_of(model: LanguageModel | None, narrative: Column) -> Column:
             for at in range(0, len(batch), 2_000):
                 texts = pc.fill_null(batch.slice(at, 2_000), "").to_pylist()
                 if model is None:
-                    done.append(pa.array([{"language": "und", "score": 0.0, "spans": []}] * len(texts), kind))
+                    done.append(pa.array([{"language": "und", "score": 0.0, "spans": [], "fit": 0.0}] * len(texts), kind))
                     continue
-                names, score, spans = model.predict(texts)
-                done.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), spans.cast(kind[2].type)],
-                                                       fields=[kind[i] for i in range(3)]))
+                names, score, spans, fit = model.predict_with_fit(texts)
+                done.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), spans.cast(kind[2].type), pa.array(fit, pa.float64())],
+                                                       fields=[kind[i] for i in range(4)]))
             yield pa.concat_arrays(done)
 
     predict.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(predict, "language string, score double, spans array<struct<start:long,end:long,language:string>>")(narrative)
+    return F.arrow_udf(predict, "language string, score double, spans array<struct<start:long,end:long,language:string>>, fit double")(narrative)
 
 
 def identify_languages(narratives: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """``case_id, language, score, spans`` of every whole narrative, one row per row and in one pass."""
-    return narratives.select("case_id", language_of(model, F.col("narrative")).alias("x")).select("case_id", "x.language", "x.score", "x.spans")
+    """``case_id, language, score, spans, fit`` of every whole narrative, one row per row and in one pass."""
+    return narratives.select("case_id", language_of(model, F.col("narrative")).alias("x")).select("case_id", "x.language", "x.score", "x.spans", "x.fit")

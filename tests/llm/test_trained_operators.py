@@ -71,6 +71,26 @@ def test_scripts_narrow_candidates_and_spans_switch(spark):
     assert [(s["start"], s["end"], s["language"]) for s in spans.to_pylist()[0]] == [(0, 5, "en"), (5, 10, "ru")]
 
 
+FOREIGN = {
+    "script": "Дом и сад для людей под деревом. Сегодня мы пошли в город и купили хлеб.", "no blanks": "今天天气很好我们去公园散步a然后回家吃饭",
+    "unlearned": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni "
+                 "postępować wobec innych w duchu braterstwa.",
+    "gibberish": "xkqj zvbwq qqrt mnbvcx pqzx wvut kjhgf zzxq bvnm qwrtp lkjh gfdz xcvb mnbq wqrt zxcv pldk qjzx", "none": "12 !? --"}
+
+
+def test_language_stage_rejects_what_no_label_knows(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
+    good = documents.join(labels.select("doc_id"), "doc_id").where("n_chars > 600").orderBy("doc_id").toPandas()
+    parts = {lang: " ".join(t.split()[:60]) for lang, t in zip(good["lang"], good["text"])}
+    clean = {"mixed": parts["de"] + " " + parts["fr"], "foreign passage": parts["en"] + " " + FOREIGN["script"], "numbers": "7 8 9 " * 40 + parts["es"],
+             "shouted": " ".join(w + "!!" for w in parts["en"].upper().split()), "short": "la el de los que"}
+    rows = [(90_000 + i, t, None, k, len(t)) for i, (k, t) in enumerate((FOREIGN | clean).items())]
+    docs = documents.unionByName(spark.createDataFrame(rows, documents.schema))
+    kept = corpus_pipeline.known_language(spark, docs, SF)
+    assert {r["source"] for r in kept.where("doc_id >= 90000").collect()} == set(clean)
+    assert kept.join(labels, "doc_id").count() >= 0.99 * docs.join(labels, "doc_id").count()
+
+
 # quality
 
 
