@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns what it kept, with all columns of its input, but for the last one,
 which returns packed pieces. ``run`` writes each stage as Parquet into the shared folder and reads it again.
 
-Rows are documents; ``doc_id`` is their key. Of rows that repeat an id with a text that is a copy, one stays.
+Rows are documents. ``doc_id`` is their key, but it may be null or repeated: what stays is decided for each row by its id and
+text. Of rows that repeat an id with a text that is a copy, one stays; rows that share an id (or have none) with other
+texts are other documents.
 """
 from __future__ import annotations
 
@@ -26,13 +28,6 @@ def _narratives(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("case_id"), F.col("text").alias("narrative"))
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``keep(doc_id)``, one per id; null ids are compared like others."""
-    one = keep.select(F.col("doc_id").alias("__keep_id")).distinct()
-    same = docs.join(one, F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
-    return same
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored at least ``MIN_QUALITY`` by the model of the labelled rows. A null text scores like an empty one."""
     model = quality_model(spark, sf_dir, docs)
@@ -50,21 +45,31 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for white space."""
     groups = materialise(recipes.exact_duplicates(_narratives(docs)), "exact-groups")
-    repeated = groups.where("kept").groupBy("case_id").agg(F.count("*").alias("n"))
-    kept = _only(docs, repeated.select(F.col("case_id").alias("doc_id")))
-    again = materialise(repeated.where("n > 1").select(F.col("case_id").alias("__again")), "repeated-ids")
+    stays = groups.where("kept").groupBy(F.col("case_id").alias("__id"), F.col("text_sha256").alias("__text")).agg(F.count("*").alias("n"))
+    stays = materialise(stays, "exact-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (recipes.text_digest(F.col("text")) == F.col("__text"))
+    again = stays.where("n > 1").drop("n")
     if again.isEmpty():
-        return kept
-    # only where an id that stays is on several rows
-    twice = F.col("doc_id").eqNullSafe(F.col("__again"))
-    one = kept.join(again, twice, "left_semi")
-    return kept.join(again, twice, "left_anti").unionByName(one.dropDuplicates(["doc_id"]))
+        return docs.join(stays, same, "left_semi")
+    # an id that stays is on several rows of its group: the row with most code points, as among other ids
+    one = docs.join(again, same).groupBy("__id", "__text").agg(
+        F.max_by(F.struct(*docs.columns), F.struct(F.coalesce(F.length("text"), F.lit(-1)), "text")).alias("row")).select("row.*")
+    return docs.join(stays.where("n = 1"), same, "left_semi").unionByName(one)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by five-word shingles at 0.8 or more: the one with the smallest id."""
-    groups = near.near_duplicates(_narratives(docs), words=5, percent=80)
-    return _only(docs, groups.where("kept").select(F.col("case_id").alias("doc_id")))
+    """One row of each group linked by five-word shingles at 0.8 or more: the one with the smallest id, a null id being the
+    largest. Of rows with one id and other texts, each is a node of its own."""
+    unclear = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null"), "near-unclear")
+    if unclear.isEmpty():
+        groups = near.near_duplicates(_narratives(docs), words=5, percent=80)
+        return docs.join(groups.where("kept").select(F.col("case_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
+    # ids alone don't tell rows apart here: the text's digest is part of the key
+    keyed = materialise(docs.select("*", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                                                  F.sha2(F.coalesce("text", F.lit("")), 256).alias("text")).alias("__key")), "near-keys")
+    groups = near.near_duplicates(keyed.select(F.col("__key").alias("case_id"), F.col("text").alias("narrative")), words=5, percent=80)
+    kept = groups.where("kept").select(F.to_json("case_id").alias("__kept"))
+    return keyed.join(kept, F.to_json("__key") == F.col("__kept"), "left_semi").drop("__key")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

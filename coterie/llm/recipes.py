@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coterie.sources.scratch import materialise
@@ -58,6 +58,16 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield bytes(x.as_buffer()).translate(None, SPACE)
 
 
+def text_digest(narrative: Column) -> Column:
+    """``text_sha256`` of ``exact_duplicates``, of a text column."""
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([hashlib.sha256(text).hexdigest() for text in _texts(batch)], pa.string())
+
+    digest.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(digest, "string")(narrative)
+
+
 def narrative_recipes(narratives: DataFrame, key_bytes: int = 16) -> DataFrame:
     """``case_id, n_points, text_sha256, recipe`` of ``narratives(case_id, narrative)``: code points of the
     original text, SHA-256 of the text without white space, and its chunk identifiers in order."""

@@ -233,6 +233,25 @@ def test_pipeline_stages(spark, documents, tmp_path):
     assert before.join(labels, "doc_id").where("quality = 0").count() <= 0.03 * labels.where("quality = 0").count()
 
 
+def test_copies_are_decided_by_row_and_not_by_id(spark):
+    """Several null ids, and ids that repeat with the same and with other texts."""
+    words = [f"w{i}" for i in range(60)]
+    near_copy = " ".join(words[:59] + ["other"])
+    rows = [(None, "alpha beta gamma delta one"), (None, "quite another text stands here"), (None, "quite  another text stands here"), (None, " ".join(words)),
+            (1, "first text of the id one"), (1, "second text of id number one"), (1, "copy me this is a text"), (0, "copy me this is a text"),
+            (0, "zero has a text of its own"), (5, near_copy), (5, "five with a further text too"), (7, None), (8, ""), (1, "first text of the id one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).repartition(3)
+    exact = corpus_pipeline.without_exact_copies(spark, docs, SF)
+    got = Counter((r["doc_id"], r["text"]) for r in exact.collect())
+    want = Counter({r: 1 for r in rows})
+    for gone in ((None, "quite another text stands here"), (1, "copy me this is a text"), (8, "")):
+        del want[gone]
+    assert got == want and exact.columns == docs.columns
+    near_rows = corpus_pipeline.without_near_copies(spark, exact, SF)
+    del want[None, " ".join(words)]  # a near copy of 5
+    assert Counter((r["doc_id"], r["text"]) for r in near_rows.collect()) == want and near_rows.columns == docs.columns
+
+
 def test_pipeline_of_no_documents(spark, documents):
     docs = documents.where("1 = 0")
     for _, stage in corpus_pipeline.STAGES:
