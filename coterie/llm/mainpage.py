@@ -25,6 +25,8 @@ BLOCK = frozenset(
     "summary table tbody td textarea tfoot th thead title tr ul video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style template head title noscript svg math iframe object".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+FOREIGN = frozenset("svg math".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -95,7 +97,21 @@ class _Reader(HTMLParser):
         super().close()
         self.end_block()
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections the parser can't read are comments up to the next ``>``, as in browsers."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+    def end_head(self, tag: str) -> None:
+        """An element that may not be in a head ends an open one; what is inside its title, template, script and so on doesn't."""
+        if tag not in IN_HEAD and tag not in ("html", "head") and self.stack and self.stack[-1][0] == "head":
+            self.end_block()
+            self.drop(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.end_head(tag)
         if tag in BLOCK:
             self.end_block()
             names = [t for t, _, _ in self.stack]
@@ -127,7 +143,7 @@ class _Reader(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in BLOCK and tag not in UNSEEN:
+        if tag in FOREIGN or tag not in VOID and tag not in BLOCK and tag not in UNSEEN:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
@@ -141,6 +157,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head("")
         if not self.unseen:
             self.text.append(data)
             if self.in_link:

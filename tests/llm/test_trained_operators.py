@@ -198,6 +198,16 @@ def test_main_text(spark):
     assert (mainpage.fit_blocks(empty(made)) == [mainpage.PRIOR[f] for f in mainpage.FEATURES]).all()
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<head><title>T</title><article><p>a</article><p>b", ["a", "b"]), ("<html><head><meta charset=x><link rel=y><script>v<p></script><p>a", ["a"]),
+    ("<head><template><p>no</p></template><title>T</title></head><body><p>a", ["a"]), ("<head><style>x</style><a href=u>a</a>", ["a"]),
+    ("<head><title>T</title>a<p>b", ["a", "b"]),
+    ("<p>a</p><![x]><p>b</p>", ["a", "b"]), ("<p>a</p><![ foo ]><p>b</p>", ["a", "b"]), ("<p>a</p><![CDATA[c]]><p>b</p>", ["a", "b"]),
+    ("<p>a <svg/> b</p><p>c", ["a b", "c"]), ("<p>a <math/>b</p>", ["a b"]), ("<p>a <svg><path/><text>no</text></svg> b", ["a b"])])
+def test_text_after_open_heads_marked_sections_and_closed_svg(page, want):
+    assert [b.text for b in mainpage.page_blocks(page)] == want
+
+
 def test_pages_without_landmarks(spark):
     """Text features alone must do: a model that has seen places only would be lost."""
     weights = mainpage.fit_blocks(spark.read.parquet(f"{SF}/pages.parquet"))
