@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from coterie.sources.scratch import materialise
 
-#: Longest run of steps of one history that is worked on together.
-SEGMENT = 4096
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
@@ -187,7 +185,7 @@ def _count_members(path: DataFrame, rows: int) -> DataFrame:
         count, "a long, b long, depth long, pa long, pb long, words long, n long, least long, ends long, low long, high long")
 
 
-def _sum_up(values: DataFrame, rows: int) -> DataFrame:
+def _sum_up(values: DataFrame, rows: int, segment: int) -> DataFrame:
     """Per shard and prefix: what its subtree is worth, of the values in the shard. Sums stop at segment borders."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _shards(batches, rows, ("case_id", "segment")):
@@ -202,7 +200,7 @@ def _sum_up(values: DataFrame, rows: int) -> DataFrame:
                 np.add.at(worth[name], slot, batch.column(name).to_numpy())
             one = _first_in_slot(slot, n)
             parent = table.slots(up_a[one], up_b[one], depth[one] - 1)
-            parent[(table.depth - 1) % SEGMENT == 0] = -1  # what lies below a border comes as a value at the border
+            parent[(table.depth - 1) % segment == 0] = -1  # what lies below a border comes as a value at the border
             deepest = np.argsort(-table.depth, kind="stable")
             for level in np.split(deepest, np.flatnonzero(np.diff(table.depth[deepest])) + 1):
                 level = level[parent[level] >= 0]
@@ -280,7 +278,7 @@ def step_words(reason: Column) -> Column:
     return F.regexp_count(F.coalesce(reason, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def history_trie(steps: DataFrame, shard_rows: int = 200_000) -> DataFrame:
+def history_trie(steps: DataFrame, shard_rows: int = 200_000, segment: int = 4096) -> DataFrame:
     """Trie of case histories: which beginnings cases share, and what is saved by keeping a shared step once.
 
     ``steps(case_id, position, step, words)``: the step at each 1-based position of a case (positions without gaps, as
@@ -295,14 +293,14 @@ def history_trie(steps: DataFrame, shard_rows: int = 200_000) -> DataFrame:
 
     Rows with a null case_id are left out; no cases, no nodes. The rows given count as they are: a (case_id, position) may occur
     once. Other columns are not read. Prefixes are the same if 128 bits of hash agree; steps that then differ end the job
-    (``verify``) instead of merging. Long histories are worked on in segments, shards are of bounded size, what many
+    (``verify``) instead of merging. Histories are worked on in segments of ``segment`` steps, shards are of bounded size, what many
     cases share is counted in its shard before it is shuffled.
     """
     given = steps.where("case_id is not null").select("case_id", F.coalesce("position", F.lit(0)).cast("long").alias("depth"), "step", "words")
     taken = materialise(
         given.where("depth > 0").select("case_id", "depth", F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.xxhash64("step").alias("step_check"),
                                         F.xxhash64("depth", "step").alias("ha"), F.xxhash64("step", "depth").alias("hb"),
-                                        F.floor((F.col("depth") - 1) / SEGMENT).cast("long").alias("segment")), "taken")
+                                        F.floor((F.col("depth") - 1) / segment).cast("long").alias("segment")), "taken")
     run = Window.partitionBy("case_id", "segment").orderBy("depth")
     upto = run.rowsBetween(Window.unboundedPreceding, 0)
     whole = taken.groupBy("case_id", "segment").agg(F.bit_xor("ha").alias("xa"), F.bit_xor("hb").alias("xb"))
@@ -333,7 +331,7 @@ def history_trie(steps: DataFrame, shard_rows: int = 200_000) -> DataFrame:
     shared = path.join(since, "case_id").where("depth < since").select(
         "case_id", *NODE, "pa", "pb", none.alias("saved"), none.alias("leaves"))
     # below a segment's last step lies what later segments of the case hold
-    totals = own.groupBy("case_id", F.floor((F.col("depth") - 1) / SEGMENT).cast("long").alias("segment")).agg(
+    totals = own.groupBy("case_id", F.floor((F.col("depth") - 1) / segment).cast("long").alias("segment")).agg(
         F.sum("saved").alias("s"), F.sum("leaves").alias("l"))
     following = Window.partitionBy("case_id").orderBy(F.col("segment").desc()).rowsBetween(Window.unboundedPreceding, 0)
     below = (totals.withColumn("s", F.sum("s").over(following)).withColumn("l", F.sum("l").over(following)).where("segment > 0")
@@ -342,10 +340,10 @@ def history_trie(steps: DataFrame, shard_rows: int = 200_000) -> DataFrame:
     first = below.groupBy("case_id").agg(F.min_by(F.struct("segment", "s", "l"), "segment").alias("f"))
     filled = below.unionByName(first.where("f.segment > 0").select(
         "case_id", F.explode(F.expr("sequence(0L, f.segment - 1)")).alias("segment"), F.col("f.s").alias("s"), F.col("f.l").alias("l")))
-    borders = path.where(F.col("depth") % SEGMENT == 0).join(filled, ["case_id", "segment"]).select(
+    borders = path.where(F.col("depth") % segment == 0).join(filled, ["case_id", "segment"]).select(
         "case_id", *NODE, "pa", "pb", F.col("s").alias("saved"), F.col("l").alias("leaves"))
-    values = own.unionByName(shared).unionByName(borders).withColumn("segment", F.floor((F.col("depth") - 1) / SEGMENT).cast("long"))
-    summed = _sum_up(values, shard_rows).groupBy(*NODE).agg(
+    values = own.unionByName(shared).unionByName(borders).withColumn("segment", F.floor((F.col("depth") - 1) / segment).cast("long"))
+    summed = _sum_up(values, shard_rows, segment).groupBy(*NODE).agg(
         F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"))
 
     children = nodes.where("depth > 1").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b"), (F.col("depth") - 1).alias("depth")).agg(

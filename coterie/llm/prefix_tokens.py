@@ -63,7 +63,10 @@ class MergeTokens:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right, whole = number[a], number[b], number[a + b]
             self.rank.setdefault(left << 32 | right, r)
-            self.halves.setdefault(whole, (left, right, r))
+            # a token that other merges would break up from within never comes about
+            if whole not in self.halves and all(len(self.bytes_of[i]) == 1 or i in self.halves for i in (left, right)) \
+                    and self._first_joined(left, right) == (left, right):
+                self.halves[whole] = left, right, r
         self.ends = ahocorasick.Automaton()
         for i in number.values():
             if len(self.bytes_of[i]) == 1 or i in self.halves:
@@ -97,22 +100,26 @@ class MergeTokens:
                 return out[::-1]
             token, until = parts[side], parts[2]
 
-    def may_stand(self, left: int, right: int) -> bool:
-        """Whether ``right`` can be the token after ``left``."""
+    def _first_joined(self, left: int, right: int) -> tuple[int, int] | None:
+        """The parts at the border that merge across it first while ``left`` and ``right`` form."""
         a, b = self._edge(left, 1), self._edge(right, 0)
         i = j = 0
         while True:
             (x, x_ends), (y, y_ends) = a[i], b[j]
             joined = self.rank.get(x << 32 | y, NEVER)
             if joined < x_ends and joined <= y_ends and joined < NEVER:  # of equal ranks the leftmost merges first
-                return False
+                return x, y
             if x_ends == y_ends == NEVER:
-                return True
+                return None
             if x_ends <= y_ends:
                 i += 1
             else:
                 j += 1
 
+    def may_stand(self, left: int, right: int) -> bool:
+        """Whether ``right`` can be the token after ``left``."""
+        return self._first_joined(left, right) is None
+
     def _solve(self, pieces: list[str]) -> None:
         """Tokens of pieces not met before, all in one walk of the automaton."""
         raw = [p.encode() for p in pieces]
