@@ -19,6 +19,7 @@ from coterie.sources import tables
 from coterie.sources.adapters import as_transactions, table, tied_transactions, transactions
 from coterie.sources.scratch import materialise, scratch_path
 from coterie.streaming import jobs
+from coterie.streaming.history import HistoryStore, needed_history
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -1178,12 +1179,24 @@ def _(spark, d):
     return quality.stream_quality(batch.drop("k"), t.filter(cut), features, ["a", "b", "c"])
 
 
-@register("q7_parity", _q([TXN, ENT, o.CUST, o.OWN, f"fb as ({o._baseline_body()})"],
-    " union all ".join(f"select '{c}' as feature, count(*) as comparisons, count(*) as exact_matches, 0.0::double as max_difference from fb" for c in o.BASELINE_COLUMNS)))
+_ASIDE = "two_hop_total_peer_orders_7d"
+
+
+@register("q7_parity", _q([TXN], "select run, feature, count(*) as comparisons, count(*) - case when run = 'with a fault' and feature = '" + _ASIDE + """' then count_if(order_id % 50 = 3) else 0 end as exact_matches,
+  case when run = 'with a fault' and feature = '""" + _ASIDE + "' and count_if(order_id % 50 = 3) > 0 then 0.5 else 0 end::double as max_difference from txn, (values ('replay'), ('with a fault')) r(run), (select unnest(["
+    + ", ".join(f"'{c}'" for c in FEATURE_CONTRACT) + "]) as feature) f group by run, feature", ["max_difference"]))
 def _(spark, d):
-    t = _txn(spark, d)
-    a, b = behaviour.baseline_features(t), behaviour.baseline_features(t, ties="strict")
-    return quality.parity_report(quality.parity_cells(a, b, o.BASELINE_COLUMNS))
+    """What a replayed stream wrote against the batch matrix, all contract columns; then with a fault put into one of them."""
+    at = scratch_path(spark, "replay")
+    jobs.stream_features(_arrive(spark, d, at, range(4), 2), HistoryStore(f"{at}/history", buckets=8), f"{at}/out", f"{at}/cp").awaitTermination()
+    online = materialise(spark.read.parquet(f"{at}/out").drop("batch_id"), "online")
+    batch = materialise(feature_matrix(_txn(spark, d), ties="strict"), "batch")
+    off = online.withColumn(_ASIDE, F.col(_ASIDE) + F.when(F.col("order_id") % 50 == 3, 0.5).otherwise(0.0))
+    out = None
+    for run, one in (("replay", online), ("with a fault", off)):
+        report = quality.parity_report(quality.parity_cells(batch, one, FEATURE_CONTRACT)).withColumn("run", F.lit(run))
+        out = report if out is None else out.unionByName(report)
+    return out
 
 
 _METRICS = """select count(*) as total_processed, 0 as duplicates, count_if(fallback_applied) as fallbacks, count_if(scoring_failed) as failures, count_if(alert) as alerts,
@@ -1451,13 +1464,32 @@ def _(spark, d):
     return _drain(jobs.stream_dedup(once.unionByName(once)).select("order_id", "customer_id", "amount"), "dedup")
 
 
-@register("st2_stream_features", o.matrix_sql(FEATURE_SETS["extended"]))
-def _(spark, d):
+def _arrive(spark: SparkSession, d: str, at: str, files: range, at_once: int = 1) -> DataFrame:
+    """Orders as files of a stream, four in all. Groups of customers that share nothing are two, the second one file behind
+    the first, each in three parts by time: half of a file is late against what came before. Files repeat some orders of the one before."""
+    t = _txn(spark, d)
+    third = F.least(F.floor((F.dayofmonth("event_time") - 1) / 10), F.lit(2))
+    file = F.floor(F.col("customer_id").cast("long") / 120) % 2 + third
+    for k in files:
+        part = t.where((file == k) | ((file == k - 1) & (F.col("order_id") % 20 == 0)))
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", at_once).parquet(f"{at}/in")
+
+
+def _streamed_features(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """What streams write: one over the first two files, and one with a new checkpoint over all four and the same history."""
     at = scratch_path(spark, "stream-features")
-    jobs.stream_features(_stream(spark, d), f"{at}/history", f"{at}/out", f"{at}/cp", "extended").awaitTermination()
+    store = HistoryStore(f"{at}/history", buckets=8, compact_every=2)
+    for k in (0, 2):
+        jobs.stream_features(_arrive(spark, d, at, range(k, k + 2)), store, f"{at}/out", f"{at}/cp{k}", name).awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("batch_id")
 
 
+@register("st2_stream_features", o.matrix_sql(FEATURE_SETS["extended"]))
+def _(spark, d):
+    return _streamed_features(spark, d, "extended")
+
+
 @register("st3_customer_state", _q([TXN, ENT, o.CUST], """select cast(order_id as varchar) as order_id, cast(customer_id as varchar) as customer_id, n30 as prior_order_count, spend as prior_spend,
   n1 as customer_order_count_1h, n24 as customer_order_count_24h, n7 as customer_order_count_7d, n30 as customer_order_count_30d, cast(categories as double) as prior_category_count
   from cust join cat using (order_id)""", ["prior_spend"]))
@@ -1521,4 +1553,4 @@ def _(spark, d):
     "select order_id, amount from txn where t > epoch_us(timestamp '2024-01-20') or order_id in (select order_id from firsts)", ["amount"]))
 def _(spark, d):
     day = 86_400_000_000
-    return jobs.needed_history(_txn(spark, d), 1_704_067_200_000_000 + 29 * day, horizon_days=10).select("order_id", "amount")
+    return needed_history(_txn(spark, d), 1_704_067_200_000_000 + 29 * day, horizon_days=10).select("order_id", "amount")

@@ -1,7 +1,7 @@
 """Streams of transactions: dedup, features, alerts, metrics, label joins, cases, history.
 
-Feature and case streams run the batch builders on each micro-batch over a history table.  Outputs
-and history are written under their batch id, so a batch that runs again replaces itself.
+Feature and case streams run the batch builders on each micro-batch over stored history.  Outputs
+are written under the names of their query and batch, so a batch that runs again replaces itself.
 """
 from __future__ import annotations
 
@@ -16,8 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from coterie.operators.asof import SkewPlan, timed
 from coterie.operators.cases import assign_cases, create_alerts
 from coterie.plans.matrix import feature_matrix
-from coterie.schema import DAY, ENTITY_COLUMNS, HOUR
-from coterie.functions import clean_entity
+from coterie.schema import DAY, HOUR
+from coterie.sources.scratch import materialise
+from coterie.streaming.history import HistoryStore, folders, read_query_id
 
 
 def stream_dedup(stream: DataFrame, memory: str = "30 days", time: str = "event_time") -> DataFrame:
@@ -28,85 +29,70 @@ def stream_dedup(stream: DataFrame, memory: str = "30 days", time: str = "event_
 
 # ---- history ------------------------------------------------------------------------------------
 
-def _stored(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame | None:
-    """A batch-partitioned table without the batches at or after ``before_batch``; None when there is none yet."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path) or not any(s.isDirectory() for s in fs.listStatus(fs_path)):
+def _stored(spark: SparkSession, path: str, running: str | None = None) -> DataFrame | None:
+    """A batch-partitioned table without the batch ``running``; None when there is none yet."""
+    if not any(n.startswith("batch_id=") for n in folders(spark, path)):
         return None
     df = spark.read.parquet(path)
-    if before_batch is not None:
-        df = df.filter(F.col("batch_id") < before_batch)
-    return df
+    return df if running is None else df.filter(F.col("batch_id").cast("string") != running)
 
 
-def _put(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _put(df: DataFrame, path: str, batch: str) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
 
 
-def needed_history(history: DataFrame, now_us: int, horizon_days: int = 30) -> DataFrame:
-    """The part of history any later feature can still depend on: all orders within the horizon, and
-    of older ones only those that were the first use of something.
-
-    Windowed features end at the horizon; lifetime ones depend only on first uses of a category or
-    value by a customer.  So the table stops growing with traffic and grows with distinct uses.
-    """
-    rows = timed(history)
-    me = F.struct("t", "order_id")
-    old = rows.filter(F.col("t") <= F.lit(now_us - horizon_days * DAY))
-    keys = F.array(
-        F.struct(F.lit("category").alias("k"), F.col("merchant_category").cast("string").alias("v")),
-        *[F.struct(F.lit(e).alias("k"), clean_entity(c).alias("v")) for e, c in ENTITY_COLUMNS.items()])
-    first = (old.select("customer_id", "t", "order_id", F.inline(keys)).filter("v is not null")
-             .groupBy("customer_id", "k", "v").agg(F.min(me).alias("first"))
-             .select(F.col("first.order_id").alias("order_id")).distinct())
-    kept = old.join(first, "order_id", "left_semi").unionByName(rows.filter(F.col("t") > F.lit(now_us - horizon_days * DAY)))
-    return kept.drop("t")
-
-
-def history_compaction(spark: SparkSession, path: str, out: str, now_us: int, horizon_days: int = 30) -> DataFrame:
-    """Write the compacted history as a new table (batch 0) and return it; the old one stays untouched."""
-    kept = needed_history(spark.read.parquet(path).drop("batch_id"), now_us, horizon_days)
-    _put(kept, out, 0)
-    return spark.read.parquet(out).drop("batch_id")
+def _named(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """Name of a batch: batches of another checkpoint have other names and stay."""
+    return f"{read_query_id(spark, checkpoint)}-{batch_id}"
 
 
 # ---- features and alerts ------------------------------------------------------------------------
 
-def stream_features(stream: DataFrame, history: str, out: str, checkpoint: str, name: str = "subgraph_extended",
+def stream_features(stream: DataFrame, history: str | HistoryStore, out: str, checkpoint: str, name: str = "subgraph_extended",
                     skew: SkewPlan | None = None,
-                    then: Callable[[DataFrame, DataFrame, int], None] | None = None, once: bool = True) -> StreamingQuery:
+                    then: Callable[[DataFrame, DataFrame, str], None] | None = None, once: bool = True) -> StreamingQuery:
     """As-of features of every arriving order, with strict time order (t_j < t_i).
 
-    Each batch is scored over stored history plus itself at its own event times, and stored after;
-    ``then(batch, features, batch_id)`` runs in between.  Orders of one batch see each other by event
-    time, not by arrival.
+    Each batch is scored over itself and what it can reach of the stored history (a ``HistoryStore``, or the path of one
+    with its defaults) at its own event times, and stored after; ``then(batch, features, name of the batch)`` runs in between. Orders
+    of one batch see each other by event time, not by arrival. An order id that is stored is not scored again. The
+    commit of the history is a batch's last act: a batch that runs again before it replaces its output, after it
+    does nothing. Another stream, or one with a new checkpoint, goes on with the history that is there.
     """
+    store = HistoryStore(history) if isinstance(history, str) else history
+
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        past = _stored(spark, history, batch_id)
-        batch = batch.dropDuplicates(["order_id"])
-        rows = batch
-        if past is not None:
-            seen = past.drop("batch_id")
-            batch = batch.join(seen.select("order_id"), "order_id", "left_anti")
-            rows = seen.unionByName(batch)
+        query = read_query_id(spark, checkpoint)
+        if store.committed(spark, query, batch_id):
+            return
+        batch = materialise(batch.dropDuplicates(["order_id"]), "arrived")
+        rows, read = batch, 0
+        reach = store.near(batch)
+        if reach is not None:
+            past, again = reach
+            read = past.count()
+            batch = batch.join(again.select(F.col("order_id").cast(batch.schema["order_id"].dataType)), "order_id", "left_anti")
+            if batch.isEmpty():
+                store.append(batch, query, batch_id, read)
+                return
+            rows = past.unionByName(batch)
         feats = feature_matrix(rows, name, ties="strict", skew=skew, targets=batch.select("order_id"))
-        _put(feats, out, batch_id)
+        _put(feats, out, f"{query}-{batch_id}")
         if then is not None:
-            then(batch, spark.read.parquet(f"{out}/batch_id={batch_id}"), batch_id)
-        _put(batch, history, batch_id)
+            then(batch, spark.read.parquet(f"{out}/batch_id={query}-{batch_id}"), f"{query}-{batch_id}")
+        store.append(batch, query, batch_id, read)
 
     w = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def alert_step(score: Callable[[DataFrame], DataFrame], alerts: str, audit: str) -> Callable[[DataFrame, DataFrame, int], None]:
+def alert_step(score: Callable[[DataFrame], DataFrame], alerts: str, audit: str) -> Callable[[DataFrame, DataFrame, str], None]:
     """A ``then`` for ``stream_features``: score, write alerts and the audit lines of the batch.
 
     ``score(features)`` adds ``calibrated_score``.
     """
-    def work(batch: DataFrame, feats: DataFrame, batch_id: int) -> None:
+    def work(batch: DataFrame, feats: DataFrame, batch_id: str) -> None:
         scored = batch.join(score(feats).select("order_id", "calibrated_score"), "order_id").withColumn("fallback_applied", F.lit(False))
         _put(create_alerts(scored), alerts, batch_id)
         line = scored.select(
@@ -232,14 +218,15 @@ def stream_cases(alerts: DataFrame, folder: str, once: bool = True) -> Streaming
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        running = _named(spark, f"{folder}/checkpoint", batch_id)
         batch = batch.dropDuplicates(["alert_id"])
-        known = _stored(spark, f"{folder}/cases", batch_id)
+        known = _stored(spark, f"{folder}/cases", running)
         if known is not None:
             batch = batch.join(known.select("alert_id"), "alert_id", "left_anti")
             near = link(known).join(link(batch).select("v").distinct(), "v", "left_semi").select("alert_id").distinct()
             known = known.join(near, "alert_id", "left_semi")
         done = assign_cases(batch, known).select("alert_id", "case_id")
-        _put(batch.join(done, "alert_id"), f"{folder}/cases", batch_id)
+        _put(batch.join(done, "alert_id"), f"{folder}/cases", running)
 
     w = alerts.writeStream.foreachBatch(work).option("checkpointLocation", f"{folder}/checkpoint")
     return (w.trigger(availableNow=True) if once else w).start()
