@@ -698,14 +698,9 @@ def _(spark, d):
                               ["amount", "predicted_score", "retry_count", "not_a_feature"])[0]
 
 
-def _resampled(n: int, source: str = "txn", tag: str = "") -> list[str]:
-    """SQL of the metrics of ``n`` resamples (see ``uncertainty.resample_weight``)."""
-    cum, weight = 0.0, []
-    for k in range(12):
-        cum += math.exp(-1) / math.factorial(k)
-        weight.append(f"(u >= {cum!r}::double)::int")
-    return [f"""wt{tag} as (select predicted_score as s, is_abuse, loss_amount, r, ('0x' || substr(md5(order_id || '|' || r || '|42'), 1, 13))::bigint::double / 4503599627370496::double as u
-    from {source}, range(1, {n + 1}) t(r)), rw{tag} as (select s, is_abuse, loss_amount, r, {' + '.join(weight)} as w from wt{tag}),
+def _resampled(n: int, score: str = "s", tag: str = "") -> list[str]:
+    """SQL of the metrics of ``n`` resamples of ``cells``, by the score ``score`` (see ``uncertainty.metrics_of_cells``)."""
+    return [f"""rw{tag} as (select {score} as s, is_abuse, loss_amount, r, w from drawn),
 cf{tag} as (select r, coalesce(sum(w) filter (s >= 0.5 and is_abuse = 1), 0)::double as tp, coalesce(sum(w) filter (s >= 0.5 and is_abuse = 0), 0)::double as fp,
     coalesce(sum(w) filter (s < 0.5 and is_abuse = 1), 0)::double as fn, coalesce(sum(w) filter (is_abuse = 0), 0) as good,
     coalesce(sum(w * loss_amount) filter (s < 0.5 and is_abuse = 1), 0)::double as missed from rw{tag} where w > 0 group by r),
@@ -717,19 +712,33 @@ mt{tag} as (select r, pr_auc, average_precision, case when 2 * tp + fp + fn > 0
     tp / (tp + fn) as recall, fp * 10 + missed + tp * 2 as expected_loss from cf{tag} join rk{tag} using (r) where tp + fn > 0 and good > 0)"""]
 
 
-@register("u7_bootstrap", _q([TXN, *_resampled(50), "lg as (unpivot (select pr_auc, f1, precision, recall, expected_loss from mt) on * into name metric value value)"],
+def _drawn(n: int, cells: str) -> str:
+    """SQL of Poisson(c) draws of cells by the inverse distribution, from 52 bits of MD5."""
+    low = "greatest(0, floor(c - 12 * sqrt(c) - 20))::bigint"
+    return f"""cells as ({cells}),
+steps as (select c, j, sum(exp(j * ln(c) - c - lgamma(j + 1))) over (partition by c order by j) as cum
+    from (select c, unnest(range({low}, floor(c + 12 * sqrt(c) + 30)::bigint + 1)) as j from (select distinct c from cells))),
+toss as (select *, ('0x' || substr(md5(k || '|' || r || '|42'), 1, 13))::bigint::double / 4503599627370496::double as u from cells, range(1, {n + 1}) t(r)),
+drawn as (select toss.*, coalesce(steps.j + 1, {low.replace("(c", "(toss.c")}) as w from toss asof left join steps on toss.c = steps.c and toss.u >= steps.cum)"""
+
+
+@register("u7_bootstrap", _q([
+    TXN, _drawn(5_000, "select predicted_score as s, is_abuse, loss_amount, count(*) as c, min(order_id) as k from txn group by all"), *_resampled(5_000),
+    "lg as (unpivot (select pr_auc, f1, precision, recall, expected_loss from mt) on * into name metric value value)"],
     "select metric, avg(value) as mean, stddev_pop(value) as std, quantile_cont(value, 0.025) as ci_95_lower, quantile_cont(value, 0.975) as ci_95_upper from lg group by metric",
     ["mean", "std", "ci_95_lower", "ci_95_upper"]))
 def _(spark, d):
-    return uncertainty.bootstrap_ci(_txn(spark, d), n=50)
+    return uncertainty.bootstrap_ci(_txn(spark, d), n=5_000)
 
 
-@register("u8_paired_bootstrap", _q([TXN, TXN_B, *_resampled(30), *_resampled(30, "txnb", "b"), """lg as (select 'average_precision' as metric, b.average_precision - a.average_precision as delta from mt a join mtb b using (r)
+@register("u8_paired_bootstrap", _q([
+    TXN, TXN_B, _drawn(200, "select a.predicted_score as sa, b.predicted_score as sb, a.is_abuse, a.loss_amount, count(*) as c, min(order_id) as k from txn a join txnb b using (order_id) group by all"),
+    *_resampled(200, "sa"), *_resampled(200, "sb", "b"), """lg as (select 'average_precision' as metric, b.average_precision - a.average_precision as delta from mt a join mtb b using (r)
   union all select 'f1', b.f1 - a.f1 from mt a join mtb b using (r))"""],
     "select metric, avg(delta) as mean_delta, avg((delta > 0)::int) as exceedance, quantile_cont(delta, 0.025) as lower, quantile_cont(delta, 0.975) as upper from lg group by metric",
     ["mean_delta", "exceedance", "lower", "upper"]))
 def _(spark, d):
-    return uncertainty.paired_bootstrap(*_two_models(_txn(spark, d)), n=30)
+    return uncertainty.paired_bootstrap(*_two_models(_txn(spark, d)), n=200)
 
 
 def _permuted_sql(repeats: int, seed: int = 42) -> str:
