@@ -1,14 +1,15 @@
 """Risk model, calibration and alerting with Spark ML."""
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.operators.calibration import brier
@@ -27,12 +28,23 @@ class RiskModel:
     params: dict = field(default_factory=dict)
 
 
-def fit_model(train: DataFrame, columns: list[str], params: dict | None = None, seed: int = 42) -> RiskModel:
-    """Boosted trees on ``y`` (0/1)."""
+def fit_sample(train: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` training rows (all, if fewer), chosen by a hash of the order id, in as few parts as they need."""
+    n = train.count()
+    share = min(1.0, rows / max(n, 1))
+    picked = train if share == 1.0 else train.filter(F.pmod(F.xxhash64("order_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    return picked.coalesce(max(1, round(min(n, rows) / 20_000)))
+
+
+def fit_model(train: DataFrame, columns: list[str], params: dict | None = None, seed: int = 42, rows: int = 100_000) -> RiskModel:
+    """Boosted trees on ``y`` (0/1), fitted on about ``rows`` rows of ``train`` (``fit_sample``).
+
+    A round is a handful of short jobs, so the sample lies in few parts: its bound, not the table, sets the time."""
     p = DEFAULTS | (params or {})
     stages = [VectorAssembler(inputCols=columns, outputCol="features"),
               GBTClassifier(labelCol="y", featuresCol="features", seed=seed, **p)]
-    return RiskModel(Pipeline(stages=stages).fit(train.withColumn("y", F.col("y").cast("double"))), list(columns), p)
+    data = materialise(fit_sample(train.withColumn("y", F.col("y").cast("double")), rows).select(*columns, "y"), "fit")
+    return RiskModel(Pipeline(stages=stages).fit(data), list(columns), p)
 
 
 def predict_scores(model: RiskModel, df: DataFrame) -> DataFrame:
@@ -57,6 +69,14 @@ class Calibrator:
         return self.model.transform(x).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_iso")))).drop("_x", "_iso")
 
 
+@dataclass
+class PlattCurve:
+    """A logistic curve as it was stored."""
+
+    coefficients: list[float]
+    intercept: float
+
+
 def _logit(score: str):
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1.0 - 1e-6), F.col(score)))
     return F.log(p / (F.lit(1.0) - p))
@@ -95,6 +115,41 @@ def score_and_alert(df: DataFrame, model: RiskModel, calibrator: Calibrator | No
     return scored.withColumn("calibrated_score", cal).withColumn("alert", F.col("calibrated_score") >= F.lit(threshold))
 
 
+@dataclass
+class StoredModel:
+    """What scoring needs, in a folder: trees, calibration, alert threshold and the ordered column contract."""
+
+    model: RiskModel
+    calibrator: Calibrator
+    threshold: float = 0.5
+
+    def save(self, path: str) -> None:
+        self.model.pipeline.write().overwrite().save(f"{path}/trees")
+        facts = {"columns": self.model.columns, "params": self.model.params, "threshold": self.threshold, "method": self.calibrator.method}
+        if self.calibrator.method == "platt":
+            facts |= {"slope": float(self.calibrator.model.coefficients[0]), "intercept": float(self.calibrator.model.intercept)}
+        else:
+            self.calibrator.model.write().overwrite().save(f"{path}/steps")
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+    @classmethod
+    def load(cls, path: str) -> StoredModel:
+        facts = json.loads(SparkSession.active().read.text(f"{path}/facts").first()[0])
+        if facts["method"] == "platt":
+            calibrator = Calibrator("platt", PlattCurve([facts["slope"]], facts["intercept"]))
+        else:
+            calibrator = Calibrator("isotonic", IsotonicRegressionModel.load(f"{path}/steps"))
+        return cls(RiskModel(PipelineModel.load(f"{path}/trees"), facts["columns"], facts["params"]), calibrator, facts["threshold"])
+
+    def score(self, features: DataFrame) -> DataFrame:
+        """``predicted_score``, ``calibrated_score`` and ``alert``; columns out of the contract's order or missing ones raise."""
+        given = [c for c in features.columns if c in set(self.model.columns)]
+        if given != self.model.columns:
+            raise ValueError("feature columns differ from the stored contract")
+        return score_and_alert(features, self.model, self.calibrator, self.threshold)
+
+
 def finite_check(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: cells that are null, NaN or infinite."""
     bad = [F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf")))) for c in columns]
@@ -105,7 +160,7 @@ def finite_check(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def ablation(matrix: DataFrame, labels: DataFrame, params: dict | None = None, sets: list[str] | None = None,
-             seed: int = 42) -> tuple[DataFrame, dict[str, DataFrame]]:
+             seed: int = 42, rows: int = 100_000) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(table, scored test frames): every feature set fitted on train, threshold from validation, judged on test.
 
     ``matrix`` holds all features, ``split`` and ``order_id``; the sets are column subsets of it, so
@@ -117,7 +172,7 @@ def ablation(matrix: DataFrame, labels: DataFrame, params: dict | None = None, s
     for name in sets or list(FEATURE_SETS):
         cols = columns_of(name)
         train = frame.filter("split = 'train'").withColumn("y", F.col("is_abuse"))
-        model = fit_model(train, cols, params, seed)
+        model = fit_model(train, cols, params, seed, rows)
         keep = ["order_id", "is_abuse", "ring_id", "abuse_type", "loss_amount", "predicted_score"]
         val = materialise(predict_scores(model, frame.filter("split = 'validation'")).select(*keep), "ablation-val")
         test = materialise(predict_scores(model, frame.filter("split = 'test'")).select(*keep), "ablation-test")

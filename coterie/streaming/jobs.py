@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from coterie.operators.asof import SkewPlan, timed
 from coterie.operators.cases import assign_cases, create_alerts
+from coterie.operators.models import StoredModel
 from coterie.plans.matrix import feature_matrix
 from coterie.schema import DAY, HOUR
 from coterie.sources.scratch import materialise
@@ -87,17 +88,23 @@ def stream_features(stream: DataFrame, history: str | HistoryStore, out: str, ch
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def alert_step(score: Callable[[DataFrame], DataFrame], alerts: str, audit: str) -> Callable[[DataFrame, DataFrame, str], None]:
-    """A ``then`` for ``stream_features``: score, write alerts and the audit lines of the batch.
+def alert_step(model: str, alerts: str, audit: str) -> Callable[[DataFrame, DataFrame, str], None]:
+    """A ``then`` for ``stream_features``: score by the stored model at the path ``model``, write alerts and the audit lines of the batch.
 
-    ``score(features)`` adds ``calibrated_score``.
+    The model is loaded once a stream; features that differ from its column contract end the batch.
     """
+    loaded: list[StoredModel] = []
+
     def work(batch: DataFrame, feats: DataFrame, batch_id: str) -> None:
-        scored = batch.join(score(feats).select("order_id", "calibrated_score"), "order_id").withColumn("fallback_applied", F.lit(False))
-        _put(create_alerts(scored), alerts, batch_id)
+        if not loaded:
+            loaded.append(StoredModel.load(model))
+        scores = loaded[0].score(feats.drop("batch_id")).select("order_id", "predicted_score", "calibrated_score", "alert")
+        scored = materialise(batch.drop("predicted_score", "calibrated_score", "alert").join(scores, "order_id").withColumn(
+            "fallback_applied", F.lit(False)), "scored")
+        _put(create_alerts(scored, loaded[0].threshold), alerts, batch_id)
         line = scored.select(
-            F.col("order_id").cast("string"), F.col("calibrated_score").alias("risk_score"), "calibrated_score",
-            (F.col("calibrated_score") >= 0.5).alias("alert"), F.lit(0.5).alias("threshold"), "fallback_applied",
+            F.col("order_id").cast("string"), F.col("predicted_score").alias("risk_score"), "calibrated_score",
+            "alert", F.lit(loaded[0].threshold).alias("threshold"), "fallback_applied",
             F.col("event_time").cast("timestamp").cast("string").alias("timestamp"), F.lit(True).alias("shadow_mode"),
             F.lit(False).alias("enforcement_applied"))
         line.write.mode("overwrite").json(f"{audit}/batch_id={batch_id}")
@@ -105,11 +112,11 @@ def alert_step(score: Callable[[DataFrame], DataFrame], alerts: str, audit: str)
     return work
 
 
-def stream_alerts(stream: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, name: str = "subgraph_extended",
-                  once: bool = True) -> StreamingQuery:
-    """Features, scores, alerts and audit lines under ``folder``."""
-    return stream_features(stream, f"{folder}/history", f"{folder}/features", f"{folder}/checkpoint", name,
-                           then=alert_step(score, f"{folder}/alerts", f"{folder}/audit"), once=once)
+def stream_alerts(stream: DataFrame, model: str, folder: str, name: str = "subgraph_extended", once: bool = True,
+                  history: HistoryStore | None = None) -> StreamingQuery:
+    """Features, scores of the stored model at the path ``model``, alerts and audit lines under ``folder``."""
+    return stream_features(stream, history or f"{folder}/history", f"{folder}/features", f"{folder}/checkpoint", name,
+                           then=alert_step(model, f"{folder}/alerts", f"{folder}/audit"), once=once)
 
 
 # ---- keyed state --------------------------------------------------------------------------------

@@ -376,3 +376,62 @@ def test_communities_settle(spark):
         assert lab[node] == min(set(votes), key=lambda x: (-votes.count(x), x))
     with pytest.raises(ValueError):
         graph.communities(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))
+
+
+def test_poisson_draws_follow_the_distribution():
+    for c in (1, 3, 40, 5_000):
+        low, cum = uncertainty.poisson_steps(c)
+        assert abs(cum[-1] - 1) < 1e-9
+        w = uncertainty._draws("k", c, range(1, 4_001), 1)
+        assert abs(w.mean() - c) < 5 * (c / 4_000) ** 0.5 and abs(w.var() / c - 1) < 0.2
+        assert (w[:9] == uncertainty._draws("k", c, range(1, 10), 1)).all()
+
+
+def test_replicates_equal_a_plain_count(spark):
+    """Every replicate against its own resampled rows, over several blocks of scores and chunks of replicates."""
+    rng = random.Random(6)
+    rows = [(f"O{i}", rng.choice([0.0, 0.2, 0.5, rng.random(), rng.random()]), rng.randrange(3) == 0, rng.choice([0.0, 10.0, 25.5])) for i in range(300)]
+    rows += [("N1", None, True, 1.0), ("N2", 0.4, None, None)]
+    df = spark.createDataFrame(rows, "order_id string, predicted_score double, is_abuse boolean, loss_amount double").repartition(4)
+    for most in (4096, 2):
+        cells = uncertainty.resample_cells(df.withColumnRenamed("predicted_score", "score"), ["score"], most).cache()
+        plain = [r.asDict() for r in cells.collect()]
+        assert sum(c["c"] for c in plain) == 301 and (most == 2 or len(plain) < 301)
+        got = {r["replicate"]: r for r in uncertainty.metrics_of_cells(cells, 7, chunk=3, levels=20).collect()}
+        assert set(got) == set(range(1, 8))
+        draws = {c["key"]: uncertainty._draws(c["key"], c["c"], range(1, 8), 42) for c in plain}
+        for r, row in got.items():
+            w = [(c, int(draws[c["key"]][r - 1])) for c in plain]
+            bad = sum(k for c, k in w if c["bad"])
+            ap = pr = seen = hits = 0.0
+            last = 1.0
+            for s in sorted({c["score"] for c in plain}, reverse=True):
+                seen += sum(k for c, k in w if c["score"] == s)
+                pos = sum(k for c, k in w if c["score"] == s and c["bad"])
+                hits += pos
+                precision = hits / seen if seen else 1.0
+                ap, pr, last = ap + pos * precision, pr + pos * (precision + last) / 2, precision
+            tp = sum(k for c, k in w if c["bad"] and c["score"] >= 0.5)
+            fp = sum(k for c, k in w if not c["bad"] and c["score"] >= 0.5)
+            missed = sum(k * c["loss"] for c, k in w if c["bad"] and c["score"] < 0.5)
+            want = {"average_precision": ap / bad, "pr_auc": pr / bad, "recall": tp / bad, "precision": tp / (tp + fp), "f1": 2 * tp / (tp + fp + bad),
+                    "expected_loss": fp * 10 + missed + tp * 2}
+            for k, v in want.items():
+                assert abs(row[k] - v) < 1e-9, (r, k)
+
+
+def test_stored_model_scores_as_the_fitted_one(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.random(), rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "order_id long, x double, z double").withColumn("y", (F.col("x") + 0.3 * F.col("z") > 0.7).cast("int")).withColumn("is_abuse", F.col("y"))
+    model = models.fit_model(df, ["x", "z"], {"maxIter": 4}, rows=200)
+    assert 100 < models.fit_sample(df, 200).count() < 300
+    scored = models.predict_scores(model, df).cache()
+    for cal in (models.platt_fit(scored), models.isotonic_fit(scored)):
+        models.StoredModel(model, cal, 0.4).save(f"{tmp_path}/{cal.method}")
+        back = models.StoredModel.load(f"{tmp_path}/{cal.method}")
+        want = {r["order_id"]: (r["calibrated_score"], r["alert"]) for r in models.score_and_alert(df, model, cal, 0.4).collect()}
+        assert {r["order_id"]: (r["calibrated_score"], r["alert"]) for r in back.score(df).collect()} == want
+        for wrong in (df.drop("z"), df.select("order_id", "z", "x")):
+            with pytest.raises(ValueError, match="contract"):
+                back.score(wrong)
