@@ -17,6 +17,8 @@ from coterie.sources.scratch import materialise
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _FAR = np.uint64(1 << 63)
 
+LONGEST_KEPT = 64  # bytes of a word that is remembered, so that what a task remembers is bounded in bytes
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the one of SplitMix64)."""
@@ -40,9 +42,9 @@ class Shingler:
         except KeyError:
             if len(kept) > self.most:
                 kept.clear()
-            for w in set(words).difference(kept):
-                kept[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+            new = {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(kept)}
+            kept.update((w, x) for w, x in new.items() if len(w) <= LONGEST_KEPT)
+            h = np.fromiter((new[w] if len(w) > LONGEST_KEPT else kept[w] for w in words), np.uint64, len(words))
         n = min(self.words, len(words))
         if not n:
             return np.zeros(0, np.uint64)
@@ -136,18 +138,20 @@ def narrative_signatures(narratives: DataFrame, words: int, percent: int, places
 
 
 def _sets(narratives: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``rep, shingles`` (sorted hashes as bytes) of the narratives whose id is in ``wanted(rep)``."""
+    """``rep, shingles`` (sorted hashes as bytes) of the classes ``wanted(rep, least, set_key)``: read from a row with the class's
+    smallest id, or without an id, whose text has the class's set."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in batches:
-            sets = [shingles(bytes(x.as_buffer())).tobytes() for x in pc.fill_null(batch.column(1), "").cast(pa.binary())]
+            sets = [shingles(bytes(x.as_buffer())).tobytes() for x in pc.fill_null(batch.column(0), "").cast(pa.binary())]
             keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())], names=["rep", "shingles", "set_key"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(keys, pa.binary())], names=["shingles", "set_key"])
 
-    kind = narratives.schema["case_id"].dataType.simpleString()
-    rows = narratives.join(wanted.select(F.col("rep").alias("case_id")), "case_id", "left_semi").select("case_id", "narrative")
-    return rows.mapInArrow(read, f"rep {kind}, shingles binary, set_key binary")
+    rows = narratives.join(wanted.select(F.col("least").alias("case_id")), "case_id", "left_semi").select("narrative")
+    if not wanted.where("least is null").isEmpty():
+        rows = rows.unionByName(narratives.where("case_id is null").select("narrative"))
+    return rows.mapInArrow(read, "shingles binary, set_key binary").join(wanted.select("rep", "set_key"), "set_key").select(
+        "rep", "shingles").dropDuplicates(["rep"])
 
 
 CELLS = 1 << 18
@@ -269,10 +273,10 @@ def near_duplicates(narratives: DataFrame, words: int = 5, percent: int = 80, pl
     100 * intersection >= ``percent`` * union. Output, one row per input row: ``case_id, n_shingles, component_id,
     kept``; ``component_id`` is the smallest id reachable over links, and its row is kept. A null or blank narrative
     has an empty set, is linked with nothing and kept. Rows with equal sets, also repeated rows, are linked. A null
-    id counts as the largest (if all of a group are null, its component is null and they are kept). No rows give no
-    rows; other columns are not read.
+    id counts as the largest (if all of a group are null, its component is null and they are kept). Rows that share an id but not
+    a set are linked by their sets only. No rows give no rows; other columns are not read.
 
-    Equal sets become one representative before banding, so copies cost nothing further. Bands are as long as a
+    Equal sets become one node before banding, so copies cost nothing further. Bands are as long as a
     miss of 1e-6 at the threshold allows. Sets that share a band with another are candidates; whatever links two of them
     shows in the rare shingles they start with, which are the buckets compared. A bucket never lists all its pairs:
     in every round some of its members (the one nearest to the middle of a group, then 1, 3, 7, ... by chance) are compared with
@@ -280,25 +284,24 @@ def near_duplicates(narratives: DataFrame, words: int = 5, percent: int = 80, pl
     one group only leave. A bucket of n near copies costs about n comparisons; every pair in a bucket ends compared or
     grouped.
     """
-    kind = narratives.schema["case_id"].dataType.simpleString()
     signed = materialise(narrative_signatures(narratives, words, percent, places), "signatures")
-    whole = signed.where("n_shingles > 0 and case_id is not null")
-    classes = materialise(whole.groupBy("set_key").agg(F.min("case_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    # a class of equal sets is a node, whatever ids its rows have; numbers are given once, where the table is written
+    classes = materialise(
+        signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("case_id").alias("least"), F.first("bands").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id()), "classes")
     every = classes.select("rep", F.explode("bands").alias("bucket"))
     crowded = materialise(every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "crowded")
-    wanted = materialise(every.join(crowded, "bucket").select("rep").distinct(), "candidates")
-    groups: DataFrame | None = None
-    if not wanted.isEmpty():
-        sets = materialise(_sets(narratives, wanted, words).join(classes.select("set_key", "rep"), ["set_key", "rep"])
-                           .select("rep", "shingles").dropDuplicates(["rep"]), "sets")
-        groups = _grouped(sets, percent)
-    out = signed.select("case_id", "n_shingles", "set_key")
-    named = classes.select("set_key", "rep")
-    if groups is not None:
-        named = named.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
+    wanted = materialise(classes.select("rep", "least", "set_key").join(every.join(crowded, "bucket").select("rep").distinct(), "rep"), "candidates")
+    named = classes.select("set_key", "rep", "least")
+    groups = None if wanted.isEmpty() else _grouped(materialise(_sets(narratives, wanted, words), "sets"), percent)
+    if groups is None:
+        named = named.select("set_key", F.col("least").alias("component_id"))
     else:
-        named = named.withColumnRenamed("rep", "root")
+        linked = materialise(groups.join(named.select(F.col("rep").alias("node"), "least"), "node"), "linked")
+        lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
+        found = linked.join(lowest, "root").select(F.col("node").alias("rep"), "lowest")
+        named = named.join(found, "rep", "left").select("set_key", F.coalesce("lowest", "least").alias("component_id"))
     named = materialise(named, "named")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("root", "case_id")).otherwise(F.col("case_id")).cast(kind)
-    return (out.join(named, "set_key", "left").select("case_id", "n_shingles", own.alias("component_id"))
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("case_id"))
+    return (signed.select("case_id", "n_shingles", "set_key").join(named, "set_key", "left").select("case_id", "n_shingles", own.alias("component_id"))
             .withColumn("kept", F.col("case_id").eqNullSafe(F.col("component_id"))))
