@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coterie.operators.components import union_groups
 from coterie.sources.scratch import materialise
 
 END = b"\r\n\r\n"
@@ -176,25 +177,39 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
     return pieces.select(F.xxhash64(F.input_file_name()).alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(parse, RECORD)
 
 
+def _along_chains(leads: DataFrame, links: DataFrame) -> DataFrame:
+    """``leads(record_id, lead)`` with the lead of records that reach a response over other records only."""
+    lost = leads.where("lead is null").select("record_id")
+    if lost.isEmpty():
+        return leads
+    edges = links.join(lost, "record_id", "left_semi").unionByName(links.join(lost.withColumnRenamed("record_id", "target"), "target", "left_semi"))
+    parts = materialise(union_groups(edges.select(F.col("record_id").alias("a"), F.col("target").alias("b"))), "chains")
+    # without a response, the part goes by the smallest identifier that is named but not there
+    reached = parts.join(leads, parts["node"] == leads["record_id"], "left").groupBy("root").agg(
+        F.min("lead").alias("reached"), F.min(F.when(F.col("record_id").isNull(), F.col("node"))).alias("named"))
+    found = parts.join(reached, "root").select(F.col("node").alias("record_id"), F.coalesce("reached", "named", "root").alias("found"))
+    return leads.join(found, "record_id", "left").select("record_id", F.coalesce("lead", "found").alias("lead"))
+
+
 def assemble_captures(records: DataFrame) -> DataFrame:
     """Join request, response and metadata records into one nested row per capture.
 
-    Request and metadata records belong to the response, revisit or resource record they name in
-    ``concurrent_to``, that names them, or that another such record leads to (two steps). Output:
+    Request and metadata records belong to the response, revisit or resource record that one of their ``concurrent_to`` identifiers
+    names or that names them, else to the one that any chain of such links leads to (of several the smallest id). Output:
     ``capture_id, order_id, endpoint, record_type, refers_to, payload_bytes, payload_digest, payload,
-    requests array<struct>, metadata array<struct>, fields map``. Records that lead nowhere
+    requests array<struct>, metadata array<struct>, fields map``. Records that lead to none
     form a capture without a response (``record_type`` null). Repeated record ids count as one response; a
     record without an id is a capture of its own.
     Payloads move once, into their row; the rows of a capture are bounded by what an archive says of it.
     """
     anchor = F.col("record_type").isin("response", "revisit", "resource")
-    first = F.transform(F.slice("concurrent_to", 1, 1), lambda x: F.struct(F.col("record_id"), x.alias("target")))
+    names = F.transform("concurrent_to", lambda x: F.struct(F.col("record_id"), x.alias("target")))
     named = F.transform("concurrent_to", lambda x: F.struct(x.alias("record_id"), F.col("record_id").alias("target")))
-    parent = materialise(
-        records.select(F.explode(F.when(anchor, named).otherwise(first)).alias("x")).select("x.record_id", "x.target")
-        .groupBy("record_id").agg(F.min("target").alias("target")), "concurrent")
-    above = parent.select(F.col("record_id").alias("target"), F.col("target").alias("top"))
-    leads = materialise(parent.join(above, "target", "left").select("record_id", F.coalesce("top", "target").alias("lead")), "leads")
+    links = materialise(records.where("record_id is not null").select(F.explode(F.when(anchor, named).otherwise(names)).alias("x")).select("x.*"), "concurrent")
+    anchors = records.where(anchor & F.col("record_id").isNotNull()).select(F.col("record_id").alias("target"), F.lit(True).alias("is_anchor"))
+    leads = materialise(links.join(anchors, "target", "left").groupBy("record_id").agg(
+        F.min(F.when(F.col("is_anchor"), F.col("target"))).alias("lead")), "leads")
+    leads = _along_chains(leads, links)
     own = F.coalesce("record_id", F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string")))
     keyed = records.withColumn("own", own).join(leads, "record_id", "left").withColumn(
         "capture", F.when(anchor, F.col("own")).otherwise(F.coalesce("lead", "own")))
