@@ -85,13 +85,15 @@ class LanguageModel:
     scores: np.ndarray | None = None
     letters: np.ndarray | None = None
     most: int = 300_000
+    most_points: int = 1 << 24
+    kept_points: int = 0
     usual: np.ndarray | None = None
     slack: np.ndarray | None = None
     means: np.ndarray | None = None
     known: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "kept": {}, "scores": None, "letters": None, "means": None, "known": None}
+        return {**self.__dict__, "kept": {}, "kept_points": 0, "scores": None, "letters": None, "means": None, "known": None}
 
     def _score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores (word x language) and letter counts; a language whose scripts a word lacks can't win it. Then the mean log
@@ -123,14 +125,16 @@ class LanguageModel:
     def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Row of every word in the kept scores, and the number of words of each text."""
         split = [t.split() for t in texts]
-        if len(self.kept) > self.most:
+        if len(self.kept) > self.most or self.kept_points > self.most_points:
             self.kept.clear()
+            self.kept_points = 0
             self.scores = self.letters = self.means = self.known = None
         kept = self.kept
         new = list({w for words in split for w in words}.difference(kept))
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
             made = self._score(some)
+            self.kept_points += sum(map(len, some))
             kept.update(zip(some, range(len(kept), len(kept) + len(some)), strict=True))
             held = (self.scores, self.letters, self.means, self.known)
             self.scores, self.letters, self.means, self.known = made if held[0] is None else map(np.concatenate, zip(held, made, strict=True))
