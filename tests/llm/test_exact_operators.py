@@ -92,6 +92,19 @@ def test_assembly_follows_indirect_and_reverse_links(spark):
     assert len(got) == 4
 
 
+def test_assembly_follows_chains_and_every_identifier(spark):
+    """Each of c, b, a, q names the next up to the response; others name a missing record first, or only each other."""
+    rows = [("m", "response", [], "1"), ("q", "request", ["m"], None), ("a", "metadata", ["q"], None), ("b", "metadata", ["a"], None), ("c", "request", ["b"], None),
+            ("d", "metadata", ["gone", "m"], None), ("e", "metadata", ["gone", "c"], None), ("x", "request", ["y"], None), ("y", "metadata", ["x"], None),
+            ("n", "resource", ["z"], "2"), ("z", "metadata", [], None), ("w", "metadata", ["z"], None)]
+    made = spark.createDataFrame(rows, "record_id string, record_type string, concurrent_to array<string>, order_id string")
+    for name, kind in (("endpoint", "string"), ("refers_to", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("payload", "binary"), ("fields", "map<string,string>")):
+        made = made.withColumn(name, F.lit(None).cast(kind))
+    got = {r["capture_id"]: (sorted(x["record_id"] for x in r["requests"]), sorted(x["record_id"] for x in r["metadata"]))
+           for r in exchanges.assemble_captures(made).collect()}
+    assert got == {"m": (["c", "q"], ["a", "b", "d", "e"]), "n": ([], ["w", "z"]), "x": (["x"], ["y"])}
+
+
 # recipes
 
 
@@ -306,6 +319,24 @@ def test_near_duplicates_null_ids(spark):
     assert Counter((r["case_id"], r["component_id"], r["kept"]) for r in got) == Counter({(None, 3, False): 1, (3, 3, True): 1, (None, None, True): 2})
 
 
+def test_near_duplicates_link_rows_by_their_texts(spark):
+    """A null id with a near copy, and an id on two texts: links are those of the texts, whatever the ids."""
+    words = [f"w{i}" for i in range(60)]
+    text, other = " ".join(words), " ".join(f"o{i}" for i in range(60))
+    rows = [(None, text), (2, text + " more"), (5, text + " x"), (5, other), (6, other + " y"), (None, other + " z"), (None, "lone text of a null id"),
+            (7, "w" * 100_000), (8, "w" * 100_000 + " v"), (7, "w" * 100_000)]
+    got = near.near_duplicates(narratives(spark, rows), 3, 85).collect()
+    assert Counter((r["case_id"], r["component_id"], r["kept"]) for r in got) == Counter({
+        (None, 2, False): 1, (2, 2, True): 1, (5, 2, False): 1, (5, 5, True): 1, (6, 5, False): 1, (None, 5, False): 1, (None, None, True): 1,
+        (7, 7, True): 2, (8, 8, True): 1})
+
+
+def test_long_words_are_not_remembered():
+    shingles = near.Shingler(2)
+    first = shingles(b"a " + b"x" * 1_000 + b" b")
+    assert (first == shingles(b"A " + b"X" * 1_000 + b" B")).all() and all(len(w) <= near.LONGEST_KEPT for w in shingles.kept)
+
+
 def test_union_of_a_long_path(spark):
     edges = spark.range(1, 1_000).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(5_000, 6_000)], "a long, b long"))
     got = {r["node"]: r["root"] for r in components.union_groups(edges).collect()}
