@@ -8,12 +8,12 @@ from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.operators.calibration import brier
 from coterie.operators.events import choose_threshold, evaluate_predictions, threshold_table
+from coterie.operators.isotonic import IsotonicCurve
 from coterie.plans.matrix import FEATURE_SETS, columns_of
 from coterie.sources.scratch import materialise
 
@@ -65,8 +65,7 @@ class Calibrator:
         if self.method == "platt":
             z = F.lit(float(self.model.coefficients[0])) * _logit(score) + F.lit(float(self.model.intercept))
             return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
-        x = df.withColumn("_x", F.col(score).cast("double"))
-        return self.model.transform(x).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_iso")))).drop("_x", "_iso")
+        return self.model.apply(df, score, out)
 
 
 @dataclass
@@ -92,11 +91,8 @@ def platt_fit(df: DataFrame, score: str = "predicted_score", label: str = "is_ab
 
 
 def isotonic_fit(df: DataFrame, score: str = "predicted_score", label: str = "is_abuse") -> Calibrator:
-    rows = df.select(F.col(score).cast("double").alias("_x"), F.col(label).cast("double").alias("_y"))
-    # equal scores are one weighted point: fewer rows reach the pooling step
-    cells = rows.groupBy("_x").agg(F.avg("_y").alias("_y"), F.count("*").cast("double").alias("_w"))
-    iso = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_iso")
-    return Calibrator("isotonic", iso.fit(cells))
+    """Rising steps over the scores, pooled where the scores lie (``isotonic``)."""
+    return Calibrator("isotonic", IsotonicCurve.fit(df, score, label))
 
 
 def select_calibrator(validation: DataFrame) -> tuple[Calibrator, dict[str, float]]:
@@ -129,7 +125,7 @@ class StoredModel:
         if self.calibrator.method == "platt":
             facts |= {"slope": float(self.calibrator.model.coefficients[0]), "intercept": float(self.calibrator.model.intercept)}
         else:
-            self.calibrator.model.write().overwrite().save(f"{path}/steps")
+            self.calibrator.model.save(f"{path}/steps")
         spark = SparkSession.active()
         spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
 
@@ -139,7 +135,7 @@ class StoredModel:
         if facts["method"] == "platt":
             calibrator = Calibrator("platt", PlattCurve([facts["slope"]], facts["intercept"]))
         else:
-            calibrator = Calibrator("isotonic", IsotonicRegressionModel.load(f"{path}/steps"))
+            calibrator = Calibrator("isotonic", IsotonicCurve.load(f"{path}/steps"))
         return cls(RiskModel(PipelineModel.load(f"{path}/trees"), facts["columns"], facts["params"]), calibrator, facts["threshold"])
 
     def score(self, features: DataFrame) -> DataFrame:
