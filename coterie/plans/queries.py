@@ -861,6 +861,60 @@ def _(spark, d):
         "orders", "scored", "ranks_train", "ranks_validation", "beats_constant", "calibrated", "alerts_at_threshold")
 
 
+# A score that neither rises with the label everywhere nor has few values: clean and abusive orders overlap in seven steps.
+STEPPED = """
+st as (select sp.*, cast((order_id * 7919) % 1009 as double) / 1009::double * 0.4::double
+  + is_abuse * (cast((order_id * 31) % 7 as double) / 7::double) * 0.5::double + 0.01::double as s from sp),
+val as (select s as x, ln(s / (1 - s)) as z, sum(is_abuse) as bad, count(*) as n from st where split = 'validation' group by s)"""
+# The min-max formula: of every start up to a score, the lowest mean that any end from it on leaves; the highest of these.
+MIN_MAX = """
+cum as (select *, row_number() over w as i, sum(bad) over w as cb, sum(n) over w as cn from val window w as (order by x)),
+means as (select a.i as a, b.i as i, (b.cb - a.cb + a.bad) / (b.cn - a.cn + a.n) as mean from cum a join cum b on a.i <= b.i),
+lows as (select i, min(mean) over (partition by a order by i desc) as low from means),
+fit as (select x, max(low) as y from lows join cum using (i) group by x),
+iso as (select order_id, split, is_abuse, case when lo.x is null then hi.y when hi.x is null or hi.x = lo.x then lo.y else lo.y + (s - lo.x) * (hi.y - lo.y) / (hi.x - lo.x) end as calibrated_score
+  from (select * from st asof left join fit on s >= fit.x) lo join (select order_id, x, y from st asof left join fit on s <= fit.x) hi using (order_id))"""
+# Newton's steps on slope a and intercept b; only the slope is penalised.
+NEWTON = """
+newton as (select 0 as k, 0::double as a, 0::double as b
+  union all select k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) from (
+    select k, a, b, sum(z * (n * p - bad)) + a as ga, sum(n * p - bad) as gb, sum(z * z * n * p * (1 - p)) + 1 as haa, sum(z * n * p * (1 - p)) as hab, sum(n * p * (1 - p)) as hbb
+    from (select newton.*, val.*, 1 / (1 + exp(-a * z - b)) as p from newton, val where k < 30) group by k, a, b)),
+curve as (select a, b from newton where k = 30)"""
+
+
+def _stepped(spark: SparkSession, d: str) -> DataFrame:
+    score = (F.col("order_id") * 7919 % 1009).cast("double") / F.lit(1009.0) * F.lit(0.4)
+    score = score + F.col("is_abuse") * ((F.col("order_id") * 31 % 7).cast("double") / F.lit(7.0)) * F.lit(0.5) + F.lit(0.01)
+    return materialise(events.split_by_time(_txn(spark, d).withColumn("predicted_score", score)), "stepped")
+
+
+@register("m3_platt", _q([TXN, SPLIT, STEPPED, NEWTON], "select round(a, 3) as slope, round(b, 3) as intercept, (select count(*) from st) as orders from curve"
+                         ).replace("with ", "with recursive ", 1))
+def _(spark, d):
+    t = _stepped(spark, d)
+    curve = models.platt_fit(t.filter("split = 'validation'")).model
+    return t.agg(F.round(F.lit(float(curve.coefficients[0])), 3).alias("slope"), F.round(F.lit(float(curve.intercept)), 3).alias("intercept"), F.count("*").alias("orders"))
+
+
+@register("m4_isotonic", _q([TXN, SPLIT, STEPPED, MIN_MAX], "select order_id, calibrated_score from iso", ["calibrated_score"]))
+def _(spark, d):
+    """Fitted on the validation orders, applied to all."""
+    t = _stepped(spark, d)
+    return models.isotonic_fit(t.filter("split = 'validation'")).apply(t).select("order_id", "calibrated_score")
+
+
+@register("m5_select_calibrator", _q([TXN, SPLIT, STEPPED, MIN_MAX, NEWTON, """
+loss as (select (select avg((1 / (1 + exp(-a * ln(s / (1 - s)) - b)) - is_abuse) ** 2) from st, curve where split = 'validation') as platt,
+  (select avg((calibrated_score - is_abuse) ** 2) from iso where split = 'validation') as isotonic)"""],
+    "select case when platt <= isotonic then 'platt' else 'isotonic' end as method, round(platt, 5) as platt, round(isotonic, 5) as isotonic, (select count(*) from st) as orders from loss"
+    ).replace("with ", "with recursive ", 1))
+def _(spark, d):
+    t = _stepped(spark, d)
+    best, loss = models.select_calibrator(t.filter("split = 'validation'"))
+    return t.agg(F.lit(best.method).alias("method"), *[F.round(F.lit(loss[k]), 5).alias(k) for k in ("platt", "isotonic")], F.count("*").alias("orders"))
+
+
 @register("m8_finite_check", _q([TXN], f"""select count(*) as orders, cast({len(FEATURE_CONTRACT)} * sum(order_id % 997 = 0)
   + sum(case when order_id % 997 = 0 then 0 else (order_id % 50 = 0)::int + (order_id % 70 = 0)::int + (order_id % 90 = 0)::int end) as bigint) as non_finite from txn"""))
 def _(spark, d):
@@ -896,7 +950,24 @@ def _(spark, d):
     return comp.join(size, "component").drop("component")
 
 
-@register("g3_communities", None)
+# The sides take turns (customers first) until neither has moved for a turn each; every turn is a whole label table.
+TURNS = f"""
+link as (select distinct 'customer:' || customer_id as src, etype || '_id:' || value as dst from ent join (select order_id, event_time from txn) using (order_id)
+  where event_time < timestamp '{AS_OF}'),
+near as (select src as node, dst as other, 0 as side from link union all select dst, src, 1 from link),
+lab as (select 0 as turn, 0 as kept, node, node as label from (select distinct node from near)
+  union all select turn + 1, case when moved then 0 else kept + 1 end, node, label from (
+    select l.turn, l.kept, l.node, coalesce(v.label, l.label) as label, bool_or(coalesce(v.label, l.label) <> l.label) over () as moved
+    from lab l left join (select node, label from (
+      select n.node, o.label, row_number() over (partition by n.node order by count(*) desc, o.label) as r
+      from near n join lab o on o.node = n.other where n.side = o.turn % 2 group by n.node, o.label) where r = 1) v on v.node = l.node
+    where l.kept < 2)),
+settled as (select node, label from lab where turn = (select max(turn) from lab)),
+q as (select avg(cast(a.label = b.label as int)) - (select sum(d * d) from (select count(*) as d from near join settled using (node) group by label)) / (4.0::double * count(*) * count(*)) as modularity
+  from link join settled a on a.node = src join settled b on b.node = dst)"""
+
+
+@register("g3_communities", _rec([TXN, ENT, TURNS], "select label as community, nodes, modularity from (select label, count(*) as nodes from settled group by label), q", ["modularity"]))
 def _(spark, d):
     e = graph.graph_snapshot(_txn(spark, d), AS_OF).select(F.col("customer").alias("src"), F.col("entity").alias("dst"))
     lab = graph.communities(e)
