@@ -56,6 +56,24 @@ def psi(expected: DataFrame, actual: DataFrame, cols: list[str], bins: int = 10)
     return grid.join(F.broadcast(got), "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
+def psi_by(expected: DataFrame, actual: DataFrame, column: str, by: str, bins: int = 10) -> DataFrame:
+    """(by, psi): shift of a continuous column in every group of ``actual`` (a day, a model) against all of ``expected``.
+
+    Bins and floor as in ``psi``. One aggregation counts the bins of all groups; rows without a value take no part, and
+    without any expected value the result is empty."""
+    v = F.col(column).cast("double")
+    edges = quantiles(expected, column, [k / bins for k in range(bins + 1)]).get(None, [])
+    inner = sorted(set(edges))[1:-1]
+    place = sum((F.when(v >= F.lit(e), 1).otherwise(0) for e in inner), F.lit(0))
+    counts = [F.count_if(place == k).cast("double").alias(f"n{k}") for k in range(len(inner) + 1)]
+    some = v.isNotNull() & ~F.isnan(v)
+    base = expected.filter(some).agg(*counts).first()
+    before = [n / sum(base) if n else FLOOR for n in base] if edges else []
+    per = actual.filter(some & F.lit(bool(edges))).groupBy(by).agg(*counts, F.count("*").alias("_n"))
+    terms = [(p - F.lit(q)) * F.log(p / F.lit(q)) for k, q in enumerate(before) for p in [F.when(F.col(f"n{k}") == 0, FLOOR).otherwise(F.col(f"n{k}") / F.col("_n"))]]
+    return per.select(by, sum(terms, F.lit(0.0)).alias("psi"))
+
+
 def wasserstein_1d(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, wasserstein): area between the two distribution functions."""
     rows = (_melt(a, cols).select("feature", "value", F.lit(1).alias("na"), F.lit(0).alias("nb"))

@@ -375,7 +375,7 @@ txnb as (select * replace (cast((order_id * 104729) % 1013 as double) / 1013::do
   + case when is_abuse = 1 then 0.4::double else 0::double end as predicted_score) from txn)"""
 
 
-@register("e9_rolling_metrics", _q([TXN, TXN_B, """
+ROLLING = """
 r as (select order_id, cast(least((row_number() over (order by t, order_id) - 1) // (count(*) over () // 3), 2) + 1 as int) as window_no from txn),
 both_ as (select *, 'a' as model, 0.5 as tau from txn union all select *, 'b', 0.6 from txnb),
 x as (select both_.*, window_no, predicted_score >= tau as hit from both_ join r using (order_id)),
@@ -386,14 +386,27 @@ rg as (select window_no, model, ring_id, count(distinct case when hit then custo
   where is_abuse = 1 and ring_id is not null group by all),
 rr as (select window_no, model, avg(cast(cov > 0 as double)) as rule_a_recall, avg(cast(cov >= 0.5 as double)) as rule_c_recall from rg group by all),
 cc as (select window_no, model, count(*) as orders, count_if(is_abuse = 1) as abuse_events, count_if(hit and is_abuse = 1) as tp,
-  count_if(hit and is_abuse = 0) as false_positives from x group by all)"""],
-    """select window_no, model, orders, abuse_events, average_precision, case when tp + false_positives > 0 then tp / (tp + false_positives) else 0 end as precision, tp / abuse_events as recall,
+  count_if(hit and is_abuse = 0) as false_positives from x group by all),
+roll as (select window_no, model, orders, abuse_events, average_precision, case when tp + false_positives > 0 then tp / (tp + false_positives) else 0 end as precision, tp / abuse_events as recall,
   2 * tp / (tp + false_positives + abuse_events) as f1, false_positives, rule_a_recall, rule_c_recall
-  from cc join ap using (window_no, model) join rr using (window_no, model)""", ["average_precision", "precision", "recall", "f1", "rule_a_recall", "rule_c_recall"]))
+  from cc join ap using (window_no, model) join rr using (window_no, model))"""
+
+
+@register("e9_rolling_metrics", _q([TXN, TXN_B, ROLLING], "select * from roll", ["average_precision", "precision", "recall", "f1", "rule_a_recall", "rule_c_recall"]))
 def _(spark, d):
     a, b = _two_models(_txn(spark, d))
-    both = a.withColumn("model", F.lit("a")).unionByName(b.withColumn("model", F.lit("b")))
-    return rings.rolling_window_metrics(both, {"a": 0.5, "b": 0.6})
+    return rings.rolling_window_metrics(_both_models(a, b), {"a": 0.5, "b": 0.6})
+
+
+def _both_models(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.withColumn("model", F.lit("a")).unionByName(b.withColumn("model", F.lit("b")))
+
+
+@register("e9_rolling_deltas", _q([TXN, TXN_B, ROLLING], """select a.window_no, b.precision - a.precision as delta_precision, b.false_positives - a.false_positives as delta_fp
+  from roll a join roll b using (window_no) where a.model = 'a' and b.model = 'b'""", ["delta_precision"]))
+def _(spark, d):
+    metrics = rings.rolling_window_metrics(_both_models(*_two_models(_txn(spark, d))), {"a": 0.5, "b": 0.6})
+    return rings.rolling_deltas(metrics, "a", "b")
 
 
 @register("e10_delayed_labels", _q([TXN, "m as (select * from txn where order_id % 3 <> 0)", LADDER.replace("from txn", "from m"), f"c as ({CONF.replace('from txn', 'from m')})",
@@ -983,6 +996,14 @@ def _(spark, d):
     return graph.graph_summary(graph.graph_snapshot(_txn(spark, d), AS_OF)).drop("component")
 
 
+@register("g4_summary_communities", _rec([TXN, ENT, TURNS, "kinds as (select node, case when side = 0 then 'customer' else split_part(node, ':', 1) end as kind, count(*) as degree from near group by all)"],
+    "select node, kind, degree, label as community from kinds join settled using (node)"))
+def _(spark, d):
+    snap = materialise(graph.graph_snapshot(_txn(spark, d), AS_OF), "g4")
+    lab = graph.communities(snap.select(F.col("customer").alias("src"), F.col("entity").alias("dst")))
+    return graph.graph_summary(snap, lab).drop("component", "component_size")
+
+
 @register("g5_cases", _rec([TXN, ENT, "flag as (select order_id from txn where predicted_score >= 0.5)", _closure("flag"), """
 al as (select order_id, loss_amount, r from txn join flag using (order_id) join root on root.c = txn.customer_id),
 cs as (select r, count(*) as alerts, min(order_id) as first_order, sum(loss_amount) as exposure from al group by r)"""],
@@ -1400,8 +1421,8 @@ _L4G = f"select 'pii_masking' as gate, sum(leaks) = 0 as passed, case when sum(l
 def _(spark, d):
     log = _log(_txn(spark, d))
     m = gates.service_metrics(log)
-    contract = project_contract(log.select("order_id", "amount"), FEATURE_CONTRACT, missing="zero")
-    return gates.gate_matrix(gates.gate_contract(contract, FEATURE_CONTRACT), gates.gate_non_enforcement(log), gates.gate_error_rates(m),
+    scored = _matrix(spark, d).drop("split", "is_abuse", "ring_id", "abuse_type", "loss_amount")
+    return gates.gate_matrix(gates.gate_contract(scored, FEATURE_CONTRACT), gates.gate_non_enforcement(log), gates.gate_error_rates(m),
                              gates.gate_pii(table(spark, d, "documents"), ["text", "lang", "source"]), gates.gate_latency(m))
 
 
@@ -1464,6 +1485,26 @@ def _(spark, d):
     return gates.health_bands(daily)
 
 
+DAY_PSI = """
+inner_ as (select es[2:len(es) - 1] as es from (select list_sort(list_distinct(quantile_cont(predicted_score, [0,.1,.2,.3,.4,.5,.6,.7,.8,.9,1]))) as es from sp where split = 'train')),
+placed as (select cast(cast(event_time as date) as varchar) as date, split, len(list_filter(es, lambda e: e <= predicted_score)) as bin from sp, inner_),
+bins as (select bin, case when ce = 0 then 1e-5::double else ce / (sum(ce) over ()) end as pe from (select b.bin, count(placed.bin) as ce from (select unnest(range((select len(es) + 1 from inner_))) as bin) b
+  left join placed on placed.bin = b.bin and split = 'train' group by b.bin)),
+days as (select date, count(*) as n from placed group by date),
+shares as (select date, pe, case when count(placed.bin) = 0 then 1e-5::double else count(placed.bin) / any_value(n) end as pa from days cross join bins left join placed using (date, bin) group by date, bin, pe),
+dpsi as (select date, sum((pa - pe) * ln(pa / pe)) as psi from shares group by date)"""
+
+
+@register("l9_case_and_drift_bands", _rec([TXN, ENT, DAILY, SPLIT, DAY_PSI],
+    """select date, consolidated_cases::double as case_rate, psi, case when consolidated_cases < 5 then 'green' when consolidated_cases <= 10 then 'warning' else 'critical' end as case_rate_band,
+  case when psi < 0.10 then 'green' when psi <= 0.25 then 'warning' else 'critical' end as psi_band from dw join dpsi using (date)""", ["case_rate", "psi"]))
+def _(spark, d):
+    """Cases of each day and how far its scores moved from those of the training period."""
+    t = materialise(events.split_by_time(_txn(spark, d)).withColumn("date", F.to_date("event_time").cast("string")), "l9")
+    cases_ = rings.daily_workload(t.drop("date")).select("date", F.col("consolidated_cases").cast("double").alias("case_rate"))
+    return gates.health_bands(cases_.join(drift.psi_by(t.filter("split = 'train'"), t, "predicted_score", "date"), "date"))
+
+
 @register("l10_replay_summary", _q([TXN, LOG], """select min(t) as first_t, max(t) as last_t, count(*) as events, count_if(alert) as alerts, count_if(alert) / count(*) * 100 as alert_rate_pct,
   count_if(fallback_applied) as fallbacks, avg(latency_ms) as latency_mean, quantile_cont(latency_ms, 0.95) as latency_p95, quantile_cont(latency_ms, 0.99) as latency_p99 from log""",
     ["alert_rate_pct", "latency_mean", "latency_p95", "latency_p99"]))
@@ -1565,6 +1606,35 @@ def _(spark, d):
     return tables.read_parquet(spark, f"{at}/per_ring").select("model", "ring_id", "coverage", "exposure_captured")
 
 
+@register("s9_quality_artifacts", _q([TXN, SPLIT, "lv as (select distinct split, ring_id from sp where is_abuse = 1 and ring_id is not null)",
+    "rg as (select ring_id, count(distinct customer_id) as n from txn where ring_id is not null group by all)"],
+    """select 'split_summary' as file, split as name, count(*)::double as value from sp group by split
+  union all select 'rings_by_type', s, (select count(distinct ring_id) from lv where split = s) from (select unnest(['train', 'validation', 'test']) as s)
+  union all select 'ring_statistics', 'ring_size', avg(n) from rg""", ["value"]))
+def _(spark, d):
+    """The three reports written to a folder and read back: orders per split, active rings (Total row), mean ring size."""
+    t = materialise(events.split_by_time(_txn(spark, d)), "s9")
+    ring, at = quality.ring_table(t), scratch_path(spark, "quality")
+    tables.quality_artifacts(quality.split_summary(t, _labels(t)), quality.rings_by_type(t, _labels(t), ring), quality.ring_statistics(ring, _labels(t)), at)
+    csv = spark.read.option("header", True)
+    kinds = csv.csv(f"{at}/rings_by_type").filter("ring_type = 'Total'")
+    totals = [kinds.select(F.lit("rings_by_type").alias("file"), F.lit(x).alias("name"), F.col(f"{x}_active").cast("double").alias("value")) for x in ("train", "validation", "test")]
+    out = csv.csv(f"{at}/split_summary").select(F.lit("split_summary").alias("file"), F.col("split").alias("name"), F.col("orders").cast("double").alias("value"))
+    for one in totals:
+        out = out.unionByName(one)
+    sizes = spark.read.json(f"{at}/ring_statistics").filter("measure = 'ring_size'")
+    return out.unionByName(sizes.select(F.lit("ring_statistics").alias("file"), F.col("measure").alias("name"), F.col("mean").alias("value")))
+
+
+@register("s5_audit_stream", _q([TXN], "select cast(order_id as varchar) as order_id, predicted_score as risk_score from txn", ["risk_score"]))
+def _(spark, d):
+    """The sink of a stream: every scored order is one line of the log."""
+    at = scratch_path(spark, "audit-stream")
+    rows = _stream(spark, d).select(F.col("order_id").cast("string"), F.col("predicted_score").alias("risk_score"))
+    tables.audit_sink(rows, at, f"{at}-commits").trigger(availableNow=True).start().awaitTermination()
+    return tables.read_jsonl_log(spark, at, "order_id string, risk_score double")
+
+
 # ---- streams over the same files ----------------------------------------------------------------
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:

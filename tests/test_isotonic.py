@@ -1,9 +1,10 @@
-"""Isotonic regression against its min-max formula, cut into one range and into many."""
+"""Isotonic regression against its min-max formula, cut into one range and into many; shift per group."""
 import random
 
 import numpy as np
 import pytest
 
+from coterie.operators.drift import psi, psi_by
 from coterie.operators.isotonic import IsotonicCurve, isotonic_blocks
 
 SCHEMA = "predicted_score double, is_abuse int"
@@ -74,3 +75,15 @@ def test_rows_without_score_or_label_and_empty_tables(spark, tmp_path):
     curve.save(f"{tmp_path}/steps")
     assert sorted(IsotonicCurve.load(f"{tmp_path}/steps").knots.collect()) == sorted(curve.knots.collect())
     assert curve.apply(empty).count() == 0
+
+
+def test_shift_per_group_equals_the_shift_of_each_group_alone(spark):
+    r = random.Random(3)
+    rows = [(d, r.gauss(d, 1.0)) for d in range(3) for _ in range(200)] + [(1, None), (2, float("nan"))]
+    frame = spark.createDataFrame(rows, "day int, v double")
+    base = frame.filter("day = 0")
+    got = {x.day: x.psi for x in psi_by(base, frame, "v", "day").collect()}
+    for day in range(3):
+        assert got[day] == pytest.approx(psi(base, frame.filter(f"day = {day}"), ["v"]).first().psi, abs=1e-12)
+    assert psi_by(frame.limit(0), frame, "v", "day").count() == 0
+    assert psi_by(base, frame.limit(0), "v", "day").count() == 0
