@@ -9,9 +9,10 @@ separates the page.
 """
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,21 +60,55 @@ PRIOR = dict.fromkeys(("nav", "footer", "aside", "form", "button", *AWAY), -4.0)
     "length": 0.5, "links": -3.0, "stops": 1.0, "long": 1.0, "bias": -1.0}
 
 
+class Place:
+    """A block element among those around it. Places are shared by what lies in them, so depth costs no memory."""
+
+    __slots__ = ("up", "depth")
+
+    def __init__(self, up: Place | None) -> None:
+        self.up, self.depth = up, up.depth + 1 if up else 0
+
+
+def steps_between(a: Place, b: Place) -> int:
+    """Elements to leave and to enter on the way from one place to another."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
+
+
 class Block:
-    """Text of one block, the path of elements to it (as numbers) and what is known of them."""
+    """Text of one block, where it is and what is known of the elements around it."""
+
+    __slots__ = ("text", "place", "flags", "own", "linked")
 
-    __slots__ = ("text", "path", "flags", "own", "linked")
+    def __init__(self, text: str, place: Place, flags: frozenset[str], own: str, linked: int) -> None:
+        self.text, self.place, self.flags, self.own, self.linked = text, place, flags, own, linked
 
-    def __init__(self, text: str, path: tuple[int, ...], flags: frozenset[str], own: str, linked: int) -> None:
-        self.text, self.path, self.flags, self.own, self.linked = text, path, flags, own, linked
+
+class Open(NamedTuple):
+    """An open element: its tag and, of all open elements up to it, flags, place and the tag of the innermost block."""
+
+    tag: str
+    flags: frozenset[str]
+    place: Place
+    own: str
 
 
 class _Reader(HTMLParser):
+    """Open elements are found by their tag and not by a walk over the stack: a tag costs the same at any depth."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, int, frozenset[str]]] = []
-        self.made = 0
+        self.root = Open("", frozenset(), Place(None), "")
+        self.stack: list[Open] = []
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
+        self.block_at: list[int] = []
         self.text: list[str] = []
         self.linked = self.in_link = self.unseen = 0
 
@@ -82,16 +117,18 @@ class _Reader(HTMLParser):
             text = " ".join("".join(self.text).split())
             self.text = []
             if text:
-                places = [(tag, i) for tag, i, _ in self.stack if tag in BLOCK]
-                flags = frozenset().union(*[f for _, _, f in self.stack]) if self.stack else frozenset()
-                self.blocks.append(Block(text, tuple(i for _, i in places), flags, places[-1][0] if places else "", self.linked))
+                top = self.stack[-1] if self.stack else self.root
+                self.blocks.append(Block(text, top.place, top.flags, top.own, self.linked))
         self.linked = 0
 
     def drop(self, down_to: int) -> None:
-        for tag, _, _ in self.stack[down_to:]:
+        while len(self.stack) > down_to:
+            tag = self.stack.pop().tag
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.block_at.pop()
             self.in_link -= tag == "a"
             self.unseen -= tag in UNSEEN
-        del self.stack[down_to:]
 
     def close(self) -> None:
         super().close()
@@ -106,7 +143,7 @@ class _Reader(HTMLParser):
 
     def end_head(self, tag: str) -> None:
         """An element that may not be in a head ends an open one; what is inside its title, template, script and so on doesn't."""
-        if tag not in IN_HEAD and tag not in ("html", "head") and self.stack and self.stack[-1][0] == "head":
+        if tag not in IN_HEAD and tag not in ("html", "head") and self.stack and self.stack[-1].tag == "head":
             self.end_block()
             self.drop(len(self.stack) - 1)
 
@@ -114,16 +151,12 @@ class _Reader(HTMLParser):
         self.end_head(tag)
         if tag in BLOCK:
             self.end_block()
-            names = [t for t, _, _ in self.stack]
-            closes = CLOSED_BY.get(tag, frozenset())
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in closes or names[i] == "p" and tag in CLOSES_P:
-                    self.drop(i)
-                    break
-                if names[i] in BLOCK:
-                    break
-            if tag == "body":
-                self.drop(next((i for i, n in enumerate(names) if n == "head"), len(self.stack)))
+            if self.block_at:  # what a start tag ends is always a block
+                inner = self.stack[self.block_at[-1]].tag
+                if inner in CLOSED_BY.get(tag, ()) or inner == "p" and tag in CLOSES_P:
+                    self.drop(self.block_at[-1])
+            if tag == "body" and self.open["head"]:
+                self.drop(self.open["head"][0])
         elif tag == "br":
             self.text.append(" ")
         if tag in VOID:
@@ -136,8 +169,13 @@ class _Reader(HTMLParser):
                         flags.add("." + _AWAY[word])
                     if word in _TOWARDS:
                         flags.add(".towards")
-        self.made += 1
-        self.stack.append((tag, self.made, frozenset(flags)))
+        around = self.stack[-1] if self.stack else self.root
+        self.open[tag].append(len(self.stack))
+        place, own = around.place, around.own
+        if tag in BLOCK:
+            self.block_at.append(len(self.stack))
+            place, own = Place(place), tag
+        self.stack.append(Open(tag, around.flags if flags <= around.flags else around.flags | flags, place, own))
         self.in_link += tag == "a"
         self.unseen += tag in UNSEEN
 
@@ -149,12 +187,9 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_block()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.drop(i)
-                return
-            if tag not in BLOCK and self.stack[i][0] in BLOCK:
-                return
+        at = self.open[tag]
+        if at and (tag in BLOCK or not self.block_at or at[-1] > self.block_at[-1]):
+            self.drop(at[-1])
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -319,14 +354,8 @@ def smoothness(blocks: list[Block], next_to: float = 0.8, same_parent: float = 0
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            shared = 0
-            for p, q in zip(a, b.path):
-                if p != q:
-                    break
-                shared += 1
-            edges.append((i - 1, i, next_to / (1 + len(a) + len(b.path) - 2 * shared)))
-        parent = b.path[:-1]
+            edges.append((i - 1, i, next_to / (1 + steps_between(blocks[i - 1].place, b.place))))
+        parent = b.place.up or b.place
         if parent in last:
             edges.append((last[parent], i, same_parent))
         last[parent] = i

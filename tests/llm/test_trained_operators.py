@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +221,18 @@ def test_pages_without_landmarks(spark):
 # pipeline
 
 
+def test_deep_and_unclosed_pages_keep_their_text_in_linear_time():
+    weights = [mainpage.PRIOR[f] for f in mainpage.FEATURES]
+    prose = "Some prose, with commas and stops. It is long enough to be read as text, and to be kept by the cut."
+    for page, n in (("<div>" + prose, 50_000), ("<b><p>" + prose + "<i>" * 50_000 + "</b>" * 50_000, 1), ("<div>" * 50_000 + ("</section>" + prose) * 2, 2)):
+        page = page if n < 50_000 else page * n
+        start = time.perf_counter()
+        assert mainpage.main_text(page, weights) == "\n".join([prose] * n)
+        assert time.perf_counter() - start < 20  # it took minutes when a tag cost its depth
+    a, b = (x.place for x in mainpage.page_blocks("<div><ul><li>one</li></ul><p>two"))
+    assert (mainpage.steps_between(a, b), mainpage.steps_between(a, a), a.depth, b.depth) == (3, 0, 3, 2)
+
+
 def test_pipeline_stages(spark, documents, tmp_path):
     docs = documents.withColumn("case_id", F.lit("other")).withColumn("score", F.lit(1))
     docs = docs.unionByName(spark.createDataFrame(
