@@ -2,13 +2,12 @@
 from __future__ import annotations
 
 import itertools
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import time
-
 import pytest
 from pyspark.sql import functions as F
 
