@@ -3,8 +3,10 @@
 General: the project keeps no licensed texts, so the operator takes any table ``documents(doc_id, text)``.
 
 Only n-grams of the templates are features, so a document is scanned by looking its words up. Where such n-grams stand
-close together they make a paragraph, whatever its line breaks; it is classified by softmax regression with sparse
-weights, its probability calibrated on paragraphs kept from the fit, and compared with the templates of its family.
+close together, or one stands that only notices have (``MIT License``, ``CC0``, ``SPDX-License-Identifier``), they make a
+paragraph, whatever its line breaks; it is classified by softmax regression with sparse weights into the families,
+``unknown`` (learned from notices whose family words are replaced) or none, its probability calibrated on
+paragraphs kept from the fit, and compared with the templates of its family. A bare ``License: X`` of an unlisted X is no place.
 """
 from __future__ import annotations
 
@@ -81,6 +83,32 @@ TEMPLATES = {
         "Licensed under CC BY-ND 4.0.",
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
 }
+# Identifiers and short names; each is a notice of its own, its first two words (or its one word) mark a place.
+NAMES = {
+    "Apache-2.0": ("Apache-2.0", "Apache License"),
+    "MIT": ("MIT License",),
+    "GPL": ("GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GNU GPL"),
+    "LGPL": ("LGPLv2.1", "LGPLv3", "LGPL-2.1", "LGPL-3.0", "GNU LGPL"),
+    "AGPL": ("AGPLv3", "AGPL-3.0", "GNU AGPL"),
+    "BSD": ("BSD-2-Clause", "BSD-3-Clause", "BSD License"),
+    "MPL-2.0": ("MPL-2.0", "Mozilla Public License"),
+    "EPL-2.0": ("EPL-2.0", "Eclipse Public License"),
+    "ISC": ("ISC License",),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0", "CC0-1.0"),
+    "CC-BY-4.0": ("CC-BY-4.0",),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",),
+    "CC-BY-ND-4.0": ("CC-BY-ND-4.0",),
+}
+# What a family is called in a tag, besides its names.
+TAGS = {"MIT": "MIT", "GPL": "GPL", "LGPL": "LGPL", "AGPL": "AGPL", "BSD": "BSD", "ISC": "ISC", "MPL-2.0": "MPL", "EPL-2.0": "EPL"}
+# Frames of tags, and notices that name no known family; {} is any name.
+TAG_FRAMES = ("License: {}", "SPDX-License-Identifier: {}", "Licensed under {}", "Licensed under the {}")
+OTHER_FRAMES = ("SPDX-License-Identifier: {}", "Licensed under {}", "Licensed under the {} License", "Licensed under the {} License, version {}",
+                "Released under the {} License", "Copyright {} {} All rights reserved")
+# Rights that are kept without a copyright line; no licence.
+NO_NOTICE = ("All rights reserved", "All rights reserved {} {} {}", "Copyright {} {} {} copyright {}")
 # Words too common to start a paragraph by themselves.
 COMMON = frozenset("a an and any are as at be by can for from in is it its not of on one or that the this to was were with you".split())
 NONE, UNKNOWN = "none", "unknown"
@@ -99,27 +127,57 @@ def _pairs(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:]))
 
 
-_TEMPLATE_WORDS = {k: [words_of(t) for t in v] for k, v in TEMPLATES.items()}
-_VOCABULARY = {g: i for i, g in enumerate(sorted({g for ts in _TEMPLATE_WORDS.values() for t in ts for g in _grams(t)} - COMMON))}
-_MARKS = frozenset(p for ts in _TEMPLATE_WORDS.values() for t in ts for p in _pairs(t) if not COMMON.issuperset(p))
-_MARK_WORDS = frozenset(w for p in _MARKS for w in p)
+def _share(own: set[tuple[str, str]], words: list[str], template: list[str]) -> float:
+    """Share of a template's word pairs among those of a paragraph; a template of up to three words is there or not."""
+    if len(template) == 1:
+        return float(template[0] in words)
+    pairs = _pairs(template)
+    share = len(own & pairs) / len(pairs)
+    return share if len(template) > 3 else float(share == 1)
+
+
+_LONG = {k: [words_of(t) for t in v] for k, v in TEMPLATES.items()}
+_NAMES = {k: [words_of(n) for n in v] for k, v in NAMES.items()}
+_TAGGED = {k: [words_of(f.format(n)) for f in TAG_FRAMES for n in (*NAMES[k], *([TAGS[k]] if k in TAGS else []))] for k in TEMPLATES}
+_TEMPLATE_WORDS = {k: _LONG[k] + _NAMES[k] + _TAGGED[k] for k in TEMPLATES}
+_VOCABULARY = {g: i for i, g in enumerate(sorted({g for ts in _TEMPLATE_WORDS.values() for t in ts for g in _grams(t)}
+                                                 .union(*[_grams(words_of(f)) for f in OTHER_FRAMES]) - COMMON))}
+_MARKS = frozenset(p for t in [*[t for ts in _TEMPLATE_WORDS.values() for t in ts], *map(words_of, OTHER_FRAMES)]
+                   for p in _pairs(t) if not COMMON.issuperset(p))
+#: One-word names, and pairs that make a place by themselves: the start of a name, and what stands before a tag.
+_SINGLE = frozenset(n[0] for ns in _NAMES.values() for n in ns if len(n) == 1)
+_OPEN = frozenset([("license", "identifier"), ("licensed", "under")])
+_FIRST = {n[0] for ns in _NAMES.values() for n in ns if n[0] not in ("gnu", "mozilla", "eclipse")} | {words_of(t)[0] for t in TAGS.values()}
+_ALONE = _OPEN.union((n[0], n[1]) for ns in _NAMES.values() for n in ns if len(n) > 1).union((b, n) for b in ("license", "identifier") for n in _FIRST)
+#: A mark too, but only beside others.
+_WEAK = frozenset(["copyright"])
+_MARK_WORDS = frozenset(w for p in _MARKS for w in p) | _SINGLE | _WEAK
+#: Words that may go on after a mark that stands alone: "Apache License, Version 2.0", "GPL-3.0-or-later".
+_MORE = frozenset(w for ts in _NAMES.values() for n in ts for w in n) | {"version", "license", "only", "or", "later"}
 
 
 def paragraphs(text: str, gap: int = 12) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the places where word pairs of templates stand at most ``gap`` words apart; offsets in
-    characters of the text. Two pairs at least make a paragraph."""
+    characters of the text. Two pairs make a paragraph, or one pair or word that notices alone have: that one with up to four
+    words that go on with the name, and at least the next word (two after ``the``) where the name is still to come."""
     words = words_of(text)
-    at = [i for i in range(len(words) - 1) if words[i] in _MARK_WORDS and (words[i], words[i + 1]) in _MARKS]
-    if len(at) < 2:
+    at = [i for i, pair in enumerate(zip(words, [*words[1:], ""])) if pair[0] in _MARK_WORDS and (pair in _MARKS or pair[0] in _SINGLE or pair[0] in _WEAK)]
+    if not at:
         return []
-    found = list(WORD.finditer(text))
-    out, k = [], 0
+    found, out, k = None, [], 0
     while k < len(at):
         j = k
         while j + 1 < len(at) and at[j + 1] - at[j] <= gap:
             j += 1
-        if j > k:
-            lo, hi = at[k], at[j] + 1
+        lo, last = at[k], tuple(words[at[j]:at[j] + 2])
+        hi = at[j] + (last in _MARKS)
+        if j > k or last in _ALONE or words[lo] in _SINGLE:
+            least = hi
+            if last in _OPEN:
+                least = hi + 1 + (words[hi + 1:hi + 2] == ["the"])
+            while hi + 1 < len(words) and (hi < least or j == k and hi < lo + 5 and words[hi + 1] in _MORE):
+                hi += 1
+            found = found or list(WORD.finditer(text))
             out.append((found[lo].start(), found[hi].end(), words[lo:hi + 1]))
         k = j + 1
     return out
@@ -139,7 +197,7 @@ def _matrix(rows: list[list[int]]) -> np.ndarray:
 
 @dataclass
 class LicenceModel:
-    """Sparse weights (feature x class; the last class is none), the temperature and the confidence a family needs."""
+    """Sparse weights (feature x class; the last two classes are unknown and none), the temperature and the confidence a family needs."""
 
     families: list[str]
     weights: np.ndarray
@@ -154,31 +212,49 @@ class LicenceModel:
     def classify(self, words: list[str]) -> tuple[str, float, float]:
         """Family (or none, or unknown), its probability, and the share of a template's word pairs that the paragraph has."""
         p = self.probabilities([words])[0]
-        best = int(p[:-1].argmax())
+        best = int(p[:-2].argmax())
         own = _pairs(words)
-        alike = max(len(own & _pairs(t)) / len(_pairs(t)) for t in _TEMPLATE_WORDS[self.families[best]])
+        alike = max(_share(own, words, t) for t in _TEMPLATE_WORDS[self.families[best]])
         if p[-1] >= 0.5:
             return NONE, float(p[-1]), alike
-        if p[best] < self.least or alike < 0.5:
+        if p[best] < max(self.least, p[-2]) or alike < 0.5:
             return UNKNOWN, float(1 - p[-1]), alike
         return self.families[best], float(p[best]), alike
 
 
 def _examples(random: np.random.Generator, each: int) -> tuple[list[list[str]], list[int]]:
-    """Damaged copies of templates: words dropped or replaced, ends cut, other words around."""
+    """Damaged copies of templates (words dropped or replaced, ends cut, other words around), names and tags as they are, and
+    notices of no known family: frames with other names, and templates that lost the words only their family has."""
     rows, labels = [], []
-    for c, templates in enumerate(_TEMPLATE_WORDS.values()):
+
+    def strange() -> str:
+        return f"x{random.integers(999)}"
+
+    def damaged(words: list[str]) -> list[str]:
+        if len(words) > 14 and random.random() < 0.5:
+            n = int(random.integers(12, len(words)))
+            lo = int(random.integers(0, len(words) - n + 1))
+            words = words[lo:lo + n]
+        lost = random.random() * 0.12
+        return [w if random.random() > lost / 2 else strange() for w in words if random.random() > lost / 2]
+
+    def add(words: list[str], label: int) -> None:
+        around = [strange() for _ in range(int(random.integers(0, 8)))]
+        rows.append(around + words + around[::-1])
+        labels.append(label)
+
+    for c, family in enumerate(TEMPLATES):
+        short = _NAMES[family] + _TAGGED[family]
+        elsewhere = {w for k, ts in _TEMPLATE_WORDS.items() if k != family for t in ts for w in t}
         for i in range(each):
-            words = list(templates[i % len(templates)])
-            if len(words) > 14 and random.random() < 0.5:
-                n = int(random.integers(12, len(words)))
-                lo = int(random.integers(0, len(words) - n + 1))
-                words = words[lo:lo + n]
-            lost = random.random() * 0.12
-            words = [w if random.random() > lost / 2 else f"x{random.integers(999)}" for w in words if random.random() > lost / 2]
-            around = [f"x{random.integers(999)}" for _ in range(int(random.integers(0, 8)))]
-            rows.append(around + words + around[::-1])
-            labels.append(c)
+            add(damaged(_LONG[family][i % len(_LONG[family])]), c)
+            add(short[i % len(short)], c)
+        for i in range(each // 4):
+            frame = OTHER_FRAMES[int(random.integers(0, len(OTHER_FRAMES)))]
+            add(words_of(frame.format(*[strange() for _ in range(frame.count("{}"))])), len(TEMPLATES))
+            without = [w if w in elsewhere else strange() for w in _LONG[family][0]]
+            if without != _LONG[family][0]:
+                add(without, len(TEMPLATES))
     return rows, labels
 
 
@@ -186,7 +262,7 @@ def fit_licences(documents: DataFrame, train_documents: int = 5_000, most_paragr
     """Fit on damaged copies of the templates against paragraphs of the corpus.
 
     The paragraphs come from about ``train_documents`` documents chosen by a hash of ``doc_id``, ``most_paragraphs`` of them at most
-    (the documented bounds); those that hold half of some template are left out, as they are notices. A fifth of all rows
+    (the documented bounds); those that hold half of some template, or a mark that notices alone have, are left out, as they are notices. A fifth of all rows
     is kept for the temperature and for the confidence that 95 of 100 damaged copies reach. Unrelated words around
     templates and corpus words without any template word stand for none as well."""
     n = documents.select("doc_id").count()
@@ -200,17 +276,18 @@ def fit_licences(documents: DataFrame, train_documents: int = 5_000, most_paragr
             for text in pc.fill_null(batch.column(0), "").to_pylist():
                 for _, _, words in paragraphs(text):
                     own = _pairs(words)
-                    if max(len(own & _pairs(t)) / len(_pairs(t)) for ts in _TEMPLATE_WORDS.values() for t in ts) < 0.5:
+                    if max(_share(own, words, t) for ts in _LONG.values() for t in ts) < 0.5 and not _ALONE & own and not _SINGLE.intersection(words):
                         out.append(" ".join(words))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["words"])
 
     other = rows.select("text").mapInArrow(read, "words string").distinct().orderBy(F.xxhash64("words")).limit(most_paragraphs).toPandas()["words"]
     random = np.random.default_rng(seed)
     texts, labels = _examples(random, each)
-    k = len(TEMPLATES)
+    k = len(TEMPLATES) + 1
     plain = [w.split(" ") for w in other]
     common = sorted(COMMON)
     plain += [[common[i] for i in random.integers(0, len(common), 12)] for _ in range(2 * each)]
+    plain += [words_of(f.format(*["x"] * f.count("{}"))) for f in NO_NOTICE for _ in range(each // 4)]
     # template words out of order are no notice
     pool = sorted({w for ts in _TEMPLATE_WORDS.values() for t in ts for w in t})
     plain += [[pool[i] for i in random.integers(0, len(pool), 12)] for _ in range(2 * each)]
@@ -240,7 +317,7 @@ def fit_licences(documents: DataFrame, train_documents: int = 5_000, most_paragr
 
     model.temperature = min(np.geomspace(0.2, 5, 25), key=loss)
     p = model.probabilities(held)
-    sure = p[np.arange(len(truth)), truth][truth < k]
+    sure = p[np.arange(len(truth)), truth][truth < k - 1]
     model.least = float(min(np.quantile(sure, 0.05), 0.9)) if len(sure) else 0.5
     return model
 

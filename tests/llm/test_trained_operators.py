@@ -165,6 +165,23 @@ def test_unknown_and_no_licences(spark, licence_model):
     assert licences.find_licences(empty(made), licence_model).count() == 0
 
 
+@pytest.mark.parametrize("text, family, notice", [
+    ("x SPDX-License-Identifier: MIT\nint main", "MIT", "SPDX-License-Identifier: MIT"), ("License: MIT", "MIT", "License: MIT"), ("CC0", "CC0-1.0", "CC0"),
+    ("This is GPLv3 code", "GPL", "GPLv3"), ("MIT License\n\nfor all", "MIT", "MIT License"), ("Apache License, Version 2.0", "Apache-2.0", "Apache License, Version 2.0"),
+    ("Licensed under Apache-2.0.", "Apache-2.0", "Licensed under Apache-2.0"), ("BSD 3-Clause License", "BSD", "BSD 3-Clause License"),
+    ("// SPDX-License-Identifier: Zlib", "unknown", "SPDX-License-Identifier: Zlib"), ("Licensed under the Foo License, version 7", "unknown", None),
+    ("Copyright 2020 X. All rights reserved.", "unknown", "Copyright 2020 X. All rights reserved")])
+def test_short_notices_and_unseen_families(spark, licence_model, text, family, notice):
+    (got,) = licences.find_licences(spark.createDataFrame([(1, text)], "doc_id long, text string"), licence_model).collect()
+    assert got["family"] == family and (notice is None or text[got["start"]:got["end"]] == notice)
+
+
+@pytest.mark.parametrize("text", ["prices rose by 4.0 percent", "the licence was lost", "a general public house", "copyright is a right", "All rights reserved.",
+                                  "an apache helicopter", "License: to be decided"])
+def test_prose_is_no_notice(licence_model, text):
+    assert [f for _, _, w in licences.paragraphs(text) for f in [licence_model.classify(w)[0]] if f != licences.NONE] == []
+
+
 # main text
 
 
