@@ -145,18 +145,51 @@ def _blocks(frame: DataFrame, pivots: np.ndarray, size: int, rows: int) -> DataF
     before = Window.partitionBy("cell").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     named = counts.withColumn("part", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size))
     named = materialise(named.select("cell", "shard", F.xxhash64("cell", "part").alias("block")), "cells")
-    return fine.join(named, ["cell", "shard"]).select("block", "order_id", "x")
+    return fine.join(named, ["cell", "shard"]).select("cell", "block", "order_id", "x")
 
 
 def _summary(blocks: DataFrame) -> DataFrame:
-    """``block, centre, radius, norm``: a ball around the rows of each block, which is of bounded size."""
+    """``cell, block, centre, radius, norm``: a ball around the rows of each block, which is of bounded size."""
     def ball(key: tuple, table: pa.Table) -> pa.Table:
         x = np.asarray(table["x"].combine_chunks().flatten(), float).reshape(table.num_rows, -1)
         centre = x.mean(0)
-        return pa.table({"block": [key[0].as_py()], "centre": [centre.tolist()],
+        return pa.table({"cell": [key[0].as_py()], "block": [key[1].as_py()], "centre": [centre.tolist()],
                          "radius": [float(np.sqrt(((x - centre) ** 2).sum(1)).max()) * (1 + 1e-9)], "norm": [float(np.sqrt((centre ** 2).sum()))]})
 
-    return blocks.groupBy("block").applyInArrow(ball, "block long, centre array<double>, radius double, norm double")
+    return blocks.groupBy("cell", "block").applyInArrow(ball, "cell long, block long, centre array<double>, radius double, norm double")
+
+
+def _reach(balls: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that hold rows, and for each the radius around its pivot that covers its blocks: one number a pivot."""
+    at = F.element_at(F.array(*[F.array(*map(F.lit, p.tolist())) for p in pivots]), (F.col("cell") + 1).cast("int"))
+    away = F.sqrt(F.aggregate(F.zip_with("centre", at, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    rows = balls.groupBy("cell").agg(F.max(away + F.col("radius")).alias("r")).orderBy("cell").collect()
+    return np.array([r["cell"] for r in rows], np.int64), np.array([r["r"] for r in rows]) * (1 + 1e-9) + 1e-9
+
+
+def _cells_of(q_balls: DataFrame, pivots: np.ndarray, cells: np.ndarray, radii: np.ndarray) -> DataFrame:
+    """``q, qc, qr, qn, cell, cell_up, cell_near``: each query block with every cell, what a product across both balls can reach
+    and the product of their centres. Cells are at most as many as pivots, so this grows with the query blocks alone."""
+    centres = pivots[cells]
+    norms = np.sqrt((centres ** 2).sum(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = np.asarray(batch["qc"].flatten(), float).reshape(n, -1)
+            qr, qn = batch["qr"].to_numpy()[:, None], batch["qn"].to_numpy()[:, None]
+            near = x @ centres.T
+            up = near + qn * radii + qr * (norms + radii)
+            up += np.abs(up) * 1e-9 + 1e-6
+            again = pa.array(np.repeat(np.arange(n), len(cells)))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch[c].take(again) for c in ("q", "qc", "qr", "qn")], pa.array(np.tile(cells, n)), pa.array(up.ravel()), pa.array(near.ravel())],
+                names=["q", "qc", "qr", "qn", "cell", "cell_up", "cell_near"])
+
+    grid = q_balls.select(F.col("block").alias("q"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), F.col("norm").alias("qn"))
+    return grid.mapInArrow(run, "q long, qc array<double>, qr double, qn double, cell long, cell_up double, cell_near double")
 
 
 SCHEMA = "query_id long, order_id long, score double"
@@ -188,8 +221,9 @@ def nearest_orders(orders: DataFrame, queries: DataFrame, k: int = 5, block_rows
     columns are not read.
 
     Pivots, at most ``most_pivots`` rows chosen by a hash, only deal rows out; every row is indexed. Cells are cut into
-    blocks of about ``block_rows`` rows, so a vector that a third of all orders share fills many blocks. The block table has
-    a row per ``block_rows`` rows; its pairs with the query blocks are bounded and filtered before any vector is read.
+    blocks of about ``block_rows`` rows, so a vector that a third of all orders share fills many blocks. A query block is held
+    against the balls of the cells (one a pivot), then against those of the blocks in cells that can still reach its
+    threshold; only pairs of blocks that can are compared.
     """
     def usable(frame: DataFrame) -> DataFrame:
         x = F.col("features").cast("array<double>")
@@ -213,26 +247,28 @@ def nearest_orders(orders: DataFrame, queries: DataFrame, k: int = 5, block_rows
     # as many pivots as the queries fill blocks, so that no block of orders is read for a handful of queries
     ask = materialise(_blocks(asked, pivots[:n_asked // block_rows + 1], block_rows, n_asked), "query-blocks")
     balls, q_balls = materialise(_summary(data), "order-balls"), materialise(_summary(ask), "query-balls")
-    # one row per pair of blocks: the number of query blocks times that of order blocks, without their rows
+    # two levels of balls: query blocks meet cells first, and only the blocks of cells that can still matter
+    cells, radii = _reach(balls, pivots)
+    crossed = materialise(_cells_of(q_balls, pivots, cells, radii), "block-cells")
     dot = F.aggregate(F.zip_with("qc", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    grid = q_balls.select(F.col("block").alias("q"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), F.col("norm").alias("qn"))
     bound = dot + F.col("qn") * F.col("radius") + F.col("qr") * (F.col("norm") + F.col("radius"))
-    pairs = materialise(grid.crossJoin(balls).select("q", "block", (bound + F.abs(bound) * 1e-9 + 1e-6).alias("up"), dot.alias("near")), "block-pairs")
-    first = pairs.groupBy("q").agg(F.max_by("block", F.struct("near", "block")).alias("block"))
+    best = crossed.groupBy("q").agg(F.max_by(F.struct("qc", "cell"), F.struct("cell_near", "cell")).alias("s")).select("q", "s.*")
+    first = materialise(best.join(balls, "cell").groupBy("q").agg(F.max_by("block", F.struct(dot, "block")).alias("block")), "first-blocks")
 
     def tasks(chosen: DataFrame, floors: DataFrame | None) -> DataFrame:
         chosen = chosen.select("q", "block", F.xxhash64("q", "block").alias("task"))
-        left = ask.withColumnRenamed("block", "q")
+        left = ask.drop("cell").withColumnRenamed("block", "q")
         left = left.join(floors, left.order_id == floors.query_id, "left").drop("query_id") if floors is not None else left.withColumn("floor", F.lit(None).cast("double"))
         asked_rows = chosen.join(left, "q").select("task", F.lit(0).alias("side"), F.col("order_id").alias("row_id"), "x", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-        order_rows = chosen.join(data, "block").select("task", F.lit(1).alias("side"), F.col("order_id").alias("row_id"), "x", F.lit(0.0).alias("floor"))
+        order_rows = chosen.join(data.drop("cell"), "block").select("task", F.lit(1).alias("side"), F.col("order_id").alias("row_id"), "x", F.lit(0.0).alias("floor"))
         return asked_rows.unionByName(order_rows)
 
     seen = materialise(_compare(tasks(first, None), k), "first-best")
     found = seen.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("query_id", "floor")
     floors = ask.join(found, ask.order_id == found.query_id, "left").groupBy("block").agg(F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("least"))
-    rest = (pairs.join(first.withColumn("done", F.lit(True)), ["q", "block"], "left").where("done is null")
-            .join(floors.withColumnRenamed("block", "q"), "q").where("up >= least"))
+    open_cells = crossed.join(floors.withColumnRenamed("block", "q"), "q").where("cell_up >= least")
+    rest = (open_cells.join(balls, "cell").where(bound + F.abs(bound) * 1e-9 + 1e-6 >= F.col("least"))
+            .join(first, ["q", "block"], "left_anti"))
     more = _compare(tasks(materialise(rest.select("q", "block"), "open-pairs"), found), k)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "order_id")
     return (seen.unionByName(more).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
