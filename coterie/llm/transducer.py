@@ -12,7 +12,7 @@ import codecs
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -211,11 +211,12 @@ class Transducer:
 class StreamDecoder:
     """Text of a stream of tokens: a UTF-8 state machine keeps the bytes of an unfinished character."""
 
-    def __init__(self, bytes_of: dict[int, bytes], errors: str = "replace") -> None:
+    def __init__(self, bytes_of: Mapping[int, bytes] | Sequence[bytes], errors: str = "replace") -> None:
         self.bytes_of = bytes_of
         self.machine = codecs.getincrementaldecoder("utf-8")(errors)
 
     def feed(self, ids: Iterable[int], last: bool = False) -> str:
+        """What is complete after these tokens; ``last`` also ends an unfinished character."""
         return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)), last)
 
 
@@ -290,7 +291,13 @@ class TextEncoder:
         return b"".join(map(kept.__getitem__, units))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(piece.encode("utf-8") for piece in self.decoded(ids))
+
+    def decoded(self, ids: bytes, step: int = 1 << 16) -> Iterator[str]:
+        """The text of stored ids, ``step`` tokens at a time; what a piece leaves of a character opens the next one."""
+        stream, numbers = StreamDecoder(self.table), np.frombuffer(ids, "<u4")
+        for at in range(0, len(numbers), step):
+            yield stream.feed(numbers[at:at + step].tolist(), at + step >= len(numbers))
 
 
 def encode_narratives(narratives: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -326,7 +333,10 @@ def encoding_digests(narratives: DataFrame, ranks: str, pattern: str) -> DataFra
                     ids = enc.encode(text)
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+                    decoded = hashlib.sha256()
+                    for piece in enc.decoded(ids):
+                        decoded.update(piece.encode("utf-8"))
+                    b.append(decoded.hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                     names=["case_id", "n_tokens", "ids_sha256", "decoded_sha256"])

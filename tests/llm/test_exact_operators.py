@@ -219,6 +219,16 @@ def test_encoding_of_narratives(spark):
     assert transducer.encoding_digests(empty(narratives(spark)), *args).count() == 0
 
 
+def test_digests_come_through_the_stream_decoder():
+    """Pieces of one token each cut characters in the middle; the text is whole all the same."""
+    enc = transducer.TextEncoder(transducer.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    for text in ("", "naïve 🦊🦊 日本語 \ud7ff\U0010ffff end", "🏴" * 50):
+        ids = enc.encode(text)
+        for step in (1, 3, 1 << 16):
+            pieces = list(enc.decoded(ids, step))
+            assert "".join(pieces) == text and len(pieces) == -(-(len(ids) // 4) // step)
+
+
 def test_stream_decoder_keeps_unfinished_characters():
     decoder = transducer.StreamDecoder({0: b"\xf0\x9f", 1: b"\x98", 2: b"\x80!", 3: b"\xc3"})
     assert [decoder.feed([0]), decoder.feed([1]), decoder.feed([2]), decoder.feed([3], last=True)] == ["", "", "😀!", "�"]
