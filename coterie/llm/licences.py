@@ -248,8 +248,9 @@ def _examples(random: np.random.Generator, each: int) -> tuple[list[list[str]],
         elsewhere = {w for k, ts in _TEMPLATE_WORDS.items() if k != family for t in ts for w in t}
         for i in range(each):
             add(damaged(_LONG[family][i % len(_LONG[family])]), c)
-            add(short[i % len(short)], c)
-        for i in range(each // 4):
+        for words in short * 2:  # as they are, so copies would be equal rows
+            add(words, c)
+        for _ in range(each // 8):
             frame = OTHER_FRAMES[int(random.integers(0, len(OTHER_FRAMES)))]
             add(words_of(frame.format(*[strange() for _ in range(frame.count("{}"))])), len(TEMPLATES))
             without = [w if w in elsewhere else strange() for w in _LONG[family][0]]
